@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,48 +52,43 @@ def unit_cost(components: DataFrame, sku: str, cost: str, name: str = "unit_cost
     return components.groupBy(sku).agg(F.sum(cost).alias(name))
 
 
-def ytd_cutoff(max_ts: dt.datetime | dt.date) -> tuple[dt.date, dt.date, dt.date, dt.date]:
-    """The current year-to-date window ending after the last day with data, and the prior year's.
+def ytd_bounds(facts: DataFrame, ts: str) -> DataFrame:
+    """One row with the year-to-date windows ending after the last day with data.
 
-    Returns ``(cur_start, cur_end, prev_start, prev_end)`` as half-open bounds (the end is the day after
-    the last data day, moved back a year for the prior window).
+    ``cur = [Jan 1 of the last year, last day + 1)``; ``prev`` is the same window a year earlier. The
+    cut-off comes from ``max(ts)`` in Spark (no round trip through the driver).
     """
-    last = max_ts.date() if isinstance(max_ts, dt.datetime) else max_ts
-    end = last + dt.timedelta(days=1)
-    cur_start = dt.date(last.year, 1, 1)
-    prev_start = dt.date(last.year - 1, 1, 1)
-    try:
-        prev_end = end.replace(year=end.year - 1)
-    except ValueError:  # 29 February
-        prev_end = end.replace(year=end.year - 1, day=28)
-    return cur_start, end, prev_start, prev_end
-
-
-def comparable_growth(
-    df: DataFrame,
-    value: str,
-    ts: str,
-    opened: str,
-    p0: tuple[dt.date, dt.date],
-    p1: tuple[dt.date, dt.date],
-    comparable_before: dt.date,
-) -> DataFrame:
-    """Headline and same-store totals of two periods and their growth, one pass over the facts.
-
-    Same-store rows are those of entities opened before ``comparable_before``.
+    last = F.to_date(F.max(ts))
+    agg = facts.agg(last.alias("__last"))
+    cur_start = F.trunc("__last", "year")
+    cur_end = F.date_add("__last", 1)
+    return agg.select(
+        cur_start.alias("cur_start"),
+        cur_end.alias("cur_end"),
+        F.add_months(cur_start, -12).alias("prev_start"),
+        F.add_months(cur_end, -12).alias("prev_end"),
+    )
+
+
+def comparable_growth(df: DataFrame, value: str, ts: str, opened: str, cutoff_facts: DataFrame) -> DataFrame:
+    """Headline and same-store year-to-date totals (in dollars from cents) and their growth.
+
+    Same-store rows belong to entities opened before the prior window starts. One pass over the facts:
+    the one-row bounds are broadcast and four filtered sums (D17) are taken together.
     """
+    b = ytd_bounds(cutoff_facts, ts)
     t = F.col(ts)
 
-    def inside(p):
-        return (t >= F.lit(p[0].isoformat()).cast("timestamp_ntz")) & (t < F.lit(p[1].isoformat()).cast("timestamp_ntz"))
+    def inside(a: str, z: str) -> Column:
+        return (t >= F.col(a).cast("timestamp_ntz")) & (t < F.col(z).cast("timestamp_ntz"))
 
-    same = F.col(opened) < F.lit(comparable_before.isoformat()).cast("timestamp_ntz")
+    same = F.col(opened) < F.col("prev_start").cast("timestamp_ntz")
     v = F.col(value)
-    agg = df.agg(
-        (F.sum(F.when(inside(p0), v)) / 100.0).alias("ytd_prev"),
-        (F.sum(F.when(inside(p1), v)) / 100.0).alias("ytd_cur"),
-        (F.sum(F.when(same & inside(p0), v)) / 100.0).alias("ss_prev"),
-        (F.sum(F.when(same & inside(p1), v)) / 100.0).alias("ss_cur"),
+    agg = df.crossJoin(F.broadcast(b)).agg(
+        (F.sum(F.when(inside("prev_start", "prev_end"), v)) / 100.0).alias("ytd_prev"),
+        (F.sum(F.when(inside("cur_start", "cur_end"), v)) / 100.0).alias("ytd_cur"),
+        (F.sum(F.when(same & inside("prev_start", "prev_end"), v)) / 100.0).alias("ss_prev"),
+        (F.sum(F.when(same & inside("cur_start", "cur_end"), v)) / 100.0).alias("ss_cur"),
     )
     return agg.select(
         "ytd_prev",
