@@ -30,7 +30,7 @@ def bucket(col: Column | str, unit: str) -> Column:
         return F.to_date(c)
     if unit in ("week", "month", "quarter", "year"):
         return F.trunc(c, {"week": "week", "month": "month", "quarter": "quarter", "year": "year"}[unit])
-    return F.date_trunc(unit, c)
+    return custom_bucket(c, unit, 1, "1970-01-01")
 
 
 def custom_bucket(col: Column | str, base: str, multiple: int, origin: str) -> Column:
@@ -45,11 +45,12 @@ def custom_bucket(col: Column | str, base: str, multiple: int, origin: str) -> C
         o = F.lit(origin).cast("date")
         months = F.floor(F.months_between(F.trunc(c, "month"), o))
         return F.add_months(o, (F.floor(months / step) * step).cast("int"))
-    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[base] * multiple
-    o = F.unix_timestamp(F.lit(origin).cast("timestamp"))
-    t = F.unix_timestamp(c.cast("timestamp"))
-    start = o + F.floor((t - o) / seconds) * seconds
-    return F.timestamp_seconds(start).cast("timestamp_ntz")
+    micros = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[base] * multiple * 1_000_000
+    # NTZ-native arithmetic: no session time zone is involved (date_trunc would return a zoned TIMESTAMP)
+    o = F.lit(origin).cast("timestamp_ntz")
+    t = c.cast("timestamp_ntz")
+    k = F.floor(F.timestamp_diff("MICROSECOND", o, t) / micros)
+    return F.timestamp_add("MICROSECOND", k * micros, o)
 
 
 def iso_weekday(col: Column | str) -> Column:
@@ -77,7 +78,7 @@ def date_add_unit(col: Column | str, n: int | Column, unit: str) -> Column:
 
 def date_diff_unit(end: Column | str, start: Column | str, unit: str) -> Column:
     """Whole units between two instants (plain meaning: ``timestampdiff``)."""
-    return F.timestamp_diff(unit.upper(), _c(start), _c(end))
+    return F.timestamp_diff(unit.upper(), _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz"))
 
 
 _PERIOD = re.compile(r"^(\d{4})(?:-(?:Q([1-4])|(\d{2})(?:-(\d{2}))?))?$")

@@ -150,19 +150,20 @@ def rebucket(df: DataFrame, col: str, stored: str, wanted: str, name: str | None
     return df.withColumn(name or col, bucket(col, wanted))
 
 
-def whole_periods_only(s: DataFrame, period: str, unit: str, first_ts, last_ts, stored: str | None = None) -> MetricResult:
-    """drop the first/last bucket when the data does not cover it fully; warn when units do not nest.
+def whole_periods_only(s: DataFrame, period: str, unit: str, facts: DataFrame, time_col: str, stored: str | None = None) -> MetricResult:
+    """drop buckets that the data does not cover fully (an incomplete first or last period).
 
-    ``first_ts``/``last_ts`` are the data's first and last instants (datetime); a bucket is whole when it
-    starts at or after ``first_ts``'s day and ends on or before the day after ``last_ts``.
+    A bucket is whole when it starts on or after the first data day and ends on or before the day after
+    the last data day; the bounds are a one-row aggregate of ``facts`` (broadcast). Warns when the
+    stored unit does not nest in ``unit`` (weeks in months).
     """
     warnings = []
     if stored == "week" and unit in ("month", "quarter", "year"):
         warnings.append(ResultWarning("whole_periods_non_nesting", "whole_periods_only: weeks do not nest in months"))
-    lo = F.lit(str(first_ts)[:10]).cast("date")
-    hi = F.date_add(F.lit(str(last_ts)[:10]).cast("date"), 1)
+    bounds = facts.agg(F.to_date(F.min(time_col)).alias("__lo"), F.date_add(F.to_date(F.max(time_col)), 1).alias("__hi"))
     p = F.col(period)
-    return MetricResult(s.filter((p >= lo) & (date_add_unit(p, 1, unit) <= hi)), warnings)
+    out = s.crossJoin(F.broadcast(bounds)).filter((p >= F.col("__lo")) & (date_add_unit(p, 1, unit) <= F.col("__hi")))
+    return MetricResult(out.drop("__lo", "__hi"), warnings)
 
 
 def consecutive_periods(s: DataFrame, period: str, cond: Column, dims: Sequence[str] = (), name: str = "streak") -> DataFrame:

@@ -40,13 +40,12 @@ def top_n_per_group(df: DataFrame, value: str, partition_by: Sequence[str], n: i
     return out.drop(name) if name.startswith("__") else out
 
 
-def ntile_global(df: DataFrame, order: Sequence[Column], n: int, name: str = "tile") -> DataFrame:
-    """SQL ``ntile(n) over (order by ...)`` without a single-partition window.
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
+    """0-based position of every row in the total order, without a single-partition window.
 
     Rows are range-partitioned and sorted (``orderBy``); ``monotonically_increasing_id`` encodes
-    (partition, position); a small per-partition count (one row per partition) gives each partition's
-    offset, hence every row's global row number ``r``. With ``N`` rows, ``q, m = divmod(N, n)``: the first
-    ``m`` tiles hold ``q + 1`` rows, the rest ``q`` rows (S17). Ties are split arbitrarily as in SQL.
+    (partition, position); one count per partition (a bounded, broadcast table) gives each partition's
+    offset. Ties are placed arbitrarily, as in SQL.
     """
     ordered = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
     ordered = ordered.withColumn("__part", F.shiftright(F.col("__id"), 33)).withColumn(
@@ -59,14 +58,22 @@ def ntile_global(df: DataFrame, order: Sequence[Column], n: int, name: str = "ti
         F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"),
         F.sum("__cnt").over(Window.partitionBy(F.lit(1))).alias("__total"),
     )
-    # one row per partition: a bounded broadcast
-    out = ordered.join(F.broadcast(offsets), "__part")
-    r = F.col("__off") + F.col("__pos")  # 0-based global row number
+    out = ordered.join(F.broadcast(offsets), "__part")  # one row per partition
+    return out.withColumn(name, F.col("__off") + F.col("__pos")).drop("__id", "__part", "__pos", "__off")
+
+
+def ntile_global(df: DataFrame, order: Sequence[Column], n: int, name: str = "tile") -> DataFrame:
+    """SQL ``ntile(n) over (order by ...)`` computed from ``global_row_number``.
+
+    With ``N`` rows, ``q, m = divmod(N, n)``: the first ``m`` tiles hold ``q + 1`` rows, the rest ``q`` (S17).
+    """
+    numbered = global_row_number(df, order, "__r")
+    r = F.col("__r")
     q = F.floor(F.col("__total") / n)
     m = F.col("__total") % n
     big = m * (q + 1)  # rows held by the larger tiles
     tile = F.when(r < big, F.floor(r / (q + 1)) + 1).otherwise(F.floor((r - big) / F.greatest(q, F.lit(1))) + m + 1)
-    return out.withColumn(name, tile.cast("long")).drop("__id", "__part", "__pos", "__off", "__total")
+    return numbered.withColumn(name, tile.cast("long")).drop("__r", "__total")
 
 
 def top_share(df: DataFrame, value: str, n_tiles: int = 10, share_name: str = "top_share", count_name: str = "top_count") -> DataFrame:
