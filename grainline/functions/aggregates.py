@@ -23,10 +23,16 @@ def count_rows() -> Column:
 
 
 def weighted_avg(value: Column | str, weight: Column | str | None = None) -> Column:
-    """``sum(v*w) / sum(w)``; the default weight is 1 (plain mean over non-NULL values)."""
-    v = _c(value).cast("double")
-    w = F.lit(1.0) if weight is None else _c(weight).cast("double")
-    return F.sum(F.when(v.isNotNull(), v * w)) / F.sum(F.when(v.isNotNull(), w))
+    """``sum(v*w) / sum(w)`` over rows with a value; the default weight is 1 (plain mean).
+
+    Products and sums keep the input types (exact for decimals and integers); only the final quotient
+    is taken in DOUBLE.
+    """
+    v = _c(value)
+    w = F.lit(1) if weight is None else _c(weight)
+    num = F.sum(F.when(v.isNotNull(), v * w))
+    den = F.sum(F.when(v.isNotNull(), w))
+    return num.cast("double") / den.cast("double")
 
 
 def agg_template(template: Callable[[Column], Column]) -> Callable[[Column | str], Column]:
