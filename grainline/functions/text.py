@@ -7,6 +7,7 @@ table is needed and each text is read once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,14 +43,34 @@ def phrase_pattern(phrase: str) -> str:
     return "(?i)" + lead + escape(phrase) + trail
 
 
+def _first_word(phrase: str) -> str | None:
+    """The leading word of a phrase that starts with a word character (None otherwise)."""
+    m = re.match(r"[0-9A-Za-z_]+", phrase.lower())
+    return m.group(0) if m else None
+
+
 def phrase_hits(df: DataFrame, key: str, text: str, phrases: Sequence[str] = DENY_PHRASES, name: str = "phrase") -> DataFrame:
-    """One row per (key, phrase) whose text holds the phrase as a whole word, any case."""
+    """One row per (key, phrase) whose text holds the phrase as a whole word, any case.
+
+    One pass per text: the lower-cased text is split once into its distinct word tokens, which are
+    intersected (hash-based) with the phrases' first words. A phrase that starts with a word character
+    can only match as a whole word if its first word is one of the tokens, so the exact case-insensitive
+    regex runs only for those candidates. Both helper columns are separate projections, computed once
+    per row (Catalyst does not inline a non-trivial expression that is used many times).
+    """
+    firsts = sorted({w for p in phrases if (w := _first_word(p))})
+    tokens = F.array_distinct(F.split(F.lower(F.col(text)), f"[^{_WORD}]+"))
+    base = df.select(F.col(key), F.col(text), F.array_intersect(tokens, F.array(*[F.lit(w) for w in firsts])).alias("__cand"))
     t = F.col(text)
-    low = F.lower(t)  # computed once per row (subexpression elimination)
-    # a plain substring test first: the regex runs only on texts that contain the phrase at all
-    found = F.array(*[F.when((F.instr(low, p.lower()) > 0) & t.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases])
-    hits = F.filter(found, lambda x: x.isNotNull())
-    return df.select(F.col(key), F.explode(hits).alias(name))
+
+    def test(p: str) -> Column:
+        w = _first_word(p)
+        exact = t.rlike(phrase_pattern(p))
+        return exact if w is None else F.array_contains(F.col("__cand"), w) & exact
+
+    found = F.array(*[F.when(test(p), F.lit(p)) for p in phrases])
+    # explode the plain array and drop the NULLs afterwards: no lambda, so the scan stays in generated code
+    return base.select(F.col(key), F.explode(found).alias(name)).where(F.col(name).isNotNull())
 
 
 def compact(text: Column) -> Column:
