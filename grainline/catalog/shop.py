@@ -150,7 +150,7 @@ from r""",
 def j_c06_top_decile_share(spark, sf_dir):
     s = _shop(spark, sf_dir)
     c = _orders_in(s, Y2025).groupBy("customer").agg(F.sum("subtotal").alias("spend"))
-    return ranking.top_share(c, "spend", 10, "top_decile_share", "top_decile_customers")
+    return ranking.top_share(c, "spend", 10, "top_decile_share", "top_decile_customers", key="customer")
 
 
 @question(

@@ -76,13 +76,17 @@ def ntile_global(df: DataFrame, order: Sequence[Column], n: int, name: str = "ti
     return numbered.withColumn(name, tile.cast("long")).drop("__r", "__total")
 
 
-def top_share(df: DataFrame, value: str, n_tiles: int = 10, share_name: str = "top_share", count_name: str = "top_count") -> DataFrame:
+def top_share(
+    df: DataFrame, value: str, n_tiles: int = 10, share_name: str = "top_share", count_name: str = "top_count", key: str | None = None
+) -> DataFrame:
     """Share of the total held by the first tile (highest values) and its number of rows.
 
-    One row out; the first tile is the top ``ceil(N / n)`` rows by ``value`` (SQL ``ntile``), ties split
-    arbitrarily - the sum is the same whichever tied rows are taken.
+    One row out; the first tile is the top ``ceil(N / n)`` rows by ``value`` (SQL ``ntile``). Ties are
+    broken by ``key`` when given, so a retried task assigns the same positions (the sum is the same
+    whichever tied rows are taken).
     """
-    tiled = ntile_global(df.select(value), [F.col(value).desc()], n_tiles, "__tile")
+    order = [F.col(value).desc()] + ([F.col(key).asc()] if key else [])
+    tiled = ntile_global(df.select(value, *([key] if key else [])), order, n_tiles, "__tile")
     top = F.col("__tile") == 1
     return tiled.agg(
         (F.sum(F.when(top, F.col(value))).cast("double") / F.sum(value).cast("double")).alias(share_name),
