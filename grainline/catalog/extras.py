@@ -14,7 +14,7 @@ from grainline.catalog.registry import question
 from grainline.functions.aggregates import aggregate, agg_template, count_rows, first_by_time, last_by_time, weighted_avg
 from grainline.functions.calendar import custom_bucket, date_add_unit, date_diff_unit, in_period
 from grainline.functions.scalar import ratio
-from grainline.operators import periods
+from grainline.operators import grain, periods
 from grainline.sources.bindings import Tables
 
 FISCAL_ORIGIN = "1995-04-01"  # fixed: a fiscal year of 12 months starting in April
@@ -158,3 +158,22 @@ def b6_ship_lag_by_month(spark, sf_dir):
     return j.groupBy(F.trunc("order_date", "month").alias("month")).agg(
         count_rows().alias("lines"), ratio(F.sum(days), count_rows()).alias("avg_days_to_ship"), F.count(F.when(late, 1)).alias("shipped_late")
     )
+
+
+@question(
+    "f7_orders_and_returns_by_month",
+    """with sp as (select cast(unnest(generate_series(date '1997-01-01', date '1997-12-01', interval 1 month)) as date) as month),
+o as (select date_trunc('month', order_date)::date as month, sum(amount) as ordered from b_orders group by 1),
+r as (select date_trunc('month', return_date)::date as month, sum(amount) as returned from b_returns group by 1)
+select sp.month, cast(coalesce(o.ordered, 0) as double) as ordered, cast(coalesce(r.returned, 0) as double) as returned
+from sp left join o on o.month = sp.month left join r on r.month = sp.month""",
+    ("F7", "F3", "A10", "C3"),
+)
+def f7_orders_and_returns_by_month(spark, sf_dir):
+    """Two facts, each through its own time column, aligned on one month spine (the empty month shows 0 ordered)."""
+    b = _bench(spark, sf_dir)
+    o = periods.series(b.orders.where(in_period("order_date", "1997")), "order_date", "month", [], {"ordered": F.sum("amount")}, name="month")
+    r = periods.series(b.returns.where(in_period("return_date", "1997")), "return_date", "month", [], {"returned": F.sum("amount")}, name="month")
+    s = periods.spine(spark, "1997-01-01", "1997-12-01", "month", "month")
+    out = grain.multi_fact(s, ["month"], [o, r])
+    return out.select("month", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("ordered", "returned")])

@@ -77,3 +77,9 @@ class QuerySpec:
         """H3: the saved query as a model; its time column keeps the bucket it was built at."""
         buckets = {self.time[0]: self.time[1]} if self.time else {}
         return Model(name=name, df=self.build(catalog), key=tuple([*([self.time[0]] if self.time else []), *self.dims]), buckets=buckets)
+
+
+def sql_model(spark, name: str, text: str, key: tuple[str, ...] = (), args: dict | None = None, time_col: str | None = None) -> Model:
+    """H4/H5: a model backed by SQL text over registered views; ``args`` binds named parameters
+    (``:name`` markers) without string formatting."""
+    return Model(name=name, df=spark.sql(text, args=args or {}), key=key, time_col=time_col)

@@ -195,3 +195,17 @@ def test_weighted_avg_default_weight(spark):
     df = spark.createDataFrame([(2.0, 1), (4.0, 3), (None, 5)], "v double, w int")
     r = df.agg(weighted_avg("v", "w").alias("a"), weighted_avg("v").alias("b")).first()
     assert r.a == pytest.approx(3.5) and r.b == pytest.approx(3.0)
+
+
+def test_order_limit_offset_and_hidden_columns(spark):
+    df = spark.createDataFrame([(i, 10 - i) for i in range(10)], "k int, v int")
+    out = ranking.order_limit(df, [F.col("v").desc()], limit=3, offset=2, drop=["v"])
+    assert out.columns == ["k"] and [r.k for r in out.collect()] == [2, 3, 4]
+
+
+def test_sql_backed_model_with_parameters(spark):
+    from grainline.plans.spec import sql_model
+
+    spark.range(10).createOrReplaceTempView("nums")
+    m = sql_model(spark, "big_nums", "select id from nums where id >= :lo", ("id",), {"lo": 7})
+    assert sorted(r.id for r in m.df.collect()) == [7, 8, 9]
