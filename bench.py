@@ -27,7 +27,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]
-    spark = local_session(cpus=cpus, shuffle_partitions=max(2 * cpus, 8), app="grainline-bench")
+    spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app="grainline-bench")
     questions = {n: q for n, q in all_questions().items() if not only or any(o in n for o in only)}
 
     for name in ("q1_region_total", "j_c03_basket_mix", "t_chasm"):  # warm-up, not timed

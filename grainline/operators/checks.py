@@ -84,19 +84,17 @@ def orphans(child: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: rows, non-NULL values, min, max (as text), distinct values and a unique flag.
 
-    One aggregate pass computes every column's statistics; ``exact=False`` uses HyperLogLog
-    (``approx_count_distinct``) for the distinct count, the bounded-memory choice on very large tables.
+    Counts, minima and maxima come from one plain aggregate (no distinct: no row expansion). Exact
+    distinct counts are one map-side-deduplicated aggregate per column - Parquet reads only that column,
+    and a multi-column ``count(distinct)`` would instead copy every row once per column before the
+    shuffle. ``exact=False`` uses HyperLogLog (``approx_count_distinct``) inside the single pass.
     """
     cols = list(columns or df.columns)
-    dc = (lambda c: F.count_distinct(c)) if exact else (lambda c: F.approx_count_distinct(c))
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs += [
-            F.count(c).alias(f"__n{i}"),
-            F.min(c).cast("string").alias(f"__min{i}"),
-            F.max(c).cast("string").alias(f"__max{i}"),
-            dc(c).alias(f"__d{i}"),
-        ]
+        aggs += [F.count(c).alias(f"__n{i}"), F.min(c).cast("string").alias(f"__min{i}"), F.max(c).cast("string").alias(f"__max{i}")]
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"__d{i}"))
     one = df.agg(*aggs)
     stacked = F.explode(
         F.array(
@@ -106,13 +104,22 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
                     F.col(f"__n{i}").alias("non_null"),
                     F.col(f"__min{i}").alias("min_value"),
                     F.col(f"__max{i}").alias("max_value"),
-                    F.col(f"__d{i}").alias("distinct_values"),
+                    *([] if exact else [F.col(f"__d{i}").alias("distinct_values")]),
                 )
                 for i, c in enumerate(cols)
             ]
         )
     )
     out = one.select(F.col("__rows").alias("rows"), stacked.alias("s")).select("rows", "s.*")
+    if exact:
+        parts = [
+            df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct().agg(F.count(F.lit(1)).alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values")
+            for c in cols
+        ]
+        distinct = parts[0]
+        for p in parts[1:]:
+            distinct = distinct.unionByName(p)
+        out = out.join(F.broadcast(distinct), "column")  # one row per column
     return out.withColumn("is_unique", (F.col("distinct_values") == F.col("non_null")) & (F.col("non_null") == F.col("rows")))
 
 
