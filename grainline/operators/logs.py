@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grainline.plans.model import UnknownReferenceError
@@ -178,9 +177,12 @@ def warning_kind(text: Column) -> Column:
 
 
 def dedup_usage(messages: DataFrame, trace_key: str, message_id: str, order: str, cols: Sequence[str]) -> DataFrame:
-    """Usage counted once per message id (the first occurrence), then summed per trace."""
-    w = Window.partitionBy(trace_key, message_id).orderBy(order)
-    first = messages.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
+    """Usage counted once per message id (its first occurrence), then summed per trace.
+
+    The first occurrence is taken with ``min_by`` in a grouped aggregate (map-side combined), not a
+    per-message window.
+    """
+    first = messages.groupBy(trace_key, message_id).agg(*[F.min_by(c, F.col(order)).alias(c) for c in cols])
     return first.groupBy(trace_key).agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("turns"))
 
 
