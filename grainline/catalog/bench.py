@@ -882,7 +882,10 @@ from unnest(generate_series(date '1997-09-01', date '1997-12-01', interval 1 mon
 )
 def t_rolling_gap(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    r = periods.rolling(b.orders, "order_date", "month", "3m", {"revenue_3m": F.sum}, {"revenue_3m": "amount"}, date_range=["1997-09-01", "1997-12-31"], name="month")
+    r = periods.rolling(
+        b.orders, "order_date", "month", "3m", {"revenue_3m": F.sum}, {"revenue_3m": "amount"},
+        date_range=["1997-09-01", "1997-12-31"], name="month", every_bucket=True,
+    )
     return r.select("month", dbl("revenue_3m").alias("revenue_3m"))
 
 

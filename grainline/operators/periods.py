@@ -102,13 +102,15 @@ def rolling(
     date_range=None,
     name: str = "period",
     distinct_key: str | None = None,
+    every_bucket: bool = False,
 ) -> DataFrame:
     """Aggregates over the half-open window ``[bucket_end - window, bucket_end)`` of every bucket.
 
     ``measures[name](col)`` builds the aggregate of the column ``values[name]``. Each row goes to the
     buckets whose window holds it (at most ``window / unit + 1`` of them); with ``distinct_key`` the rows
     are first reduced to one per (key, day) so distinct counts explode little. Only buckets with rows
-    in their window appear; clip with ``date_range``.
+    in their window appear; clip with ``date_range``. With ``every_bucket`` (needs ``date_range``) every
+    bucket of the range appears, with NULL aggregates where its window is empty (spine semantics).
     """
     n, wunit = _duration(window)
     t = F.col(time_col)
@@ -126,7 +128,13 @@ def rolling(
     window_start = date_add_unit(end_of_bucket, -n, wunit)
     tt = F.col("__t").cast("timestamp_ntz")
     inside = (tt >= window_start.cast("timestamp_ntz")) & (tt < end_of_bucket.cast("timestamp_ntz"))
-    return cand.filter(inside).groupBy(name).agg(*[fn(F.col(values[m])).alias(m) for m, fn in measures.items()])
+    out = cand.filter(inside).groupBy(name).agg(*[fn(F.col(values[m])).alias(m) for m, fn in measures.items()])
+    if every_bucket and date_range is not None:
+        start, end = date_range_bounds(date_range)
+        last_start = date_add_unit(F.lit(end.isoformat()).cast("date"), -1, unit)
+        grid = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start.isoformat()).cast("date"), last_start, F.expr(f"interval {_STEP[unit]}"))).alias(name))
+        out = grid.join(out, name, "left")
+    return out
 
 
 def fill_periods(

@@ -209,3 +209,9 @@ def test_sql_backed_model_with_parameters(spark):
     spark.range(10).createOrReplaceTempView("nums")
     m = sql_model(spark, "big_nums", "select id from nums where id >= :lo", ("id",), {"lo": 7})
     assert sorted(r.id for r in m.df.collect()) == [7, 8, 9]
+
+
+def test_rolling_every_bucket_keeps_empty_windows(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 10), 5.0)], "d date, v double")
+    r = periods.rolling(df, "d", "month", "1m", {"s": F.sum}, {"s": "v"}, date_range=["2024-01-01", "2024-03-31"], name="m", every_bucket=True)
+    assert {x.m: x.s for x in r.collect()} == {dt.date(2024, 1, 1): 5.0, dt.date(2024, 2, 1): None, dt.date(2024, 3, 1): None}
