@@ -17,9 +17,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # AQE turns a shuffled join into a broadcast only when the runtime size of a side is below this.
+    # AQE turns a shuffled join into a broadcast only when the *measured* size of a side (shuffle
+    # statistics at runtime) is below this; the static threshold stays at Spark's default because it
+    # trusts file-size estimates.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
-    "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
