@@ -385,7 +385,7 @@ def j_q09_store_growth_2024_2025(spark, sf_dir):
     a = y.where(F.col("yr") == int(Y2024)).select("store", F.col("net_sales").alias("sales_2024"))
     b = y.where(F.col("yr") == int(Y2025)).select("store", F.col("net_sales").alias("sales_2025"))
     out = a.join(b, "store", "inner")  # C16: present in both periods
-    return out.withColumn("growth", F.col("sales_2025") / F.col("sales_2024") - 1)
+    return out.withColumn("growth", ratio(F.col("sales_2025"), F.col("sales_2024")) - 1)
 
 
 @question(

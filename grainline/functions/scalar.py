@@ -37,8 +37,11 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """Double division of two aggregates (both engines give the IEEE quotient of the same operands)."""
-    return a.cast("double") / b.cast("double")
+    """Double division of two aggregates; NULL for a zero denominator (as SQL engines without ANSI errors).
+
+    Both engines give the IEEE quotient of the same operands, so exact inputs give identical results.
+    """
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def dollars(cents: Column | str) -> Column:

@@ -19,6 +19,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainline.functions.scalar import ratio
 from grainline.plans.model import MetricResult, ReaggregationError, ResultWarning
 
 
@@ -68,7 +69,7 @@ def share(grouped: DataFrame, value: str, partition_by: Sequence[str], name: str
     """``value / sum(value) over partition_by`` (additive measure), as DOUBLE."""
     tot = f"__tot_{name}"
     out = with_total(grouped, {tot: F.sum(value)}, partition_by)
-    return out.withColumn(name, F.col(value).cast("double") / F.col(tot).cast("double")).drop(tot)
+    return out.withColumn(name, ratio(F.col(value), F.col(tot))).drop(tot)
 
 
 def calc_dim_rollup(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from grainline.functions.scalar import ratio
 from grainline.plans.model import MetricResult, ResultWarning
 
 
@@ -89,7 +90,7 @@ def top_share(
     tiled = ntile_global(df.select(value, *([key] if key else [])), order, n_tiles, "__tile")
     top = F.col("__tile") == 1
     return tiled.agg(
-        (F.sum(F.when(top, F.col(value))).cast("double") / F.sum(value).cast("double")).alias(share_name),
+        ratio(F.sum(F.when(top, F.col(value))), F.sum(value)).alias(share_name),
         F.count(F.when(top, 1)).alias(count_name),
     )
 
@@ -99,7 +100,7 @@ def best_vs_avg(s: DataFrame, group: Sequence[str], value: str, name_avg: str =
     avg = s.groupBy(*group).agg((F.sum(value).cast("double") / F.count(F.lit(1))).alias(name_avg))
     best = top_n_per_group(s, value, group, 1)
     out = best.join(avg, list(group), "left")
-    return out.withColumn(name_above, F.col(value).cast("double") / F.col(name_avg) - 1)
+    return out.withColumn(name_above, ratio(F.col(value), F.col(name_avg)) - 1)
 
 
 def order_limit(df: DataFrame, order: Sequence[Column], limit: int | None = None, offset: int = 0, drop: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainline.functions.calendar import bucket
+from grainline.functions.scalar import ratio
 
 
 def basket_flags(lines: DataFrame, key: Sequence[str], flags: Mapping[str, Column]) -> DataFrame:
@@ -93,8 +94,8 @@ def comparable_growth(df: DataFrame, value: str, ts: str, opened: str, cutoff_fa
     return agg.select(
         "ytd_prev",
         "ytd_cur",
-        (F.col("ytd_cur") / F.col("ytd_prev") - 1).alias("headline_growth"),
+        (ratio(F.col("ytd_cur"), F.col("ytd_prev")) - 1).alias("headline_growth"),
         "ss_prev",
         "ss_cur",
-        (F.col("ss_cur") / F.col("ss_prev") - 1).alias("same_store_growth"),
+        (ratio(F.col("ss_cur"), F.col("ss_prev")) - 1).alias("same_store_growth"),
     )
