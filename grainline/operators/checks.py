@@ -18,24 +18,24 @@ from grainline.operators.periods import spine
 def rebase_dates(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], anchor: str) -> dict[str, DataFrame]:
     """Shift date/timestamp columns of several tables by one delta so the latest value falls on ``anchor``.
 
-    The delta (days) comes from one aggregate over all the given columns, cross-joined as a one-row
-    broadcast; each table keeps its rows and other columns.
+    The delta (days) comes from one aggregate over all the given columns, inlined as a scalar subquery;
+    each table keeps its rows and other columns.
     """
     maxes = None
     for df, cols in tables.values():
         m = df.agg(F.greatest(*[F.to_date(F.max(c)) for c in cols]).alias("__m")) if len(cols) > 1 else df.agg(F.to_date(F.max(cols[0])).alias("__m"))
         maxes = m if maxes is None else maxes.unionByName(m)
-    delta = maxes.agg(F.datediff(F.lit(anchor).cast("date"), F.max("__m")).alias("__delta"))
+    delta = maxes.agg(F.datediff(F.lit(anchor).cast("date"), F.max("__m"))).scalar()
     out = {}
     for name, (df, cols) in tables.items():
-        d = df.crossJoin(F.broadcast(delta))
+        d = df
         for c in cols:
             t = df.schema[c].dataType.typeName()
             if t == "date":
-                d = d.withColumn(c, F.date_add(F.col(c), F.col("__delta")))
+                d = d.withColumn(c, F.date_add(F.col(c), delta))
             else:
-                d = d.withColumn(c, F.timestamp_add("DAY", F.col("__delta"), F.col(c)))
-        out[name] = d.drop("__delta")
+                d = d.withColumn(c, F.timestamp_add("DAY", delta, F.col(c)))
+        out[name] = d
     return out
 
 

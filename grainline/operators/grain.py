@@ -7,7 +7,7 @@ Rules that keep numbers right when tables fan out:
 * coarser-grain totals are computed from an aggregate at that grain and joined back, not by a window
   over all groups: a window partitioned by a low-cardinality key puts a whole partition in one task,
   while the aggregate is pre-combined map-side and its (small) result is broadcast at runtime by AQE;
-* a grand total is a one-row aggregate cross-joined (broadcast of one row) instead of an unpartitioned
+* a grand total is a scalar subquery (one aggregate, inlined as a value) instead of an unpartitioned
   window;
 * non-additive totals (distinct counts) are recounted from the base rows, never added up (S15).
 """
@@ -26,7 +26,7 @@ from grainline.plans.model import MetricResult, ReaggregationError, ResultWarnin
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """C14: join on ``on`` with ``<=>`` so that a NULL dimension value matches itself; keeps left's keys."""
     if not on:
-        return left.crossJoin(F.broadcast(right)) if how != "cross" else left.crossJoin(right)
+        raise ValueError("null_safe_join needs join keys; a grand total is a scalar (with_total with no partition)")
     renamed = right
     for k in on:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
@@ -59,9 +59,14 @@ def with_total(
     empty ``partition_by`` is the grand total (one broadcast row).
     """
     src = grouped if source is None else source
-    agg = aggregate(src, partition_by, totals)
     if not partition_by:
-        return grouped.crossJoin(F.broadcast(agg))
+        # a scalar subquery per total: computed once (Catalyst merges those over the same input) and
+        # inlined as a value - no join, no single-partition window
+        out = grouped
+        for n, c in totals.items():
+            out = out.withColumn(n, src.agg(c.alias(n)).scalar())
+        return out
+    agg = aggregate(src, partition_by, totals)
     return null_safe_join(grouped, agg, partition_by, "left")
 
 
@@ -157,8 +162,8 @@ def associate(df: DataFrame, dims: Sequence[str], entity_key: str, value: str, n
 
 
 def broadcast_total(dims_df: DataFrame, dims: Sequence[str], total: DataFrame, name: str) -> MetricResult:
-    """A one-row total repeated on every dimension value, with a warning."""
-    res = dims_df.select(*dims).distinct().crossJoin(F.broadcast(total.select(F.col(total.columns[0]).alias(name))))
+    """A one-row total repeated on every dimension value (a scalar subquery), with a warning."""
+    res = dims_df.select(*dims).distinct().withColumn(name, total.select(F.col(total.columns[0])).scalar())
     msg = f"{name} cannot be split by {', '.join(dims)}; the same total is broadcast across every row"
     return MetricResult(res, [ResultWarning("broadcast", msg)])
 

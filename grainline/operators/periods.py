@@ -146,8 +146,10 @@ def fill_periods(
     grid = spine(spark, lo, hi, unit, period)
     dims: list[str] = []
     if dims_df is not None:
+        # every period for every dimension value: each distinct dimension row generates its periods
         dims = dims_df.columns
-        grid = grid.crossJoin(dims_df.distinct())
+        seq = F.sequence(F.lit(str(lo)).cast("date"), F.lit(str(hi)).cast("date"), F.expr(f"interval {_STEP[unit]}"))
+        grid = dims_df.distinct().select(F.explode(seq).alias(period), *dims)
     out = null_safe_join(grid, s, [period, *dims], "left")
     for v in values:
         out = out.withColumn(v, F.coalesce(F.col(v), F.lit(fill)))
@@ -164,16 +166,16 @@ def whole_periods_only(s: DataFrame, period: str, unit: str, facts: DataFrame, t
     """drop buckets that the data does not cover fully (an incomplete first or last period).
 
     A bucket is whole when it starts on or after the first data day and ends on or before the day after
-    the last data day; the bounds are a one-row aggregate of ``facts`` (broadcast). Warns when the
+    the last data day; the bounds are a one-row aggregate of ``facts`` (scalar subqueries). Warns when the
     stored unit does not nest in ``unit`` (weeks in months).
     """
     warnings = []
     if stored == "week" and unit in ("month", "quarter", "year"):
         warnings.append(ResultWarning("whole_periods_non_nesting", "whole_periods_only: weeks do not nest in months"))
     bounds = facts.agg(F.to_date(F.min(time_col)).alias("__lo"), F.date_add(F.to_date(F.max(time_col)), 1).alias("__hi"))
+    lo, hi = bounds.select("__lo").scalar(), bounds.select("__hi").scalar()  # one merged scalar subquery
     p = F.col(period)
-    out = s.crossJoin(F.broadcast(bounds)).filter((p >= F.col("__lo")) & (date_add_unit(p, 1, unit) <= F.col("__hi")))
-    return MetricResult(out.drop("__lo", "__hi"), warnings)
+    return MetricResult(s.filter((p >= lo) & (date_add_unit(p, 1, unit) <= hi)), warnings)
 
 
 def consecutive_periods(s: DataFrame, period: str, cond: Column, dims: Sequence[str] = (), name: str = "streak") -> DataFrame:

@@ -75,17 +75,18 @@ def comparable_growth(df: DataFrame, value: str, ts: str, opened: str, cutoff_fa
     """Headline and same-store year-to-date totals (in dollars from cents) and their growth.
 
     Same-store rows belong to entities opened before the prior window starts. One pass over the facts:
-    the one-row bounds are broadcast and four filtered sums (D17) are taken together.
+    the bounds are scalar subqueries and four filtered sums (D17) are taken together.
     """
     b = ytd_bounds(cutoff_facts, ts)
     t = F.col(ts)
+    bound = {c: b.select(F.col(c).cast("timestamp_ntz")).scalar() for c in b.columns}  # merged into one subquery
 
     def inside(a: str, z: str) -> Column:
-        return (t >= F.col(a).cast("timestamp_ntz")) & (t < F.col(z).cast("timestamp_ntz"))
+        return (t >= bound[a]) & (t < bound[z])
 
-    same = F.col(opened) < F.col("prev_start").cast("timestamp_ntz")
+    same = F.col(opened) < bound["prev_start"]
     v = F.col(value)
-    agg = df.crossJoin(F.broadcast(b)).agg(
+    agg = df.agg(
         (F.sum(F.when(inside("prev_start", "prev_end"), v)) / 100.0).alias("ytd_prev"),
         (F.sum(F.when(inside("cur_start", "cur_end"), v)) / 100.0).alias("ytd_cur"),
         (F.sum(F.when(same & inside("prev_start", "prev_end"), v)) / 100.0).alias("ss_prev"),
