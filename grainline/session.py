@@ -52,13 +52,23 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a scratch folder only where none is named."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The checkpoint folder: the shared one the session names in ``spark.checkpoint.dir``.
+
+    A scratch folder is chosen only in local mode when none is named (tests); on a cluster nothing is
+    invented - no question needs to cut lineage, and a machine-local folder would not survive an
+    executor loss.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = configured or tempfile.mkdtemp(prefix="grainline-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        sc.setCheckpointDir(configured)
+        return configured
+    if sc.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="grainline-ckpt-")
+        sc.setCheckpointDir(path)
+        return path
+    return None
