@@ -36,7 +36,7 @@ WARNING_PATTERNS = (
     (r"^\[[^\]]+\] (rewrote|flagged) ", "normalization"),
     (r"whole[_ ]periods", "whole_periods_non_nesting"),
 )
-# Error text -> exception class: "Error executing tool X: <Class>: ..." or a bare "<Class>: ...".
+# Error text -> exception class: "Error executing tool X: <Class>: ..." or a bare "<Class>: ..." (fixed values).
 PREFIXED_ERROR = r"Error executing tool [\w.-]+: ([A-Za-z_][\w.]*):"
 BARE_ERROR = r"^([A-Za-z_][\w.]*(?:Error|Exception)): "
 
