@@ -171,3 +171,23 @@ def broadcast_total(dims_df: DataFrame, dims: Sequence[str], total: DataFrame, n
 def refuse_unattributable(measure: str, dims: Sequence[str]) -> None:
     """Error mode of an unattributable dimension."""
     raise ReaggregationError(f"{measure} cannot be attributed to {', '.join(dims)}: the path fans out")
+
+
+def unattributable(
+    mode: str, df: DataFrame, dims: Sequence[str], entity_key: str, value: str, name: str, total: DataFrame | None = None
+) -> MetricResult:
+    """A measure of a parent asked by a dimension the parent cannot be attributed to.
+
+    ``mode`` is the ``to_many_handling`` choice: ``'associate'`` (each entity once per dimension value,
+    warns), ``'broadcast'`` (the parent total repeated on every value, warns; ``total`` is its one-row
+    aggregate) or ``'error'`` (refuses).
+    """
+    if mode == "associate":
+        return associate(df, dims, entity_key, value, name)
+    if mode == "broadcast":
+        if total is None:
+            total = df.dropDuplicates([entity_key]).agg(F.sum(value))
+        return broadcast_total(df, dims, total, name)
+    if mode == "error":
+        refuse_unattributable(name, dims)
+    raise ValueError(f"unknown to_many_handling {mode!r}")

@@ -116,7 +116,12 @@ def order_limit(df: DataFrame, order: Sequence[Column], limit: int | None = None
     return out.drop(*drop) if drop else out
 
 
-def bounded(df: DataFrame, n: int = 1000) -> MetricResult:
+# Default row caps (fixed values): a semantic query shows 20 rows, the SQL tool 1,000.
+QUERY_ROW_CAP = 20
+SQL_ROW_CAP = 1000
+
+
+def bounded(df: DataFrame, n: int = SQL_ROW_CAP) -> MetricResult:
     """At most ``n`` rows and a ``truncated`` warning when more exist.
 
     Reads ``n + 1`` rows (a limit, not a count of the whole result).

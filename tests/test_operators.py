@@ -215,3 +215,29 @@ def test_rolling_every_bucket_keeps_empty_windows(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 10), 5.0)], "d date, v double")
     r = periods.rolling(df, "d", "month", "1m", {"s": F.sum}, {"s": "v"}, date_range=["2024-01-01", "2024-03-31"], name="m", every_bucket=True)
     assert {x.m: x.s for x in r.collect()} == {dt.date(2024, 1, 1): 5.0, dt.date(2024, 2, 1): None, dt.date(2024, 3, 1): None}
+
+
+def test_unattributable_modes(spark):
+    df = spark.createDataFrame([("ok", 1, 10.0), ("bad", 1, 10.0), ("ok", 2, 5.0)], "status string, cid int, credit double")
+    assoc = grain.unattributable("associate", df, ["status"], "cid", "credit", "t")
+    assert {r.status: r.t for r in assoc.df.collect()} == {"ok": 15.0, "bad": 10.0} and assoc.kinds() == ["associated"]
+    bc = grain.unattributable("broadcast", df, ["status"], "cid", "credit", "t")
+    assert {r.status: r.t for r in bc.df.collect()} == {"ok": 15.0, "bad": 15.0} and bc.kinds() == ["broadcast"]
+    with pytest.raises(ReaggregationError):
+        grain.unattributable("error", df, ["status"], "cid", "credit", "t")
+
+
+def test_normalize_values(spark):
+    from grainline.functions.scalar import normalize_value
+
+    df = spark.createDataFrame([(float("nan"), " 12.5 ", "2025-03", dt.datetime(2025, 1, 2), dt.datetime(2025, 1, 2, 3, 4, 5))], "x double, s string, m string, t0 timestamp_ntz, t1 timestamp_ntz")
+    r = df.select(
+        normalize_value("x", "double").alias("x"), normalize_value("s", "string").alias("s"), normalize_value("m", "string").alias("m"),
+        normalize_value("t0", "timestamp_ntz").alias("t0"), normalize_value("t1", "timestamp_ntz").alias("t1"),
+    ).first()
+    assert r.x is None and r.s == "12.5" and r.m == "2025-03-01" and r.t0 == "2025-01-02" and r.t1.startswith("2025-01-02T03:04:05")
+
+
+def test_default_row_cap(spark):
+    res = ranking.bounded(spark.range(25), ranking.QUERY_ROW_CAP)
+    assert res.df.count() == 20 and res.kinds() == ["truncated"]
