@@ -37,7 +37,7 @@ def b17_phrase_hits(spark, sf_dir):
 
 @question(
     "l8_call_digest",
-    f"""select conv_id, turn + 1 as call_no,
+    f"""select conv_id, turn + 1 as call_no, cast(length(regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g')) as bigint) as chars,
   '#' || cast(turn + 1 as varchar) || ' `' || role || '` ' ||
   case when length(regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g')) <= {logs.DIGEST_CHARS} then regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g')
        else substr(regexp_replace(text, '[\\n\\r\\t ]+', ' ', 'g'), 1, {logs.DIGEST_CHARS - 1}) || '…' end as line

@@ -153,11 +153,15 @@ def clip(text: Column, n: int = DIGEST_CHARS) -> Column:
 
 
 def call_digest(calls: DataFrame, trace_key: str, pos: str, tool: str, text: str) -> DataFrame:
-    """One line per call: ``#n `tool` <what, whitespace collapsed, clipped>``."""
+    """One line per call: ``#n `tool` <what, whitespace collapsed, clipped for display>``.
+
+    The whole text is processed; ``chars`` is the length of the collapsed text, of which the display
+    line shows at most ``DIGEST_CHARS`` characters.
+    """
     what = F.regexp_replace(F.col(text), r"[\n\r\t ]+", " ")
     n = (F.col(pos) + 1).cast("long")
     line = F.concat(F.lit("#"), n.cast("string"), F.lit(" `"), F.col(tool), F.lit("` "), clip(what))
-    return calls.select(F.col(trace_key), n.alias("call_no"), line.alias("line"))
+    return calls.select(F.col(trace_key), n.alias("call_no"), F.length(what).cast("long").alias("chars"), line.alias("line"))
 
 
 def error_kind(text: Column) -> Column:
