@@ -46,21 +46,21 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
 
     Rows are range-partitioned and sorted (``orderBy``); ``monotonically_increasing_id`` encodes
     (partition, position); one count per partition (a bounded, broadcast table) gives each partition's
-    offset. Ties are placed arbitrarily, as in SQL.
+    offset. Ties are placed arbitrarily, as in SQL. Also adds ``__total`` (the row count).
     """
-    ordered = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__part", F.shiftright(F.col("__id"), 33)).withColumn(
-        "__pos", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*order).withColumn("__grn_id", F.monotonically_increasing_id())
+    ordered = ordered.withColumn("__grn_part", F.shiftright(F.col("__grn_id"), 33)).withColumn(
+        "__grn_pos", F.col("__grn_id").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    counts = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ordered.groupBy("__grn_part").agg(F.count(F.lit(1)).alias("__grn_cnt"))
+    w = Window.orderBy("__grn_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "__part",
-        F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"),
-        F.sum("__cnt").over(Window.partitionBy(F.lit(1))).alias("__total"),
+        "__grn_part",
+        F.coalesce(F.sum("__grn_cnt").over(w), F.lit(0)).alias("__grn_off"),
+        F.sum("__grn_cnt").over(Window.partitionBy(F.lit(1))).alias("__total"),
     )
-    out = ordered.join(F.broadcast(offsets), "__part")  # one row per partition
-    return out.withColumn(name, F.col("__off") + F.col("__pos")).drop("__id", "__part", "__pos", "__off")
+    out = ordered.join(F.broadcast(offsets), "__grn_part")  # one row per partition
+    return out.withColumn(name, F.col("__grn_off") + F.col("__grn_pos")).drop("__grn_id", "__grn_part", "__grn_pos", "__grn_off")
 
 
 def ntile_global(df: DataFrame, order: Sequence[Column], n: int, name: str = "tile") -> DataFrame:
@@ -131,3 +131,31 @@ def bounded(df: DataFrame, n: int = SQL_ROW_CAP) -> MetricResult:
     out = df.limit(n)
     warnings = [ResultWarning("truncated", f"showing first {n} rows")] if more else []
     return MetricResult(out, warnings)
+
+
+def percentile_by_rank(df: DataFrame, group: Sequence[str], value: str, p: float, name: str) -> DataFrame:
+    """D8/D9 at scale: the exact interpolated percentile (``percentile_cont``) of ``value`` per group.
+
+    An exact percentile aggregate keeps every distinct value of a group in one task's memory; here
+    rows are ranked inside their group from a range-partitioned sort (position minus the group's first
+    position, both distributed), and only the two rows around ``p * (n - 1)`` per group are aggregated.
+    NULL values are ignored, as by the aggregate.
+    """
+    v = df.select(*group, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
+    numbered = global_row_number(v, [*[F.col(g).asc_nulls_first() for g in group], F.col("__v").asc()], "__pos").drop("__total")
+    stats = numbered.groupBy(*group).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    renamed = stats.select(*[F.col(g).alias(f"__g_{g}") for g in group], "__first", "__n")
+    cond = F.lit(True)
+    for g in group:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    ranked = numbered.join(renamed, cond).withColumn("__r", F.col("__pos") - F.col("__first"))
+    pos = F.lit(p) * (F.col("__n") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    near = ranked.where((F.col("__r") == lo) | (F.col("__r") == hi))
+    agg = near.groupBy(*group).agg(
+        F.max(F.when(F.col("__r") == lo, F.col("__v"))).cast("double").alias("__lo"),
+        F.max(F.when(F.col("__r") == hi, F.col("__v"))).cast("double").alias("__hi"),
+        F.first(pos).alias("__p"),
+    )
+    frac = F.col("__p") - F.floor(F.col("__p"))
+    return agg.select(*group, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac).alias(name))

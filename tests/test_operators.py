@@ -241,3 +241,14 @@ def test_normalize_values(spark):
 def test_default_row_cap(spark):
     res = ranking.bounded(spark.range(25), ranking.QUERY_ROW_CAP)
     assert res.df.count() == 20 and res.kinds() == ["truncated"]
+
+
+@pytest.mark.parametrize("p", [0.5, 0.9, 0.0, 1.0, 0.37])
+def test_percentile_by_rank_equals_percentile(spark, p):
+    rows = [(g, float((i * 7919) % 101)) for g in ("a", "b", None) for i in range(1 + (13 if g == "a" else 6 if g == "b" else 1))]
+    df = spark.createDataFrame(rows + [("a", None)], "g string, v double").repartition(4)
+    mine = {r.g: r.q for r in ranking.percentile_by_rank(df, ["g"], "v", p, "q").collect()}
+    ref = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+    assert mine.keys() == ref.keys()
+    for k in ref:
+        assert mine[k] == pytest.approx(ref[k], rel=1e-12, abs=1e-12)
