@@ -243,3 +243,19 @@ def n_bad_orders_by_tier(spark, sf_dir):
     b = _bench(spark, sf_dir)
     o = b.orders.where(F.col("status") == BAD).join(b.customers.select(F.col("id").alias("__c"), "tier"), F.col("customer_id") == F.col("__c"))
     return o.groupBy("tier").agg(count_rows().alias("bad_orders"))
+
+
+def _sample_sql(col: str) -> str:
+    return f"""select '{col}' as "column", case when count(*) > 50 then '50+ distinct'
+  else coalesce(string_agg(cast(v as varchar), ', ' order by v), '') end as sample_values
+from (select distinct {col} as v from b_orders where {col} is not null order by v limit 51)"""
+
+
+@question(
+    "n6_orders_value_sample",
+    "\nunion all\n".join(_sample_sql(c) for c in ("status", "order_date", "customer_id")),
+    ("N6",),
+)
+def n6_orders_value_sample(spark, sf_dir):
+    """The inspection view of a model: a few distinct values of each column, or '50+ distinct'."""
+    return checks.value_sample(_bench(spark, sf_dir).orders, ["status", "order_date", "customer_id"])

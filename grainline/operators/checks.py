@@ -135,3 +135,25 @@ def allocate(df: DataFrame, key: str, cents: Column, parts: Column, name: str =
     last = F.col("part_no") == F.col("__n")
     amount = F.when(last, F.col("__c") - share * (F.col("__n") - 1)).otherwise(share)
     return ex.select(key, F.col("part_no").cast("long").alias("part_no"), amount.cast("long").alias(name))
+
+
+def value_sample(df: DataFrame, columns: Sequence[str], limit: int = 50, sep: str = ", ") -> DataFrame:
+    """Per column, its distinct non-NULL values in order as text, or ``'<limit>+ distinct'``.
+
+    Each column's distinct values are reduced (map-side), ordered and cut to ``limit + 1`` (a top-k, so
+    each task keeps only that many) before they are gathered; nothing unbounded reaches one task.
+    """
+    parts = []
+    for c in columns:
+        top = df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct().orderBy("__v").limit(limit + 1)
+        ordered = F.array_sort(F.collect_list("__v"))
+        text = F.array_join(F.transform(ordered, lambda x: x.cast("string")), sep)
+        parts.append(
+            top.agg(F.count(F.lit(1)).alias("__n"), text.alias("__t")).select(
+                F.lit(c).alias("column"), F.when(F.col("__n") > limit, F.lit(f"{limit}+ distinct")).otherwise(F.col("__t")).alias("sample_values")
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
