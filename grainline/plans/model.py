@@ -8,7 +8,7 @@ are implied and are never attached: a measure from the many side is aggregated a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -152,6 +152,23 @@ class Catalog:
             cur = hop
         return "many_to_one"
 
+    def prove_unique(self, model: str, columns: Sequence[str]) -> bool:
+        """Is ``columns`` a key of ``model``'s data? One distributed aggregate (duplicate groups
+        are counted, nothing is collected but that count)."""
+        df = self[model].df
+        dup = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+        return dup.limit(1).count() == 0
+
+    def proven_cardinality(self, source: str, target: str) -> str:
+        """M1: the declared cardinality of an edge, or 'many_to_one' when the target side of an
+        undeclared join is proven unique by the data, else 'fanning or unproven'."""
+        j = self.edge(source, target)
+        if j.cardinality in ("many_to_one", "one_to_one"):
+            return j.cardinality
+        if self.prove_unique(target, [b for _, b in j.pairs]):
+            return "many_to_one"
+        return "fanning or unproven"
+
     def attach(self, root: str, refs: Mapping[str, str], df: DataFrame | None = None) -> DataFrame:
         """The root's rows with each ``alias -> 'model.model.column'`` attached by left joins.
 

@@ -252,3 +252,15 @@ def test_percentile_by_rank_equals_percentile(spark, p):
     assert mine.keys() == ref.keys()
     for k in ref:
         assert mine[k] == pytest.approx(ref[k], rel=1e-12, abs=1e-12)
+
+
+def test_proven_cardinality(spark):
+    from grainline.plans.model import Catalog, Join
+
+    a = spark.createDataFrame([(1, 10), (2, 10), (3, 20)], "id int, b_id int")
+    b_unique = spark.createDataFrame([(10, "x"), (20, "y")], "id int, name string")
+    b_dup = spark.createDataFrame([(10, "x"), (10, "z")], "id int, name string")
+    cat = Catalog(Model("a", a, ("id",), joins={"b": Join("b", (("b_id", "id"),), "unknown")}), Model("b", b_unique, ("id",)))
+    assert cat.proven_cardinality("a", "b") == "many_to_one"
+    cat.add(Model("b", b_dup, ("id",)))
+    assert cat.proven_cardinality("a", "b") == "fanning or unproven"
