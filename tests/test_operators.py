@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL

@@ -4,7 +4,6 @@ import json
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from grainline.catalog import all_questions
