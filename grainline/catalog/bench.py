@@ -42,8 +42,9 @@ def _bench(spark: SparkSession, sf_dir: str) -> Bench:
     return Bench(spark, sf_dir)
 
 
+@lru_cache(maxsize=8)
 def models(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The order database's models and declared joins (the semantic layer's graph)."""
+    """The order database's models and declared joins (the semantic layer's graph); one per session and folder."""
     b = _bench(spark, sf_dir)
     cat = Catalog(
         Model("regions", b.regions, ("id",), max_rows=Bench.REGION_ROWS),
