@@ -1,26 +1,36 @@
-"""Every registered question equals its independent DuckDB oracle (sf0.001); the rest run and return rows."""
+"""Every registered question equals its independent DuckDB oracle (sf0.001 by default, or the folder in
+``GRAINLINE_TEST_SF``); the rest run and return rows."""
+
+import os
 
 import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF_SMALL
 from grainline.catalog import all_questions
-from oracle import compare
+from oracle import compare, duck
+
+SF = os.environ.get("GRAINLINE_TEST_SF", SF_SMALL)
 
 QUESTIONS = all_questions()
 WITH_ORACLE = sorted(n for n, q in QUESTIONS.items() if q.oracle)
 WITHOUT = sorted(n for n, q in QUESTIONS.items() if not q.oracle)
 
 
+@pytest.fixture(scope="module")
+def oracle_con():
+    return duck(SF)
+
+
 @pytest.mark.parametrize("name", WITH_ORACLE)
-def test_question_matches_oracle(spark, duck_small, name):
+def test_question_matches_oracle(spark, oracle_con, name):
     q = QUESTIONS[name]
-    assert compare(q.build(spark, SF_SMALL), duck_small, q.oracle) is None
+    assert compare(q.build(spark, SF), oracle_con, q.oracle) is None
 
 
 @pytest.mark.parametrize("name", WITHOUT)
 def test_question_without_oracle_runs(spark, name):
-    df = QUESTIONS[name].build(spark, SF_SMALL)
+    df = QUESTIONS[name].build(spark, SF)
     assert df.count() >= 0 and df.columns
 
 
