@@ -43,3 +43,14 @@ def test_entry_contract(spark):
 
 def test_every_question_covers_operators():
     assert all(q.covers for q in QUESTIONS.values())
+
+
+@pytest.mark.parametrize("name", ["f2_quarter_hour_events", "t_march_events", "j_c01_peak_weekday_hour", "j_q04_monthly_orders_2026", "f5_whole_weeks_events"])
+def test_time_questions_do_not_depend_on_the_session_zone(spark, oracle_con, name):
+    q = QUESTIONS[name]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert compare(q.build(spark, SF), oracle_con, q.oracle) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
