@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.catalog.registry import question
-from grainline.functions.aggregates import count_rows
+from grainline.functions.aggregates import count_rows, weighted_avg
 from grainline.functions.calendar import in_period, in_range, iso_weekday, last_complete
 from grainline.functions.scalar import band, ratio
 from grainline.operators import grain, periods, ranking, relations
@@ -82,6 +82,15 @@ def models(spark: SparkSession, sf_dir: str) -> Catalog:
 MONTHLY_REV = QuerySpec(source="orders", measures={"revenue": lambda: F.sum("amount")}, time=("order_date", "month"))
 
 
+def _by_customer(b: Bench, orders: DataFrame, dims, partials, finals) -> DataFrame:
+    """Orders aggregated per customer first, then by the customer's attributes (eager aggregation)."""
+    return grain.eager_aggregate(orders, "customer_id", b.customer_dims, "id", dims, partials, finals)
+
+
+def _revenue_by(b: Bench, orders: DataFrame, dims) -> DataFrame:
+    return _by_customer(b, orders, dims, {"__s": F.sum("amount")}, {"revenue": F.sum("__s")})
+
+
 def _monthly(b: Bench) -> DataFrame:
     return periods.series(b.orders, "order_date", "month", [], {"revenue": F.sum("amount")}, name="month")
 
@@ -98,7 +107,7 @@ from b_orders_flat group by 1, 2""",
 )
 def q1_region_total(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    g = grain.aggregate(b.orders_flat, ["region", "city"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders, ["region", "city"])
     g = grain.with_total(g, {"region_total": F.sum("revenue")}, ["region"])
     return g.select("region", "city", dbl("revenue").alias("revenue"), dbl("region_total").alias("region_total"))
 
@@ -113,7 +122,7 @@ from b_orders_flat group by 1, 2""",
 )
 def q2_city_share(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    g = grain.aggregate(b.orders_flat, ["region", "city"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders, ["region", "city"])
     g = grain.share(g, "revenue", ["region"], "share_of_region")
     g = grain.share(g, "revenue", [], "share_of_total")
     return g.select("region", "city", "share_of_region", "share_of_total")
@@ -127,7 +136,8 @@ from (select region, city, sum(amount) as rev from b_orders_flat group by 1, 2)
 )
 def q3_avg_city_revenue(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    res = grain.reaggregate(b.orders_flat, ["region", "city"], F.sum("amount"), ["region"], lambda v: ratio(F.sum(v), F.count(v)), "avg_city_revenue")
+    cities = _revenue_by(b, b.orders, ["region", "city"])  # the inner level, aggregated per customer first
+    res = grain.reaggregate(cities, ["region", "city"], F.sum("revenue"), ["region"], lambda v: ratio(F.sum(v), F.count(v)), "avg_city_revenue")
     return res.df
 
 
@@ -189,8 +199,8 @@ from o left join c on o.region is not distinct from c.region""",
 )
 def q6_region_credit(spark, sf_dir):
     cat = models(spark, sf_dir)
-    o = cat.attach("orders", {"region": "customers.regions.name"})
-    o = grain.aggregate(o, ["region"], {"revenue": F.sum("amount")})
+    b = _bench(spark, sf_dir)
+    o = _revenue_by(b, b.orders, ["region"])
     c = cat.attach("customers", {"region": "regions.name"})
     c = grain.aggregate(c, ["region"], {"total_credit": F.sum("credit")})
     out = grain.null_safe_join(o, c, ["region"])  # root orders: only regions with orders (S10)
@@ -236,7 +246,9 @@ group by 1""",
 )
 def q9_credit_by_status_associated(spark, sf_dir):
     cat = models(spark, sf_dir)
-    o = cat.attach("orders", {"credit": "customers.credit"})
+    # the (status, customer) pairs first: the join to the customer's credit sees each pair once
+    pairs = cat["orders"].df.select("status", "customer_id").distinct()
+    o = cat.attach("orders", {"credit": "customers.credit"}, df=pairs)
     res = grain.associate(o, ["status"], "customer_id", "credit", "total_credit")
     return res.df.select("status", dbl("total_credit").alias("total_credit"))
 
@@ -288,9 +300,12 @@ def q11_rolling_customers(spark, sf_dir):
     ("B13", "C1"),
 )
 def q12_net_revenue(spark, sf_dir):
-    cat = models(spark, sf_dir)
-    o = cat.attach("orders", {"region": "customers.regions.name", "discount": "customers.discount"})
-    return o.groupBy("region").agg(dbl(F.sum(F.col("amount") - F.col("discount"))).alias("net_revenue"))
+    b = _bench(spark, sf_dir)
+    # sum(amount - discount) over a customer's orders = sum(amount) - orders * discount (NULL when unknown)
+    return _by_customer(
+        b, b.orders, ["region"], {"__s": F.sum("amount"), "__n": count_rows()},
+        {"net_revenue": dbl(F.sum(F.col("__s") - F.col("__n") * F.col("discount")))},
+    )
 
 
 @question(
@@ -301,7 +316,8 @@ group by 1 order by sum(amount) desc, city limit 3""",
 )
 def q13_top_cities_count(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    g = b.orders_flat.where(F.col("city").isNotNull()).groupBy("city").agg(count_rows().alias("orders"), F.sum("amount").alias("__rev"))
+    g = _by_customer(b, b.orders, ["city"], {"__n": count_rows(), "__s": F.sum("amount")}, {"orders": F.sum("__n"), "__rev": F.sum("__s")})
+    g = g.where(F.col("city").isNotNull())
     return ranking.order_limit(g, [F.col("__rev").desc(), F.col("city")], 3, drop=["__rev"])
 
 
@@ -316,8 +332,7 @@ where rk = 1""",
 )
 def q14_top_customer_per_region(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("region").isNotNull() & F.col("customer_id").isNotNull())
-    g = grain.aggregate(f, ["region", "customer_id"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders.where(F.col("customer_id").isNotNull()), ["region", "customer_id"]).where(F.col("region").isNotNull())
     top = ranking.top_n_per_group(g, "revenue", ["region"], 1)
     return top.select("region", "customer_id", dbl("revenue").alias("revenue"))
 
@@ -397,10 +412,9 @@ where order_date >= date '1998-01-01' and order_date < date '1998-04-01' group b
     ("B8", "C1"),
 )
 def q20_quarter_region(spark, sf_dir):
-    cat = models(spark, sf_dir)
-    o = cat["orders"].df.where(in_period("order_date", "1998-Q1"))
-    o = cat.attach("orders", {"region": "customers.regions.name"}, df=o)
-    return o.groupBy("region").agg(dbl(F.sum("amount")).alias("revenue"))
+    b = _bench(spark, sf_dir)
+    g = _revenue_by(b, b.orders.where(in_period("order_date", "1998-Q1")), ["region"])
+    return g.select("region", dbl("revenue").alias("revenue"))
 
 
 @question(
@@ -440,11 +454,10 @@ join rt on rt.region = cr.region where rk <= 2""",
 )
 def q24_top_two_per_region(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("region").isNotNull() & F.col("customer_id").isNotNull())
-    g = grain.aggregate(f, ["region", "customer_id"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders.where(F.col("customer_id").isNotNull()), ["region", "customer_id"]).where(F.col("region").isNotNull())
     top = ranking.top_n_per_group(g, "revenue", ["region"], 2)
-    # the total comes from the region grain, after the rank filter
-    out = grain.with_total(top, {"region_revenue": F.sum("amount")}, ["region"], source=f)
+    # the region total is taken over all of the region's customers, not only the top two
+    out = grain.with_total(top, {"region_revenue": F.sum("revenue")}, ["region"], source=g)
     return out.select("region", "customer_id", dbl("revenue").alias("revenue"), dbl("region_revenue").alias("region_revenue"))
 
 
@@ -454,9 +467,11 @@ def q24_top_two_per_region(spark, sf_dir):
     ("D26",),
 )
 def q25_credit_per_order(spark, sf_dir):
-    cat = models(spark, sf_dir)
-    o = cat.attach("orders", {"customer_credit": "customers.credit"}, df=cat["orders"].df.where(F.col("customer_id").isNotNull()))
-    return o.agg(ratio(F.sum("customer_credit"), F.count("customer_credit")).alias("avg_credit"))
+    b = _bench(spark, sf_dir)
+    # The customer's credit weighted by their number of orders (orders counted per customer first)
+    n = b.orders.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(count_rows().alias("n"))
+    c = n.join(b.customers.select(F.col("id").alias("customer_id"), "credit"), "customer_id")
+    return c.agg(weighted_avg("credit", "n").alias("avg_credit"))
 
 
 # ---------------------------------------------------------------- combo
@@ -486,8 +501,10 @@ from b_orders_flat where customer_id is not null group by 1, 2""",
 )
 def c_net_region_tier(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("customer_id").isNotNull()).withColumn("net", F.col("amount") - F.col("discount"))
-    g = grain.aggregate(f, ["region", "tier"], {"net_revenue": F.sum("net")})
+    g = _by_customer(
+        b, b.orders.where(F.col("customer_id").isNotNull()), ["region", "tier"], {"__s": F.sum("amount"), "__n": count_rows()},
+        {"net_revenue": F.sum(F.col("__s") - F.col("__n") * F.col("discount"))},
+    )
     g = grain.with_total(g, {"region_net_revenue": F.sum("net_revenue")}, ["region"])
     return g.select("region", "tier", dbl("net_revenue").alias("net_revenue"), dbl("region_net_revenue").alias("region_net_revenue"))
 
@@ -595,10 +612,9 @@ where rk = 1""",
 )
 def c_top_customer_share(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("region").isNotNull())
-    g = grain.aggregate(f, ["region", "customer_id"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders, ["region", "customer_id"]).where(F.col("region").isNotNull())
     top = ranking.top_n_per_group(g, "revenue", ["region"], 1)
-    out = grain.with_total(top, {"__region_total": F.sum("amount")}, ["region"], source=f)  # S2: total before the rank filter
+    out = grain.with_total(top, {"__region_total": F.sum("revenue")}, ["region"], source=g)  # S2: total before the rank filter
     return out.select("region", "customer_id", ratio(F.col("revenue"), F.col("__region_total")).alias("share_of_region"))
 
 
@@ -630,10 +646,9 @@ where rk <= 2""",
 )
 def c_top_two_q1_share(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("region").isNotNull() & in_period("order_date", "1998-Q1"))
-    g = grain.aggregate(f, ["region", "customer_id"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders.where(in_period("order_date", "1998-Q1")), ["region", "customer_id"]).where(F.col("region").isNotNull())
     top = ranking.top_n_per_group(g, "revenue", ["region"], 2)
-    out = grain.with_total(top, {"__region_total": F.sum("amount")}, ["region"], source=f)
+    out = grain.with_total(top, {"__region_total": F.sum("revenue")}, ["region"], source=g)
     return out.select("region", "customer_id", dbl("revenue").alias("revenue"), ratio(F.col("revenue"), F.col("__region_total")).alias("share_of_region"))
 
 
@@ -698,9 +713,11 @@ from g left join o on o.region is not distinct from g.region left join rt on rt.
 )
 def t_chasm(spark, sf_dir):
     cat = models(spark, sf_dir)
+    b = _bench(spark, sf_dir)
     pop = cat.attach("customers", {"region": "regions.name"}).select("region")
-    o = grain.aggregate(cat.attach("orders", {"region": "customers.regions.name"}), ["region"], {"ordered": F.sum("amount")})
-    rt = grain.aggregate(cat.attach("returns", {"region": "customers.regions.name"}), ["region"], {"returned": F.sum("amount")})
+    # each fact at its own grain (S9), aggregated per customer before the customer's region is looked up
+    o = _by_customer(b, b.orders, ["region"], {"__s": F.sum("amount")}, {"ordered": F.sum("__s")})
+    rt = _by_customer(b, b.returns, ["region"], {"__s": F.sum("amount")}, {"returned": F.sum("__s")})
     out = grain.multi_fact(pop, ["region"], [o, rt])
     return out.select("region", dbl("ordered").alias("ordered"), dbl("returned").alias("returned"))
 
@@ -714,8 +731,11 @@ left join b_cities ci on ci.city = c.city and ci.region_id = c.region_id group b
 )
 def t_city_size(spark, sf_dir):
     cat = models(spark, sf_dir)
-    o = cat.attach("orders", {"size_class": "customers.cities.size_class"})
-    return o.groupBy("size_class").agg(dbl(F.sum("amount")).alias("revenue"))
+    b = _bench(spark, sf_dir)
+    # The customer's city joined on the whole composite key (city, region_id)
+    lookup = cat.attach("customers", {"size_class": "cities.size_class"}).select("id", "size_class")
+    g = grain.eager_aggregate(b.orders, "customer_id", lookup, "id", ["size_class"], {"__s": F.sum("amount")}, {"revenue": F.sum("__s")})
+    return g.select("size_class", dbl("revenue").alias("revenue"))
 
 
 @question(
@@ -743,7 +763,7 @@ from c left join o on o.region is not distinct from c.region""",
 def t_fan_out_credit(spark, sf_dir):
     cat = models(spark, sf_dir)
     c = grain.aggregate(cat.attach("customers", {"region": "regions.name"}), ["region"], {"customers": count_rows(), "total_credit": F.sum("credit")})
-    o = grain.aggregate(cat.attach("orders", {"region": "customers.regions.name"}), ["region"], {"orders": count_rows()})
+    o = _by_customer(_bench(spark, sf_dir), cat["orders"].df, ["region"], {"__n": count_rows()}, {"orders": F.sum("__n")})
     out = grain.null_safe_join(c, o, ["region"])
     return out.select("region", "customers", dbl("total_credit").alias("total_credit"), F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
@@ -811,8 +831,7 @@ from b_orders_flat where status = '{OK}' group by 1""",
 )
 def t_ok_share(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("status") == OK)  # S1: the filter applies to the total too
-    g = grain.aggregate(f, ["region"], {"revenue": F.sum("amount")})
+    g = _revenue_by(b, b.orders.where(F.col("status") == OK), ["region"])  # S1: the filter applies to the total too
     return grain.share(g, "revenue", [], "share").select("region", "share")
 
 
@@ -853,7 +872,7 @@ from b_orders_flat group by 1""",
 )
 def t_overall_aov(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    g = grain.aggregate(b.orders_flat, ["region"], {"aov": AOV.build()})
+    g = _by_customer(b, b.orders, ["region"], {"__s": F.sum("amount"), "__n": count_rows()}, {"aov": ratio(F.sum("__s"), F.sum("__n"))})
     return grain.with_total(g, {"overall_aov": AOV.build()}, [], source=b.orders)  # S15: ratio of the re-aggregated sums
 
 

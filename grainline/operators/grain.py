@@ -191,3 +191,27 @@ def unattributable(
     if mode == "error":
         refuse_unattributable(name, dims)
     raise ValueError(f"unknown to_many_handling {mode!r}")
+
+
+def eager_aggregate(
+    fact: DataFrame,
+    key: str,
+    lookup: DataFrame,
+    lookup_key: str,
+    dims: Sequence[str],
+    partials: Mapping[str, Column],
+    finals: Mapping[str, Column],
+    local_dims: Sequence[str] = (),
+) -> DataFrame:
+    """Aggregate below a many-to-one join (eager aggregation), then finish by the looked-up dimensions.
+
+    ``partials`` are distributive aggregates of the fact rows per (``key``, ``local_dims``); the result,
+    one row per key instead of one per fact row, is left-joined to ``lookup`` (its attributes for that
+    key) and ``finals`` - aggregates over partial names and lookup columns - are taken by ``dims``.
+    The join then shuffles about one row per key and period rather than every fact row. Fact rows with a
+    NULL key form one partial row and get NULL attributes, as in a row-level left join.
+    """
+    pre = fact.groupBy(key, *local_dims).agg(*[c.alias(n) for n, c in partials.items()])
+    lk = lookup.withColumnRenamed(lookup_key, "__lk")
+    joined = pre.join(lk, F.col(key) == F.col("__lk"), "left")
+    return joined.groupBy(*dims).agg(*[c.alias(n) for n, c in finals.items()])

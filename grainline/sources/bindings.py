@@ -157,6 +157,13 @@ class Bench:
     def events(self) -> DataFrame:
         return self.t("events").select(F.col("event_id").alias("id"), money("value").alias("amount"), F.col("ts").alias("event_ts"))
 
+    @cached_property
+    def customer_dims(self) -> DataFrame:
+        """Customer attributes with the region name, one row per customer (the lookup of ``orders_flat``)."""
+        r = bounded_broadcast(self.regions.select(F.col("id").alias("_rid"), F.col("name").alias("region")), self.REGION_ROWS)
+        c = self.customers.join(r, F.col("region_id") == F.col("_rid"), "left")
+        return c.select("id", "region_id", "region", "city", "tier", "credit", "discount")
+
     @cached_property
     def orders_flat(self) -> DataFrame:
         """The flattened star view: orders with their customer's attributes and region name (two left joins)."""
