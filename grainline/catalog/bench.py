@@ -79,7 +79,7 @@ def models(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 # H3: the saved monthly revenue query.
-MONTHLY_REV = QuerySpec(source="orders", measures={"revenue": lambda: F.sum("amount")}, time=("order_date", "month"))
+MONTHLY_REV = QuerySpec(source="orders", measures={}, additive={"revenue": ("sum", "amount")}, time=("order_date", "month"))
 
 
 def _by_customer(b: Bench, orders: DataFrame, dims, partials, finals) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from grainline.functions.calendar import bucket, check_rebucket, in_range
 from grainline.operators.periods import cumsum
-from grainline.plans.model import Catalog, Model
+from grainline.plans.model import Catalog, Model, ReaggregationError
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,9 @@ class QuerySpec:
     filters: tuple[Callable[[], Column], ...] = ()
     date_range: object = None
     running: Mapping[str, str] = field(default_factory=dict)  # output name -> measure accumulated (E1)
+    # output name -> ("sum", column) or ("count", "*"): decomposable measures, which let ``build``
+    # aggregate the source per join key before looking up dimensions (eager aggregation)
+    additive: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
     def refine(
         self,
@@ -47,32 +50,79 @@ class QuerySpec:
             running={**self.running, **(running or {})},
         )
 
+    def _additive_cols(self) -> dict[str, Column]:
+        return {n: (F.count(F.lit(1)) if f == "count" else F.sum(c)) for n, (f, c) in self.additive.items()}
+
     def build(self, catalog: Catalog) -> DataFrame:
         model = catalog[self.source]
         refs = {a: r for a, r in self.dims.items() if "." in r}
+        hops = {r.split(".")[0] for r in refs.values()}
+        if self.additive and not self.measures and len(hops) == 1:
+            return self._build_eager(catalog, model, refs, hops.pop())
         df = catalog.attach(self.source, refs) if refs else model.df
         for a, r in self.dims.items():
             if "." not in r and a != r:
                 df = df.withColumn(a, F.col(r))
         for f in self.filters:
             df = df.filter(f())
-        keys: list[str] = []
+        keys = self._time_keys(model)
         if self.time is not None:
-            col, unit = self.time
-            stored = model.buckets.get(col)
-            if stored is not None:
-                check_rebucket(stored, unit)
-            if self.date_range is not None:  # pushed to the scan; a running total starts at the range (S4)
-                df = df.filter(in_range(col, self.date_range))
-            df = df.withColumn(col, bucket(col, unit))
-            keys.append(col)
+            df = self._bucketed(df)
         keys += list(self.dims)
-        out = df.groupBy(*keys).agg(*[m().alias(n) for n, m in self.measures.items()])
+        measures = {**{n: m() for n, m in self.measures.items()}, **self._additive_cols()}
+        out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
+        return self._running(out)
+
+    def _time_keys(self, model: Model) -> list[str]:
+        if self.time is None:
+            return []
+        col, unit = self.time
+        stored = model.buckets.get(col)
+        if stored is not None:
+            check_rebucket(stored, unit)
+        return [col]
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        col, unit = self.time
+        if self.date_range is not None:  # pushed to the scan; a running total starts at the range (S4)
+            df = df.filter(in_range(col, self.date_range))
+        return df.withColumn(col, bucket(col, unit))
+
+    def _running(self, out: DataFrame) -> DataFrame:
         if self.running and self.time is not None:
             for name, measure in self.running.items():
                 out = cumsum(out, self.time[0], measure, list(self.dims), name)
         return out
 
+    def _build_eager(self, catalog: Catalog, model: Model, refs: Mapping[str, str], hop: str) -> DataFrame:
+        """Decomposable measures through one many-to-one hop: aggregate the source per join key (and
+        time bucket and local dimensions) first, then look the dimensions up on the partials. Filters
+        must use the source's own columns here."""
+        join = catalog.edge(self.source, hop)
+        if join.cardinality not in ("many_to_one", "one_to_one"):
+            raise ReaggregationError(f"{hop} fans out from {self.source!r}")
+        df = model.df
+        for f in self.filters:
+            df = df.filter(f())
+        time_keys = self._time_keys(model)
+        if self.time is not None:
+            df = self._bucketed(df)
+        local = [a for a, r in self.dims.items() if "." not in r]
+        for a in local:
+            if self.dims[a] != a:
+                df = df.withColumn(a, F.col(self.dims[a]))
+        fact_keys = [a for a, _ in join.pairs]
+        pre = df.groupBy(*fact_keys, *time_keys, *local).agg(*[c.alias(n) for n, c in self._additive_cols().items()])
+        lookup = catalog.attach(hop, {a: r.split(".", 1)[1] for a, r in refs.items()})
+        lookup = lookup.select(*[F.col(b).alias(f"__lk_{b}") for _, b in join.pairs], *refs)
+        cond = None
+        for a, b in join.pairs:
+            c = F.col(a) == F.col(f"__lk_{b}")
+            cond = c if cond is None else cond & c
+        joined = pre.join(lookup, cond, "left")
+        out = joined.groupBy(*time_keys, *self.dims).agg(*[F.sum(n).alias(n) for n in self.additive])
+        return self._running(out)
+
     def as_model(self, catalog: Catalog, name: str) -> Model:
         """H3: the saved query as a model; its time column keeps the bucket it was built at."""
         buckets = {self.time[0]: self.time[1]} if self.time else {}
