@@ -263,3 +263,14 @@ def test_proven_cardinality(spark):
     assert cat.proven_cardinality("a", "b") == "many_to_one"
     cat.add(Model("b", b_dup, ("id",)))
     assert cat.proven_cardinality("a", "b") == "fanning or unproven"
+
+
+def test_eager_spec_equals_row_level_spec(spark):
+    cat = bench_q.models(spark, SF_SMALL)
+    common = dict(source="orders", time=("order_date", "month"), dims={"region": "customers.regions.name", "status": "status"},
+                  filters=(lambda: F.col("amount") > 1000,), date_range="1998-Q1")
+    eager = QuerySpec(measures={}, additive={"revenue": ("sum", "amount"), "n": ("count", "*")}, **common).build(cat)
+    rows = QuerySpec(measures={"revenue": lambda: F.sum("amount"), "n": lambda: F.count(F.lit(1))}, **common).build(cat)
+    key = lambda r: (str(r.order_date), str(r.region), r.status)
+    assert sorted(map(tuple, eager.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert eager.count() > 0 and key(eager.first())
