@@ -695,9 +695,11 @@ group by 1""",
 )
 def t_bridge_email(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    f = b.orders_flat.where(F.col("customer_id").isNotNull())
-    kept = relations.via_bridge(f, "customer_id", b.members, "customer_id", "campaign_id", b.campaigns, "id", F.col("channel") == EMAIL)
-    return kept.groupBy("region").agg(dbl(F.sum("amount")).alias("revenue"))
+    # revenue per customer first; the bridge filter and the region lookup then work at the customer grain
+    per = b.orders.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.sum("amount").alias("__s"))
+    kept = relations.via_bridge(per, "customer_id", b.members, "customer_id", "campaign_id", b.campaigns, "id", F.col("channel") == EMAIL)
+    g = grain.eager_aggregate(kept, "customer_id", b.customer_dims, "id", ["region"], {"__t": F.sum("__s")}, {"revenue": F.sum("__t")})
+    return g.select("region", dbl("revenue").alias("revenue"))
 
 
 @question(
@@ -777,7 +779,12 @@ from b_orders_flat o join l on l.order_id = o.id group by 1""",
 )
 def t_fan_out_items(spark, sf_dir):
     b = _bench(spark, sf_dir)
-    out = grain.sum_once(b.order_items, "order_id", {"lines": count_rows()}, b.orders_flat, "id", ["region"], {"revenue": F.sum("amount")})
+    # Lines counted per order, each order once; then per customer, then by the customer's region
+    per_customer = grain.sum_once(b.order_items, "order_id", {"lines": count_rows()}, b.orders, "id", ["customer_id"], {"revenue": F.sum("amount")})
+    out = grain.eager_aggregate(
+        per_customer, "customer_id", b.customer_dims, "id", ["region"], {"__s": F.sum("revenue"), "__n": F.sum("lines")},
+        {"revenue": F.sum("__s"), "lines": F.sum("__n")},
+    )
     return out.select("region", dbl("revenue").alias("revenue"), F.col("lines").cast("long").alias("lines"))
 
 
