@@ -54,3 +54,16 @@ def test_time_questions_do_not_depend_on_the_session_zone(spark, oracle_con, nam
         assert compare(q.build(spark, SF), oracle_con, q.oracle) is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_every_oracle_runs_quickly_at_sf001(duck_mid):
+    """The driver runs each oracle at sf0.01; none may be pathologically slow (e.g. a text cross product)."""
+    import time
+
+    slow = []
+    for name in WITH_ORACLE:
+        t0 = time.perf_counter()
+        duck_mid.sql(QUESTIONS[name].oracle).fetchall()
+        if time.perf_counter() - t0 > 20:
+            slow.append(name)
+    assert not slow
