@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainline.catalog.registry import question
 from grainline.functions.aggregates import count_rows, first_by_time
-from grainline.functions.calendar import in_period, weekday_name
+from grainline.functions.calendar import in_period, period_bounds, weekday_name
 from grainline.functions.scalar import band, dollars, ratio
 from grainline.operators import grain, periods, ranking, recipes, relations
 from grainline.sources.bindings import Shop
@@ -35,7 +35,8 @@ def _ts_in(col: str, literal: str) -> Column:
 
 
 def _orders_in(s: Shop, literal: str) -> DataFrame:
-    return s.orders.where(_ts_in("ordered_at", literal))
+    start, end = period_bounds(literal)
+    return s.orders_between(start.isoformat(), end.isoformat())
 
 
 def _store_names(s: Shop) -> DataFrame:

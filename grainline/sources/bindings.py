@@ -203,9 +203,10 @@ class Shop:
     def customers(self) -> DataFrame:
         return self.t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    def _orders(self, raw: Column | None = None) -> DataFrame:
         o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+        if raw is not None:
+            o = o.where(raw)
         c = self.t("customer").select("c_custkey", "c_nationkey")
         hours = (F.col("o_orderkey") % SHOP_HOURS_SPAN + SHOP_HOURS_FROM).cast("int")
         subtotal = (money("o_totalprice")).cast("decimal(18,0)").cast("long")
@@ -218,6 +219,22 @@ class Shop:
             F.round(subtotal * self._tax_rate(F.col("c_nationkey"))).cast("long").alias("tax_paid"),
         ).withColumn("order_total", F.col("subtotal") + F.col("tax_paid"))
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._orders()
+
+    def orders_between(self, start: str, end: str) -> DataFrame:
+        """Orders with ``start <= ordered_at < end``.
+
+        ``ordered_at`` is the order date plus a synthetic hour, which no scan can filter on; the raw
+        order date is filtered first with the superset ``[start - 1 day, end)`` (pushed to Parquet), then
+        the exact range is applied.
+        """
+        lo = F.date_sub(F.lit(start).cast("date"), 1).cast("timestamp_ntz")
+        hi = F.lit(end).cast("timestamp_ntz")
+        exact = (F.col("ordered_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ordered_at") < hi)
+        return self._orders((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).where(exact)
+
     @cached_property
     def products(self) -> DataFrame:
         kind = F.when(F.col("p_type").isin(*BEVERAGE_TYPES), "beverage").otherwise("jaffle")

@@ -35,7 +35,8 @@ def test_top_n_limits_before_the_shuffle(spark, name):
     "name,column",
     # the bound order_date is cast(o_orderdate as date): Catalyst unwraps the cast and pushes the range
     [("q20_quarter_region", "o_orderdate"), ("q21_weekday_revenue", "o_orderdate"), ("t_march_events", "ts"),
-     ("q23_monthly_by_region", "o_orderdate"), ("c_top_two_q1_share", "o_orderdate"), ("b6_ship_lag_by_month", "o_orderdate")],
+     ("q23_monthly_by_region", "o_orderdate"), ("c_top_two_q1_share", "o_orderdate"), ("b6_ship_lag_by_month", "o_orderdate"),
+     ("j_q02_orders_2025", "o_orderdate"), ("j_q03_revenue_by_store_2025", "o_orderdate"), ("j_c03_basket_mix", "o_orderdate")],
 )
 def test_period_filters_reach_the_scan(spark, name, column):
     plan = _plan(spark, name)
