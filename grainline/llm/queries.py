@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, tokens, toxicity
+from . import decontam, line_dedup, mixing, simhash, tokens, toxicity
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs."""
+    return line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents' sources."""
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
@@ -44,6 +49,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_source_mix, op4_simhash, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
 }
-ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
