@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, mixing, simhash, tokens, toxicity
+from . import decontam, line_dedup, lm, mixing, simhash, tokens, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and PPM log probability of every document."""
+    return lm.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids, written to ORC and read back."""
     return tokens.token_output(spark, table(spark, sf_dir, "documents"))
@@ -49,6 +54,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
