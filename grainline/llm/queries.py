@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm, mixing, secrets, simhash, tokens, toxicity
+from . import decontam, line_dedup, lm, mixing, secrets, simhash, tokens, toxicity, wrappers
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credentials in every document."""
     return secrets.find_secrets(spark, table(spark, sf_dir, "documents"))
@@ -59,6 +64,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
