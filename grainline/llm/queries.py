@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm, mixing, secrets, simhash, tokens, toxicity, wrappers
+from . import bm25, decontam, line_dedup, lm, mixing, secrets, simhash, tokens, toxicity, wrappers
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    return bm25.search_by_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents' sources."""
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
@@ -64,6 +69,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
