@@ -2,7 +2,7 @@
 
 From a bounded sample of labelled credentials (the values the fixed patterns find, by kind) a prefix tree is built and
 its statistically compatible states are merged (Hoeffding bound on their symbol and ending frequencies), which gives one
-probabilistic automaton per kind; a like automaton is inferred from ordinary tokens with digits. Every token of at least
+probabilistic automaton per kind; a like automaton is inferred from ordinary tokens with digits (numbers, addresses, short tokens). Every token of at least
 ``MIN_CANDIDATE`` characters that has a letter and a digit and that no fixed pattern covers is scored: the log likelihood
 under its best credential automaton against the ordinary one. Above ``MIN_RATIO`` it is reported as kind ``format``.
 """
@@ -69,6 +69,11 @@ def _free(m: re.Match, spans: list[tuple[int, int, int, bytes]]) -> bool:
     return not any(a < m.end() and m.start() < b for a, _, b, _ in spans)
 
 
+def _scored(token: bytes) -> bool:
+    """Whether a token is one that formats are looked for in; the ordinary tokens to learn from are the others."""
+    return bool(CANDIDATE.fullmatch(token) and _DIGIT.search(token) and _LETTER.search(token))
+
+
 class Automaton:
     """A probabilistic automaton over symbol classes, by state merging."""
 
@@ -162,7 +167,7 @@ class Formats:
     def spans(self, raw: bytes, base: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
         if not self.kinds or b"x" * MIN_CANDIDATE not in raw.translate(_MARK["candidate"]):
             return []
-        found = (m for m in CANDIDATE.finditer(raw) if _DIGIT.search(m[0]) and _LETTER.search(m[0]))
+        found = (m for m in CANDIDATE.finditer(raw) if _scored(m[0]))
         return [(m.start(), 3, m.end(), m[0]) for m in found if _free(m, base) and self.ratio(m[0]) >= MIN_RATIO]
 
 
@@ -188,7 +193,7 @@ def examples(documents: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[di
                     held[KINDS[k]][v[:MAX_LENGTH]] = zlib.crc32(v)
                 if _DIGIT.search(raw):
                     for m in ORDINARY.finditer(raw):
-                        if _DIGIT.search(m[0]) and _free(m, spans):
+                        if _DIGIT.search(m[0]) and not _scored(m[0]) and _free(m, spans):
                             held["ordinary"][m[0][:MAX_LENGTH]] = zlib.crc32(m[0])
                 trim(4 * max_examples)
         trim(max_examples)

@@ -2,7 +2,7 @@
 
 ``P(grade >= k) = sigmoid(w . x - theta_k)``: one weight vector for all grades, one rising threshold per grade; the
 expected severity is the sum of these probabilities. Features are the presence of hashed words and of hashed word
-beginnings. The model is fitted on a bounded, hash-ordered sample of the labelled rows (``MAX_ROWS``); scoring covers
+beginnings, of those only the ones whose share differs significantly between toxic and other rows. The model is fitted on a bounded, hash-ordered sample of the labelled rows (``MAX_ROWS``); scoring covers
 every document. The table has only 0/1 labels, so toxic rows are graded from the data: a toxic row is severe (2) if it
 holds more distinct marker features (far more frequent in toxic rows) than the median toxic row, else mild (1).
 """
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 BITS = 18
 MAX_ROWS = 12_000
-MIN_ROWS_OF_FEATURE = 5
+MIN_ROWS_OF_FEATURE = 3
+MIN_Z = 4.0  # standard errors by which a feature's share must differ between toxic and other rows
 MARKER_ODDS = 20.0
-EPOCHS, RATE, L2 = 150, 0.3, 2e-5
+EPOCHS, RATE, L2 = 600, 0.5, 2e-5
 REJECT_AT = 0.5
 PREFIXES = (4, 5)
 EDGE = ".,;:!?\"'()[]"
@@ -79,8 +80,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         return Model(w.astype(np.float32), np.array([]))
     lens = np.array([len(r) for r in rows])
     ids = np.concatenate([*rows, []]).astype(np.int64)
-    df = np.bincount(ids, minlength=1 << BITS)
-    keep = df[ids] >= MIN_ROWS_OF_FEATURE
+    every = np.repeat(y > 0, lens)
+    in1, in0 = (np.bincount(ids[every == k], minlength=1 << BITS) for k in (True, False))
+    n1, n0 = int((y > 0).sum()), int((y == 0).sum())
+    both = (in1 + in0) / (n1 + n0)
+    z = np.abs(in1 / n1 - in0 / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
+    keep = ((in1 + in0 >= MIN_ROWS_OF_FEATURE) & (z >= MIN_Z))[ids]
     owner = np.repeat(np.arange(len(rows)), lens)[keep]
     used, ids = np.unique(ids[keep], return_inverse=True)
     v = np.zeros(len(used))

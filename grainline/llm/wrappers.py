@@ -269,7 +269,7 @@ def rules(wrapper: Group, n_pages: int) -> dict:
     if not found[3] and not found[2]:  # a class of what stands around an article says little, its tag does
         look(wrapper, "", False)
     level = max((k for k, v in found.items() if v), default=0)
-    mains = found[level]
+    mains = found.get(level, [])
     if not mains:
         g, path = wrapper, ""
         while inner := [c for c in g.children if c.key != "#" and not skipped(c.key) and 10 * _slot_chars(c) >= 9 * max(1, _slot_chars(g))]:
