@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ROW_STRIDE = 5_000
 STRIPE_BYTES = 16 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000  # words in each of two generations
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -44,30 +45,52 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte-level: a character stands for a byte
+        # Words are kept in two generations: when the young one is full it becomes the old one, and words met again come
+        # back from there. A key is the word without the space before it; the first word of a text, which has none, has
+        # a space before its key.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.space = re.compile(r" (?:\s|$)")
-        self.cut = re.compile(r"(?= \S)")
+        self.cut = re.compile(r" (?=\S)")
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it: all are encoded as one text and told apart by their bytes."""
+        (e,) = self.tok.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)
+        ids = np.array(e.ids, dtype="<u4")
+        ends = np.cumsum(self.n_bytes[ids])
+        cuts = np.searchsorted(ends, np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in words])) + 1
+        raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, without an end id."""
         if any(s in text for s in self.special):
             return self._bytes([text])[0]
-        if self.space.search(text):
-            parts = self.cut.split(text)
-        else:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-        known = self.parts
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._bytes(new), strict=True))
-        return b"".join([known[p] for p in parts])
+        keys = self.cut.split(text) if self.space.search(text) else text.split(" ")
+        keys[0] = " " + keys[0]
+        out = list(map(self.young.get, keys))
+        if None in out:
+            self._learn({k for k, v in zip(keys, out, strict=True) if v is None})
+            out = list(map(self.young.__getitem__, keys))
+            if len(self.young) > CACHE_ENTRIES:
+                self.young, self.old = {}, self.young
+        return b"".join(out)
+
+    def _learn(self, keys: set[str]) -> None:
+        self.young.update((k, self.old[k]) for k in keys if k in self.old)
+        new = sorted(k for k in keys if k not in self.old)
+        heads, words = [k for k in new if k[0] == " "], [k for k in new if k[0] != " "]
+        self.young.update(zip(heads, self._bytes([k[1:] for k in heads]), strict=True))
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            self.young.update(zip(some, self._spaced(some), strict=True))
 
 
 def encoder(path: str) -> Encoder:
