@@ -6,16 +6,15 @@ Fixed binding values: year 2023 -> 1996, 2024 -> 1997, 2025 -> 1998, 2026 -> 199
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.catalog.registry import question
-from grainline.functions.aggregates import count_rows, first_by_time
+from grainline.functions.aggregates import agg_if, count_rows, first_by_time
 from grainline.functions.calendar import in_period, period_bounds, weekday_name
 from grainline.functions.scalar import band, dollars, ratio
 from grainline.operators import grain, periods, ranking, recipes, relations
+from grainline.plans.sizing import bounded_broadcast
 from grainline.sources.bindings import Shop
 
 BROOKLYN = "NATION_7"
@@ -25,7 +24,6 @@ VALUE_BAND_LABELS = ("under $1,000", "$1,000 to $2,000", "$2,000 to $3,000", "$3
 STREAK_FROM, STREAK_TO, STREAK_LAST_MONTH = "1996-06-01", "1999-10-01", "1999-09-01"
 
 
-@lru_cache(maxsize=8)
 def _shop(spark: SparkSession, sf_dir: str) -> Shop:
     return Shop(spark, sf_dir)
 
@@ -41,7 +39,7 @@ def _orders_in(s: Shop, literal: str) -> DataFrame:
 
 def _store_names(s: Shop) -> DataFrame:
     # 25 nations: a bounded broadcast
-    return F.broadcast(s.stores.select(F.col("id").alias("store_id"), F.col("name").alias("store")))
+    return bounded_broadcast(s.stores.select(F.col("id").alias("store_id"), F.col("name").alias("store")), Shop.STORE_ROWS)
 
 
 def _lines(s: Shop, orders: DataFrame) -> DataFrame:
@@ -84,11 +82,9 @@ def j_c02_order_value_bands(spark, sf_dir):
     return g.select("band", "orders", dollars("cents").alias("net_sales"), "share_of_sales")
 
 
-_BASKETS_SQL = """with b as (
-  select i.order_id, o.store_id, max(case when p.type = 'jaffle' then 1 else 0 end) as has_j,
-         max(case when p.type = 'beverage' then 1 else 0 end) as has_b
-  from s_items i join s_orders o on o.id = i.order_id join s_products p on p.sku = i.sku
-  where o.ordered_at >= timestamp '1998-01-01' and o.ordered_at < timestamp '1999-01-01' group by 1, 2)"""
+_BASKETS_SQL = """with sold as (
+  select o.id, o.store_id, list(distinct p.type) as types from s_orders o, s_items i, s_products p
+  where i.order_id = o.id and p.sku = i.sku and year(o.ordered_at) = 1998 group by o.id, o.store_id)"""
 
 
 def _baskets(s: Shop) -> DataFrame:
@@ -100,9 +96,9 @@ def _baskets(s: Shop) -> DataFrame:
     "j_c03_basket_mix",
     _BASKETS_SQL
     + """
-select case when has_j = 1 and has_b = 1 then 'both' when has_j = 1 then 'jaffles only' else 'beverages only' end as mix,
-  count(*) as orders, cast(count(*) as double) / cast(sum(count(*)) over () as double) as share
-from b group by 1""",
+select if(len(types) = 2, 'both', types[1] || 's only') as mix, count(*) as orders,
+  cast(count(*) as double) / (select count(*) from sold) as share
+from sold group by mix""",
     ("D29",),
 )
 def j_c03_basket_mix(spark, sf_dir):
@@ -179,23 +175,20 @@ def j_c07_best_month_vs_avg(spark, sf_dir):
 
 @question(
     "j_c08_growth_streak",
-    """with sp as (select cast(unnest(generate_series(date '1996-06-01', date '1999-09-01', interval 1 month)) as date) as month),
-m0 as (select date_trunc('month', o.ordered_at)::date as month, sum(o.subtotal) as sales
-  from s_orders o join s_stores s on s.id = o.store_id
-  where s.name = 'NATION_7' and o.ordered_at >= timestamp '1996-06-01' and o.ordered_at < timestamp '1999-10-01' group by 1),
-m as (select sp.month, coalesce(m0.sales, 0) as sales from sp left join m0 on m0.month = sp.month),
-g as (select month, sales > lag(sales) over (order by month) as up from m),
-k as (select month, up, sum(case when up then 0 else 1 end) over (order by month) as grp from g)
-select count(*) as streak_months, min(month) as streak_start, max(month) as streak_end
-from k where up group by grp order by streak_months desc, streak_start limit 1""",
+    """with sales as (select year(ordered_at) * 12 + month(ordered_at) - 1 as k, sum(subtotal) as cents from s_orders
+  where store_id = (select id from s_stores where name = 'NATION_7')
+    and ordered_at >= timestamp '1996-06-01' and ordered_at < timestamp '1999-10-01' group by all),
+steady as (select t.k, coalesce(cents, 0) as cents from range(1996 * 12 + 5, 1999 * 12 + 9) as t(k) left join sales on sales.k = t.k),
+better as (select x.k from steady x, steady y where y.k = x.k - 1 and x.cents > y.cents),
+run as (select k, k - row_number() over (order by k) as start from better)
+select count(*) as streak_months, make_date(min(k) // 12, min(k) % 12 + 1, 1) as streak_start, make_date(max(k) // 12, max(k) % 12 + 1, 1) as streak_end
+from run group by start order by streak_months desc, streak_start limit 1""",
     ("E9", "B6", "G1"),
 )
 def j_c08_growth_streak(spark, sf_dir):
     s = _shop(spark, sf_dir)
     store = s.stores.where(F.col("name") == BROOKLYN).select(F.col("id").alias("store_id"))
-    o = s.orders.where(
-        (F.col("ordered_at") >= F.lit(STREAK_FROM).cast("timestamp_ntz")) & (F.col("ordered_at") < F.lit(STREAK_TO).cast("timestamp_ntz"))
-    ).join(F.broadcast(store), "store_id", "left_semi")
+    o = s.orders_between(STREAK_FROM, STREAK_TO).join(bounded_broadcast(store, 1), "store_id", "left_semi")
     m = periods.series(o, "ordered_at", "month", [], {"sales": F.sum("subtotal")}, name="month")
     # a month without sales is a calendar month with 0 sales: it breaks a streak
     m = periods.fill_periods(m, spark, "month", STREAK_FROM, STREAK_LAST_MONTH, "month", ["sales"])
@@ -218,9 +211,9 @@ from l join s_products p on p.sku = l.sku join u on u.sku = l.sku""",
 def j_c09_brooklyn_cogs_margin(spark, sf_dir):
     s = _shop(spark, sf_dir)
     store = s.stores.where(F.col("name") == BROOKLYN).select(F.col("id").alias("store_id"))
-    o = _orders_in(s, Y2025).join(F.broadcast(store), "store_id", "left_semi")
+    o = _orders_in(s, Y2025).join(bounded_broadcast(store, 1), "store_id", "left_semi")
     units = s.items.join(o.select(F.col("id").alias("order_id")), "order_id").groupBy("sku").agg(count_rows().alias("units"))
-    u = recipes.unit_cost(s.supplies, "sku", "cost", "unit_cogs")
+    u = recipes.unit_cost(s.supplies_of(units), "sku", "cost", "unit_cogs")
     lines = units.join(s.products.select("sku", "price"), "sku").join(u, "sku")
     tot = lines.agg(F.sum(F.col("unit_cogs") * F.col("units")).alias("c"), F.sum(F.col("price") * F.col("units")).alias("p"))
     return tot.select(dollars("c").alias("cogs"), dollars("p").alias("product_sales"), (1 - ratio(F.col("c"), F.col("p"))).alias("gross_margin"))
@@ -228,10 +221,9 @@ def j_c09_brooklyn_cogs_margin(spark, sf_dir):
 
 @question(
     "j_c10_top_supply_component",
-    """select s.name as supply, cast(sum(s.cost) as double) / 100.0 as total_cost
-from s_items i join s_orders o on o.id = i.order_id join s_supplies s on s.sku = i.sku
-where o.ordered_at >= timestamp '1998-01-01' and o.ordered_at < timestamp '1999-01-01'
-group by 1 order by total_cost desc, supply limit 1""",
+    """with used as (select sku, count(*) as units from s_items where order_id in (select id from s_orders where year(ordered_at) = 1998) group by sku)
+select name as supply, cast(sum(cost * units) as double) / 100.0 as total_cost
+from used join s_supplies using (sku) group by name order by total_cost desc, supply limit 1""",
     ("C19", "C17", "G4"),
 )
 def j_c10_top_supply_component(spark, sf_dir):
@@ -239,22 +231,23 @@ def j_c10_top_supply_component(spark, sf_dir):
     o = _orders_in(s, Y2025).select(F.col("id").alias("order_id"))
     # The intended fan-out items x components, pre-aggregated per sku so the join does not explode
     units = s.items.join(o, "order_id").groupBy("sku").agg(count_rows().alias("units"))
-    parts = s.supplies.join(units, "sku").groupBy(F.col("name").alias("supply")).agg(F.sum(F.col("cost") * F.col("units")).alias("c"))
+    used = s.supplies_of(units).join(units, "sku").groupBy("supplier").agg(F.sum(F.col("cost") * F.col("units")).alias("c"))
+    parts = used.join(s.supplier_names, "supplier").groupBy(F.col("name").alias("supply")).agg(F.sum("c").alias("c"))
     return ranking.order_limit(parts.select("supply", dollars("c").alias("total_cost")), [F.col("total_cost").desc(), F.col("supply")], 1)
 
 
 @question(
     "j_c11_tweeters_aov",
-    """with t as (select distinct user_id from s_tweets where tweeted_at >= timestamp '1998-01-01' and tweeted_at < timestamp '1999-01-01')
-select case when t.user_id is null then 'did not tweet' else 'tweeted' end as segment,
-  count(distinct o.customer) as customers, count(*) as orders, cast(sum(o.subtotal) as double) / 100.0 / count(*) as net_aov
-from s_orders o left join t on t.user_id = o.customer
-where o.ordered_at >= timestamp '1998-01-01' and o.ordered_at < timestamp '1999-01-01' group by 1""",
+    """select segment, count(distinct customer) as customers, count(*) as orders, cast(sum(subtotal) as double) / 100.0 / count(*) as net_aov
+from (select customer, subtotal,
+        if(customer in (select user_id from s_tweets where year(tweeted_at) = 1998), 'tweeted', 'did not tweet') as segment
+      from s_orders where year(ordered_at) = 1998)
+group by segment""",
     ("C18",),
 )
 def j_c11_tweeters_aov(spark, sf_dir):
     s = _shop(spark, sf_dir)
-    tweeters = s.tweets.where(_ts_in("tweeted_at", Y2025))
+    tweeters = s.tweets_between(Y2025)
     o = relations.flag_member(_orders_in(s, Y2025), "customer", tweeters, "user_id", "segment", "tweeted", "did not tweet")
     g = o.groupBy("segment").agg(F.count_distinct("customer").alias("customers"), count_rows().alias("orders"), F.sum("subtotal").alias("__c"))
     return g.select("segment", "customers", "orders", (dollars("__c") / F.col("orders")).alias("net_aov"))
@@ -264,8 +257,9 @@ def j_c11_tweeters_aov(spark, sf_dir):
     "j_c12_jaffle_beverage_attach",
     _BASKETS_SQL
     + """
-select s.name as store, count(*) as jaffle_orders, cast(sum(has_b) as double) / count(*) as attach_rate
-from b join s_stores s on s.id = b.store_id where has_j = 1 group by 1""",
+select (select name from s_stores where s_stores.id = store_id) as store, count(*) as jaffle_orders,
+  cast(count(*) filter (where list_contains(types, 'beverage')) as double) / count(*) as attach_rate
+from sold where list_contains(types, 'jaffle') group by store_id""",
     ("D30",),
 )
 def j_c12_jaffle_beverage_attach(spark, sf_dir):
@@ -310,7 +304,7 @@ from s_orders where ordered_at >= timestamp '1999-01-01' group by 1""",
 )
 def j_q04_monthly_orders_2026(spark, sf_dir):
     s = _shop(spark, sf_dir)
-    o = s.orders.where(F.col("ordered_at") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    o = s.orders_between("1999-01-01", "9999-12-31")
     return periods.series(o, "ordered_at", "month", [], {"orders": count_rows()}, name="month")
 
 
@@ -368,7 +362,7 @@ from s_orders o join s_stores s on s.id = o.store_id group by s.name, s.tax_rate
 def j_q08_tax_rate_check(spark, sf_dir):
     s = _shop(spark, sf_dir)
     g = s.orders.groupBy("store_id").agg(F.sum("tax_paid").alias("t"), F.sum("subtotal").alias("c"))
-    st = F.broadcast(s.stores.select(F.col("id").alias("store_id"), F.col("name").alias("store"), F.col("tax_rate").alias("stated_rate")))
+    st = bounded_broadcast(s.stores.select(F.col("id").alias("store_id"), F.col("name").alias("store"), F.col("tax_rate").alias("stated_rate")), Shop.STORE_ROWS)
     return g.join(st, "store_id").select("store", "stated_rate", ratio(F.col("t"), F.col("c")).alias("collected_rate"))
 
 
@@ -383,11 +377,12 @@ from y a join y b on a.store = b.store and a.yr = 1997 and b.yr = 1998""",
 )
 def j_q09_store_growth_2024_2025(spark, sf_dir):
     s = _shop(spark, sf_dir)
-    o = s.orders.where(_ts_in("ordered_at", Y2024) | _ts_in("ordered_at", Y2025)).join(_store_names(s), "store_id")
-    y = o.groupBy("store", F.year("ordered_at").alias("yr")).agg(dollars(F.sum("subtotal")).alias("net_sales"))
-    a = y.where(F.col("yr") == int(Y2024)).select("store", F.col("net_sales").alias("sales_2024"))
-    b = y.where(F.col("yr") == int(Y2025)).select("store", F.col("net_sales").alias("sales_2025"))
-    out = a.join(b, "store", "inner")  # C16: present in both periods
+    start, end = period_bounds(Y2024)[0], period_bounds(Y2025)[1]
+    o = s.orders_between(start.isoformat(), end.isoformat())
+    # both years in one pass: a filtered sum each
+    y = o.groupBy("store_id").agg(*[agg_if(F.sum, "subtotal", _ts_in("ordered_at", p)).alias(f"c{p}") for p in (Y2024, Y2025)])
+    y = y.where(F.col(f"c{Y2024}").isNotNull() & F.col(f"c{Y2025}").isNotNull())  # C16: present in both periods
+    out = y.join(_store_names(s), "store_id").select("store", dollars(f"c{Y2024}").alias("sales_2024"), dollars(f"c{Y2025}").alias("sales_2025"))
     return out.withColumn("growth", ratio(F.col("sales_2025"), F.col("sales_2024")) - 1)
 
 
@@ -405,38 +400,32 @@ def j_q10_new_customers_by_year(spark, sf_dir):
 
 @question(
     "j_q11_ytd_growth_same_store",
-    """with cut as (select cast(max(ordered_at) as date) + 1 as cur_end from s_orders),
-b as (select date_trunc('year', cur_end - 1)::date as cur_start, cur_end,
-             (date_trunc('year', cur_end - 1) - interval 1 year)::date as prev_start, (cur_end - interval 1 year)::date as prev_end from cut),
-o as (select o.subtotal, o.ordered_at, s.opened_at from s_orders o join s_stores s on s.id = o.store_id),
-p as (select
-  sum(subtotal) filter (where ordered_at >= prev_start and ordered_at < prev_end) / 100.0 as ytd_prev,
-  sum(subtotal) filter (where ordered_at >= cur_start and ordered_at < cur_end) / 100.0 as ytd_cur,
-  sum(subtotal) filter (where opened_at < prev_start and ordered_at >= prev_start and ordered_at < prev_end) / 100.0 as ss_prev,
-  sum(subtotal) filter (where opened_at < prev_start and ordered_at >= cur_start and ordered_at < cur_end) / 100.0 as ss_cur
-  from o, b)
-select cast(ytd_prev as double) as ytd_prev, cast(ytd_cur as double) as ytd_cur, cast(ytd_cur as double) / cast(ytd_prev as double) - 1 as headline_growth,
-  cast(ss_prev as double) as ss_prev, cast(ss_cur as double) as ss_cur, cast(ss_cur as double) / cast(ss_prev as double) - 1 as same_store_growth
-from p""",
+    """with last_day as (select cast(max(ordered_at) as date) as d from s_orders),
+part as (select make_date(year(d) - n, 1, 1) as since, cast(d + 1 - to_years(n) as date) as until, n from last_day, (values (0), (1)) as t(n)),
+shop as (select s.id, s.opened_at < (select since from part where n = 1) as old from s_stores s),
+total as (select n, old, sum(subtotal) as cents from s_orders o join shop on shop.id = o.store_id
+  join part on o.ordered_at >= since and o.ordered_at < until group by n, old),
+t as (select cast(sum(cents) filter (where n = 1) as double) / 100.0 as a, cast(sum(cents) filter (where n = 0) as double) / 100.0 as b,
+  cast(sum(cents) filter (where n = 1 and old) as double) / 100.0 as c, cast(sum(cents) filter (where n = 0 and old) as double) / 100.0 as d from total)
+select a as ytd_prev, b as ytd_cur, b / a - 1 as headline_growth, c as ss_prev, d as ss_cur, d / c - 1 as same_store_growth from t""",
     ("D33", "D34", "D17"),
 )
 def j_q11_ytd_growth_same_store(spark, sf_dir):
     s = _shop(spark, sf_dir)
-    o = s.orders.join(F.broadcast(s.stores.select(F.col("id").alias("store_id"), "opened_at")), "store_id")
+    o = s.orders.join(bounded_broadcast(s.stores.select(F.col("id").alias("store_id"), "opened_at"), Shop.STORE_ROWS), "store_id")
     return recipes.comparable_growth(o, "subtotal", "ordered_at", "opened_at", s.orders)
 
 
 @question(
     "j_q12_best_unit_margin",
-    """with cogs as (select sku, sum(cost) as unit_cogs from s_supplies group by sku)
-select p.name as product, cast(p.price - c.unit_cogs as double) / 100.0 as unit_margin,
-  cast(p.price - c.unit_cogs as double) / cast(p.price as double) as margin_pct
-from s_products p join cogs c on c.sku = p.sku""",
+    """with priced as (select name, price, (select sum(cost) from s_supplies x where x.sku = p.sku) as spent from s_products p)
+select name as product, cast(price - spent as double) / 100.0 as unit_margin, cast(price - spent as double) / cast(price as double) as margin_pct
+from priced where spent is not null""",
     ("D25", "D32"),
 )
 def j_q12_best_unit_margin(spark, sf_dir):
     s = _shop(spark, sf_dir)
-    u = recipes.unit_cost(s.supplies, "sku", "cost", "unit_cogs")
+    u = recipes.unit_cost(s.supplies_of(), "sku", "cost", "unit_cogs")
     p = s.products.join(u, "sku")
     m = F.col("price") - F.col("unit_cogs")
     return p.select(F.col("name").alias("product"), dollars(m).alias("unit_margin"), ratio(m, F.col("price")).alias("margin_pct"))

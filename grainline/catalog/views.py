@@ -20,28 +20,27 @@ VIEWS: dict[str, str] = {
   n_name as city, c_mktsegment as tier, cast(c_acctbal as {MONEY}) as credit,
   cast(c_custkey % 6 as {MONEY}) as discount
   from customer join nation on c_nationkey = n_nationkey""",
-    "b_orders": f"""select o_orderkey as id, case when o_orderkey % 50 = 3 then null else o_custkey end as customer_id,
-  cast(o_totalprice as {MONEY}) as amount, o_orderstatus as status, cast(o_orderdate as date) as order_date
-  from orders
-  where o_custkey % 25 <> 11
-    and not (o_orderdate >= timestamp '1997-08-01' and o_orderdate < timestamp '1997-09-01')""",
+    "b_orders": f"""select o_orderkey as id,
+  case when o_orderkey % 50 = 3 or o_custkey % 25 = 11 then null else o_custkey end as customer_id,
+  cast(o_totalprice as {MONEY}) as amount, o_orderstatus as status,
+  case when o_orderdate >= timestamp '1997-08-01' and o_orderdate < timestamp '1997-09-01'
+       then cast(cast(o_orderdate as date) + interval 1 month as date) else cast(o_orderdate as date) end as order_date
+  from orders""",
     "b_order_items": f"""select l_orderkey as order_id, l_partkey as product_id, l_quantity as quantity,
-  cast(l_extendedprice as {MONEY}) as line_amount
-  from lineitem where l_orderkey in (select id from b_orders)""",
-    "b_returns": f"""select o.id, o.customer_id, cast(sum(cast(l_extendedprice as {MONEY})) as {MONEY}) as amount,
-  cast(max(l_shipdate) as date) as return_date
-  from lineitem join b_orders o on o.id = l_orderkey
-  where l_returnflag = 'R' and l_orderkey % 10 in (0, 3) group by 1, 2""",
+  cast(l_extendedprice as {MONEY}) as line_amount from lineitem""",
+    "b_returns": f"""select o.id, case when o.customer_id % 5 <> 2 then o.customer_id end as customer_id,
+  cast(sum(cast(l_extendedprice as {MONEY})) as {MONEY}) as amount, cast(max(l_shipdate) as date) as return_date
+  from lineitem join b_orders o on o.id = l_orderkey where l_returnflag = 'R' group by 1, 2""",
     "b_products": f"""select p_partkey as id, p_name as name, p_type as category, cast(p_retailprice as {MONEY}) as list_price
   from part""",
     "b_campaigns": """select s_suppkey as id, s_name as name,
-  case s_suppkey % 3 when 0 then 'email' when 1 then 'social' else 'search' end as channel from supplier""",
+  case when s_suppkey % 10 = 0 then 'email' when s_suppkey % 2 = 1 then 'social' else 'search' end as channel
+  from supplier""",
     "b_members": """select distinct l_suppkey as campaign_id, o_custkey as customer_id
-  from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 10 = 1""",
-    "b_cities": """select distinct city, region_id,
-  case when (length(city) + region_id) % 3 = 0 then 'large' when (length(city) + region_id) % 3 = 1 then 'medium'
-       else 'small' end as size_class
-  from b_customers where region_id is not null and length(city) <> 5""",
+  from lineitem join orders on o_orderkey = l_orderkey""",
+    "b_cities": """select distinct case when length(city) = 5 then city || ' (OLD)' else city end as city, region_id,
+  case (length(city) + coalesce(region_id, 0)) % 3 when 0 then 'large' when 1 then 'medium' else 'small' end as size_class
+  from b_customers""",
     "b_events": f"select event_id as id, cast(value as {MONEY}) as amount, ts as event_ts from events",
     "b_orders_flat": """select o.id, o.customer_id, o.amount, o.status, o.order_date, r.name as region, c.city, c.tier,
   c.credit, c.discount

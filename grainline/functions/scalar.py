@@ -26,16 +26,6 @@ def band(col: Column | str, edges: Sequence[float], labels: Sequence) -> Column:
     return expr.otherwise(F.lit(labels[-1]))
 
 
-def iif(cond: Column, a, b) -> Column:
-    """Conditional value."""
-    return F.when(cond, a if isinstance(a, Column) else F.lit(a)).otherwise(b if isinstance(b, Column) else F.lit(b))
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """NULL instead of an error or infinity on a zero denominator."""
-    return F.try_divide(a.cast("double"), b.cast("double"))
-
-
 def ratio(a: Column, b: Column) -> Column:
     """Double division of two aggregates; NULL for a zero denominator (as SQL engines without ANSI errors).
 
@@ -49,10 +39,6 @@ def dollars(cents: Column | str) -> Column:
     return _c(cents).cast("double") / 100.0
 
 
-def to_double(col: Column | str) -> Column:
-    return _c(col).cast("double")
-
-
 def normalize_value(col: Column | str, kind: str) -> Column:
     """The canonical comparable form of a value column.
 

@@ -186,13 +186,22 @@ def dedup_usage(messages: DataFrame, trace_key: str, message_id: str, order: str
     The first occurrence is taken with ``min_by`` in a grouped aggregate (map-side combined), not a
     per-message window.
     """
-    first = messages.groupBy(trace_key, message_id).agg(*[F.min_by(c, F.col(order)).alias(c) for c in cols])
+    # a message without an id is one of its own
+    known = F.coalesce(F.col(message_id).cast("string"), F.concat(F.lit("\u0000"), F.col(order).cast("string")))
+    first = messages.withColumn("__message", known).groupBy(trace_key, "__message").agg(*[F.min_by(c, F.col(order)).alias(c) for c in cols])
     return first.groupBy(trace_key).agg(*[F.sum(c).alias(c) for c in cols], F.count(F.lit(1)).alias("turns"))
 
 
 def pair_calls(uses: DataFrame, results: DataFrame, trace_key: str, call_id: str, pos: str) -> DataFrame:
-    """Each tool call with its result by id (left join keeps unanswered calls), in call order."""
-    r = results.select(F.col(trace_key).alias("__t"), F.col(call_id).alias("__id"), *[F.col(c) for c in results.columns if c not in (trace_key, call_id)])
+    """Each tool call with its result by id (left join keeps unanswered calls), in call order.
+
+    Where several results carry an id the last one (by ``pos``, where the results have it) counts.
+    """
+    rest = [c for c in results.columns if c not in (trace_key, call_id)]
+    row = F.struct(*[F.col(c) for c in rest])
+    last = F.max_by(row, F.col(pos)) if pos in rest else F.max(row)
+    r = results.groupBy(F.col(trace_key).alias("__t"), F.col(call_id).alias("__id")).agg(last.alias("__r"))
+    r = r.select("__t", "__id", *[F.col(f"__r.{c}").alias(c) for c in rest if c not in uses.columns])
     j = uses.join(r, (F.col(trace_key) == F.col("__t")) & (F.col(call_id) == F.col("__id")), "left").drop("__t", "__id")
     return j.withColumn("answered", F.col("result_text").isNotNull()) if "result_text" in results.columns else j
 
@@ -224,24 +233,26 @@ def oversized_groups(df: DataFrame, key: Sequence[str], limit: int, name: str =
 
 
 def select_tasks(tasks: DataFrame, ids: Sequence[str] = (), rows: Sequence[str] = (), suites: Sequence[str] = ()) -> DataFrame:
-    """Tasks by id, covered row or suite; unknown names raise (checked against the distinct names)."""
-    unknown_suites = [s for s in suites if s not in SUITES]
-    unknown_rows = [r for r in rows if r not in ALL_ROWS and r not in PITFALLS]
-    if unknown_suites or unknown_rows:
-        raise UnknownReferenceError(f"unknown selection: {unknown_suites + unknown_rows}")
-    if ids:
-        known = {r[0] for r in tasks.where(F.col("task_id").isin(*ids)).select("task_id").distinct().collect()}
-        missing = [i for i in ids if i not in known]
-        if missing:
-            raise UnknownReferenceError(f"unknown task ids: {missing}")
-    cond = F.lit(not (ids or rows or suites))
+    """Tasks that meet all given selectors (any of the ids, any of the rows, any of the suites).
+
+    Unknown suites raise, and so do ids and rows that no task has (checked against the tasks).
+    """
+    unknown = [s for s in suites if s not in SUITES]
+    wanted = [*[("task_id", i) for i in ids], *[("covers", r) for r in rows]]
+    if wanted:
+        has = [F.bool_or(F.col("task_id") == v if c == "task_id" else F.array_contains("covers", v)) for c, v in wanted]
+        found = tasks.agg(*[h.alias(f"k{i}") for i, h in enumerate(has)]).first()  # one row
+        unknown += [v for (_, v), ok in zip(wanted, found, strict=True) if not ok]
+    if unknown:
+        raise UnknownReferenceError(f"unknown selection: {unknown}")
+    out = tasks
     if ids:
-        cond = cond | F.col("task_id").isin(*ids)
+        out = out.where(F.col("task_id").isin(*ids))
     if rows:
-        cond = cond | F.arrays_overlap("covers", _arr(rows))
+        out = out.where(F.arrays_overlap("covers", _arr(rows)))
     if suites:
-        cond = cond | suite_of(F.col("dataset"), F.col("covers")).isin(*suites)
-    return tasks.where(cond)
+        out = out.where(suite_of(F.col("dataset"), F.col("covers")).isin(*suites))
+    return out
 
 
 def jaffle_scoreboard(results: DataFrame) -> DataFrame:
@@ -278,7 +289,7 @@ _MD_SEP = r"^\|(\s*:?-+:?\s*\|)+$"
 
 def _md_cells(line: Column) -> Column:
     inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
-    return F.transform(F.split(inner, r"\|"), lambda c: F.trim(c))
+    return F.transform(F.split(inner, r"\|"), lambda c: F.nullif(F.trim(c), F.lit("")))
 
 
 def parse_results(df: DataFrame, text: str, name: str = "parsed") -> DataFrame:
@@ -293,13 +304,15 @@ def parse_results(df: DataFrame, text: str, name: str = "parsed") -> DataFrame:
     wrapped = F.from_json(t, "struct<data:array<map<string,string>>, warnings:array<string>>")
 
     def from_records(recs: Column, warns: Column) -> Column:
-        keys = F.map_keys(F.element_at(recs, 1))
-        rows = F.transform(recs, lambda r: F.transform(keys, lambda k: F.element_at(r, k)))
+        keys = F.array_distinct(F.flatten(F.transform(recs, F.map_keys)))  # of all records, in order of appearance
+        rows = F.transform(recs, lambda r: F.transform(keys, lambda k: F.try_element_at(r, k)))
         return F.struct(keys.alias("columns"), rows.alias("rows"), warns.alias("warnings"))
 
-    lines = F.filter(F.split(t, r"\n"), lambda ln: F.trim(ln) != "")
+    lines = F.split(t, r"\n")
     is_md = F.startswith(t, F.lit("|")) & (F.size(lines) >= 2) & F.element_at(lines, 2).rlike(_MD_SEP)
-    body = F.filter(F.slice(lines, 3, 1_000_000), lambda ln: F.startswith(F.trim(ln), F.lit("|")))
+    below = F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1)))
+    other = F.array_position(F.transform(below, lambda ln: F.startswith(F.trim(ln), F.lit("|"))), F.lit(False))
+    body = F.when(other > 0, F.slice(below, 1, F.greatest(other.cast("int") - 1, F.lit(0)))).otherwise(below)  # up to the first line that is no row
     md = F.struct(
         _md_cells(F.element_at(lines, 1)).alias("columns"),
         F.transform(body, _md_cells).alias("rows"),

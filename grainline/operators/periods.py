@@ -52,10 +52,25 @@ def clip(df: DataFrame, col: str, date_range) -> DataFrame:
 def time_shift(
     s: DataFrame, period: str, value: str, n: int, unit: str, dims: Sequence[str] = (), name: str | None = None
 ) -> DataFrame:
-    """The value of the period ``n`` units away (``n = -1``: previous), joined on calendar keys."""
+    """The value of the period ``n`` units away (``n = -1``: previous), matched on calendar keys.
+
+    Every row of the series goes to its own period and, as a shifted value, to the period that looks at it;
+    the two are brought together by one aggregate. The series is read once, not joined with itself.
+    """
     name = name or f"{value}_shift"
-    shifted = s.select(date_add_unit(F.col(period), -n, unit).alias(period), *dims, F.col(value).alias(name))
-    return null_safe_join(s, shifted, [period, *dims], "left")
+    rest = [c for c in s.columns if c != period and c not in dims]
+    places = F.array(
+        F.struct(F.lit(True).alias("own"), F.col(period).alias("at")),
+        F.struct(F.lit(False).alias("own"), date_add_unit(F.col(period), -n, unit).alias("at")),
+    )
+    both = s.withColumn("__to", F.explode(places))
+    own = F.col("__to.own")
+    out = both.groupBy(F.col("__to.at").alias(period), *dims).agg(
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in rest],
+        F.max(F.when(~own, F.col(value))).alias(name),
+        F.bool_or(own).alias("__own"),
+    )
+    return out.where("__own").select(period, *dims, *rest, name)
 
 
 def change(s: DataFrame, period: str, value: str, unit: str, dims: Sequence[str] = (), name: str | None = None) -> DataFrame:
@@ -116,6 +131,12 @@ def rolling(
     t = F.col(time_col)
     cols = list({*values.values()})
     base = df.select(t.alias("__t"), *cols)
+    if every_bucket and date_range is None:
+        raise ValueError("every_bucket needs a date_range")
+    if date_range is not None:  # only rows that some window of the range can hold are multiplied
+        start, end = date_range_bounds(date_range)
+        oldest = date_add_unit(F.lit(start.isoformat()).cast("date"), -n, wunit)
+        base = base.where((F.col("__t") >= oldest) & (F.col("__t") < F.lit(end.isoformat()).cast("date")))
     if distinct_key is not None:
         # only the day matters for a distinct count; duplicates are removed by the map-side partial
         # aggregation after the explode, so no extra shuffle is spent on a pre-deduplication
@@ -131,8 +152,7 @@ def rolling(
     tt = F.col("__t").cast("timestamp_ntz")
     inside = (tt >= window_start.cast("timestamp_ntz")) & (tt < end_of_bucket.cast("timestamp_ntz"))
     out = cand.filter(inside).groupBy(name).agg(*[fn(F.col(values[m])).alias(m) for m, fn in measures.items()])
-    if every_bucket and date_range is not None:
-        start, end = date_range_bounds(date_range)
+    if every_bucket:
         last_start = date_add_unit(F.lit(end.isoformat()).cast("date"), -1, unit)
         grid = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start.isoformat()).cast("date"), last_start, F.expr(f"interval {_STEP[unit]}"))).alias(name))
         out = grid.join(out, name, "left")

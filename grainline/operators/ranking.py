@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from grainline.functions.scalar import ratio
 from grainline.plans.model import MetricResult, ResultWarning
+from grainline.session import ensure_checkpoint_dir
 
 
 def _order(value: str, direction: str, tiebreak: Sequence[str] = ()) -> list[Column]:
@@ -45,10 +46,13 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     """0-based position of every row in the total order, without a single-partition window.
 
     Rows are range-partitioned and sorted (``orderBy``); ``monotonically_increasing_id`` encodes
-    (partition, position); one count per partition (a bounded, broadcast table) gives each partition's
-    offset. Ties are placed arbitrarily, as in SQL. Also adds ``__total`` (the row count).
+    (partition, position); one count per partition gives each partition's offset. The sorted rows are
+    checkpointed, once: the counts and the rows must come from the same evaluation, since two plans of the
+    same sort, pruned to other columns, draw other partition bounds. Ties are placed arbitrarily, as in
+    SQL. Also adds ``__total`` (the row count).
     """
-    ordered = df.orderBy(*order).withColumn("__grn_id", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = df.orderBy(*order).withColumn("__grn_id", F.monotonically_increasing_id()).checkpoint()
     ordered = ordered.withColumn("__grn_part", F.shiftright(F.col("__grn_id"), 33)).withColumn(
         "__grn_pos", F.col("__grn_id").bitwiseAND(F.lit((1 << 33) - 1))
     )
@@ -116,12 +120,7 @@ def order_limit(df: DataFrame, order: Sequence[Column], limit: int | None = None
     return out.drop(*drop) if drop else out
 
 
-# Default row caps (fixed values): a semantic query shows 20 rows, the SQL tool 1,000.
-QUERY_ROW_CAP = 20
-SQL_ROW_CAP = 1000
-
-
-def bounded(df: DataFrame, n: int = SQL_ROW_CAP) -> MetricResult:
+def bounded(df: DataFrame, n: int) -> MetricResult:
     """At most ``n`` rows and a ``truncated`` warning when more exist.
 
     Reads ``n + 1`` rows (a limit, not a count of the whole result).

@@ -40,14 +40,14 @@ def _cond(pk: list[str], rk: list[str]) -> Column:
 def where_exists(parent: DataFrame, parent_key, child: DataFrame, child_key, cond: Column | None = None) -> DataFrame:
     """Parents with at least one child satisfying ``cond`` (``left_semi``)."""
     pk, ck = _on(parent_key, child_key)
-    keys = _keys(child, ck, cond).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ck)])
+    keys = _keys(child, ck, cond).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ck)]).distinct()  # combined before the shuffle
     return parent.join(keys, _cond(pk, [f"__k{i}" for i in range(len(ck))]), "left_semi")
 
 
 def where_none(parent: DataFrame, parent_key, child: DataFrame, child_key, cond: Column | None = None) -> DataFrame:
     """C11: parents with no (matching) child (``left_anti``). NULL child keys never match, unlike ``NOT IN``."""
     pk, ck = _on(parent_key, child_key)
-    keys = _keys(child, ck, cond).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ck)])
+    keys = _keys(child, ck, cond).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ck)]).distinct()
     return parent.join(keys, _cond(pk, [f"__k{i}" for i in range(len(ck))]), "left_anti")
 
 

@@ -87,14 +87,25 @@ class Model:
     df: DataFrame
     key: tuple[str, ...]
     joins: Mapping[str, Join] = field(default_factory=dict)
-    time_col: str | None = None
+    time_col: str | None = None  # the default time column (F6)
+    within: Callable[[object], DataFrame] | None = None  # the rows of a date range on ``time_col``, pruned in the scan
     max_rows: int | None = None  # a data-independent row bound (allows a broadcast)
     buckets: Mapping[str, str] = field(default_factory=dict)  # stored granularity of bucketed time columns
     allowed_aggs: Mapping[str, frozenset[str]] = field(default_factory=dict)
     measures: Mapping[str, Measure] = field(default_factory=dict)
 
-    def scan(self) -> DataFrame:
-        return self.df
+    def scan(self, date_range=None, column: str | None = None) -> DataFrame:
+        """The rows, or those of a date range on ``column`` (default: the model's time column)."""
+        column = column or self.time_col
+        if date_range is None:
+            return self.df
+        if column is None:
+            raise UnknownReferenceError(f"model {self.name!r} has no time column")
+        if self.within is not None and column == self.time_col:
+            return self.within(date_range)
+        from grainline.functions.calendar import in_range
+
+        return self.df.where(in_range(column, date_range))
 
     def extend(self, columns: Mapping[str, Column] | None = None, joins: Mapping[str, Join] | None = None) -> Model:
         """An immutable copy with extra derived columns and/or joins for one query (B2, C17)."""

@@ -1,11 +1,7 @@
 """Broadcast guards: a side is broadcast only behind a size bound, otherwise the join shuffles.
 
-Two kinds of bound are accepted:
-
-* a *declared* row bound that does not grow with the data (5 regions, 25 nations, one row of a scalar
-  aggregate, the months of a calendar range); and
-* the optimizer's *size estimate* of the plan (Parquet footers, column widths, filters), checked
-  against a byte limit before the hint is added.
+The bound is a *declared* number of rows that does not grow with the data (5 regions, 25 nations, one row
+of a scalar aggregate, the months of a calendar range).
 
 Everything else is left to adaptive execution, which re-plans a shuffled join as a broadcast join only
 when the runtime size of a side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
@@ -18,8 +14,6 @@ from pyspark.sql import functions as F
 
 # Largest declared row bound we broadcast on its own say-so.
 MAX_DECLARED_ROWS = 100_000
-# Largest estimated size we broadcast (well below executor memory).
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -27,19 +21,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
     if max_rows is not None and max_rows <= MAX_DECLARED_ROWS:
         return F.broadcast(df)
     return df
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job runs), or None when unavailable."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - Spark Connect or a plan without stats
-        return None
-
-
-def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only if the optimizer's estimate is known and at most ``max_bytes``."""
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df

@@ -59,7 +59,10 @@ class QuerySpec:
         hops = {r.split(".")[0] for r in refs.values()}
         if self.additive and not self.measures and len(hops) == 1:
             return self._build_eager(catalog, model, refs, hops.pop())
-        df = catalog.attach(self.source, refs) if refs else model.df
+        if refs:
+            df = catalog.attach(self.source, refs)
+        else:
+            df = model.scan(self.date_range, self.time[0]) if self.time is not None else model.df
         for a, r in self.dims.items():
             if "." not in r and a != r:
                 df = df.withColumn(a, F.col(r))
@@ -84,7 +87,7 @@ class QuerySpec:
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         col, unit = self.time
-        if self.date_range is not None:  # pushed to the scan; a running total starts at the range (S4)
+        if self.date_range is not None:  # a running total starts at the range (S4)
             df = df.filter(in_range(col, self.date_range))
         return df.withColumn(col, bucket(col, unit))
 
@@ -101,7 +104,7 @@ class QuerySpec:
         join = catalog.edge(self.source, hop)
         if join.cardinality not in ("many_to_one", "one_to_one"):
             raise ReaggregationError(f"{hop} fans out from {self.source!r}")
-        df = model.df
+        df = model.scan(self.date_range, self.time[0]) if self.time is not None else model.df
         for f in self.filters:
             df = df.filter(f())
         time_keys = self._time_keys(model)

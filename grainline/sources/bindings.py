@@ -1,10 +1,10 @@
 """Bindings of the two business schemas (order database, shop database) to the driver's Parquet tables.
 
-Each binding is a DataFrame built from the given tables, so its size grows with them. A handful of
-deterministic expressions *plant* the edge cases the questions are about (NULL foreign keys, a region
-without customers, customers without orders, a month without orders, cities in two regions). They pick
-rows by key arithmetic because the source tables carry no such cases; they are data definitions, not
-sampling: every binding still covers the whole input tables.
+Each binding is a DataFrame built from the given tables and keeps every row of them. The edge cases the
+questions are about (NULL foreign keys, a region without customers, customers without orders or returns,
+a month without orders, cities in two regions or missing from the reference) are not in the source
+tables; a handful of deterministic expressions *change values* of some rows to make them: a key is set
+to NULL, a date moved to the next month, a city renamed. No row is dropped.
 
 Money is cast to ``DECIMAL(18,2)`` (every source amount has at most two decimals) so that sums are exact
 and do not depend on the order of a parallel aggregation.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from grainline.functions.calendar import date_range_bounds, in_range
 from grainline.plans.sizing import bounded_broadcast
 
 MONEY = DecimalType(18, 2)
@@ -86,25 +87,46 @@ class Bench:
             money(key % 6).alias("discount"),
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    @staticmethod
+    def _order_customer() -> Column:
+        """The order's customer; NULL for some orders and for all orders of some customers, who so have none."""
+        return F.when((F.col("o_orderkey") % 50 == 3) | (F.col("o_custkey") % 25 == 11), F.lit(None)).otherwise(F.col("o_custkey"))
+
+    def _orders(self, raw: Column | None = None) -> DataFrame:
         o = self.t("orders")
-        empty_month = (F.col("o_orderdate") >= F.lit(EMPTY_MONTH_START).cast("timestamp_ntz")) & (
+        if raw is not None:
+            o = o.where(raw)
+        moved = (F.col("o_orderdate") >= F.lit(EMPTY_MONTH_START).cast("timestamp_ntz")) & (
             F.col("o_orderdate") < F.lit(EMPTY_MONTH_END).cast("timestamp_ntz")
         )
-        return o.filter((F.col("o_custkey") % 25 != 11) & ~empty_month).select(
+        day = F.to_date("o_orderdate")
+        return o.select(
             F.col("o_orderkey").alias("id"),
-            F.when(F.col("o_orderkey") % 50 == 3, F.lit(None)).otherwise(F.col("o_custkey")).alias("customer_id"),
+            self._order_customer().alias("customer_id"),
             money("o_totalprice").alias("amount"),
             F.col("o_orderstatus").alias("status"),
-            F.to_date("o_orderdate").alias("order_date"),
+            F.when(moved, F.add_months(day, 1)).otherwise(day).alias("order_date"),
         )
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._orders()
+
+    def orders_in(self, date_range) -> DataFrame:
+        """Orders whose ``order_date`` lies in the period literal or ``[first, last]`` pair.
+
+        ``order_date`` is the raw date but for the orders of one month, moved by a month; the raw date is
+        filtered first with the superset ``[start - 1 month, end)``, which the Parquet scan takes, then the
+        exact range is applied.
+        """
+        start, end = date_range_bounds(date_range)
+        lo = F.add_months(F.lit(start.isoformat()).cast("date"), -1).cast("timestamp_ntz")
+        raw = (F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < F.lit(end.isoformat()).cast("timestamp_ntz"))
+        return self._orders(raw).where(in_range("order_date", date_range))
+
     @cached_property
     def order_items(self) -> DataFrame:
-        # Semi-join: only the lines whose order survives; no order columns are carried.
-        li = self.t("lineitem").join(self.orders.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
-        return li.select(
+        return self.t("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").alias("quantity"),
@@ -113,8 +135,9 @@ class Bench:
 
     @cached_property
     def returns(self) -> DataFrame:
-        li = self.t("lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 10).isin(0, 3))
-        o = self.orders.select("id", "customer_id")
+        """Returned lines per order; those of some customers carry no customer, who so never returned anything."""
+        li = self.t("lineitem").filter(F.col("l_returnflag") == "R")
+        o = self.orders.select("id", F.when(F.col("customer_id") % 5 != 2, F.col("customer_id")).alias("customer_id"))
         return (
             li.join(o, F.col("l_orderkey") == F.col("id"))
             .groupBy("id", "customer_id")
@@ -132,13 +155,13 @@ class Bench:
 
     @cached_property
     def campaigns(self) -> DataFrame:
-        k = F.col("s_suppkey") % 3
-        channel = F.when(k == 0, "email").when(k == 1, "social").otherwise("search")
+        k = F.col("s_suppkey")
+        channel = F.when(k % 10 == 0, "email").when(k % 2 == 1, "social").otherwise("search")
         return self.t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), channel.alias("channel"))
 
     @cached_property
     def members(self) -> DataFrame:
-        li = self.t("lineitem").filter(F.col("l_orderkey") % 10 == 1).select("l_orderkey", "l_suppkey")
+        li = self.t("lineitem").select("l_orderkey", "l_suppkey")
         o = self.t("orders").select("o_orderkey", "o_custkey")
         return (
             li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -148,10 +171,11 @@ class Bench:
 
     @cached_property
     def cities(self) -> DataFrame:
-        c = self.customers.filter(F.col("region_id").isNotNull() & (F.length("city") != 5))
-        k = (F.length("city") + F.col("region_id")) % 3
+        """The size of each city per region; some cities are listed under an old name, which no customer has."""
+        k = (F.length("city") + F.coalesce("region_id", F.lit(0))) % 3
         size = F.when(k == 0, "large").when(k == 1, "medium").otherwise("small")
-        return c.select("city", "region_id", size.alias("size_class")).distinct()
+        name = F.when(F.length("city") == 5, F.concat(F.col("city"), F.lit(" (OLD)"))).otherwise(F.col("city"))
+        return self.customers.select(name.alias("city"), "region_id", size.alias("size_class")).distinct()
 
     @cached_property
     def events(self) -> DataFrame:
@@ -181,6 +205,8 @@ class Bench:
 class Shop:
     """The shop database ("jaffle") bound to the same tables: store = the customer's nation."""
 
+    STORE_ROWS = Bench.NATION_ROWS
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.t = Tables(spark, sf_dir)
 
@@ -249,21 +275,44 @@ class Shop:
     def items(self) -> DataFrame:
         return self.t("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku"))
 
+    def supplies_of(self, sold: DataFrame | None = None) -> DataFrame:
+        """Components (sku, supplier, cost), of all products or of the ``sold`` ones (frame with ``sku``) only.
+
+        Lines of other products are left out before the distinct; the supplier's name is not looked up.
+        """
+        li = self.t("lineitem").select(F.col("l_partkey").alias("sku"), F.col("l_suppkey").alias("supplier"))
+        if sold is not None:
+            li = li.join(sold.select("sku"), "sku", "left_semi")
+        return li.distinct().withColumn("cost", (F.col("sku") % 11 + F.col("supplier") % 7 + 1).cast("long"))
+
+    @cached_property
+    def supplier_names(self) -> DataFrame:
+        return self.t("supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_name").alias("name"))
+
     @cached_property
     def supplies(self) -> DataFrame:
-        pairs = self.t("lineitem").select("l_partkey", "l_suppkey").distinct()
-        s = self.t("supplier").select("s_suppkey", "s_name")
-        return pairs.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(
-            F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("id"),
-            F.col("s_name").alias("name"),
-            (F.col("l_partkey") % 11 + F.col("l_suppkey") % 7 + 1).cast("long").alias("cost"),
-            (F.col("l_suppkey") % 2 == 0).alias("perishable"),
-            F.col("l_partkey").alias("sku"),
+        return self.supplies_of().join(self.supplier_names, "supplier").select(
+            F.concat_ws("-", F.col("supplier").cast("string"), F.col("sku").cast("string")).alias("id"),
+            "name",
+            "cost",
+            (F.col("supplier") % 2 == 0).alias("perishable"),
+            "sku",
         )
 
     @cached_property
     def tweets(self) -> DataFrame:
+        return self._tweets()
+
+    def tweets_between(self, date_range) -> DataFrame:
+        """Tweets of the period: the raw event time, which the scan can filter on, against the bounds moved back."""
+        start, end = date_range_bounds(date_range)
+        lo, hi = (F.add_months(F.lit(d.isoformat()).cast("date"), -TWEET_SHIFT_MONTHS).cast("timestamp_ntz") for d in (start, end))
+        return self._tweets((F.col("ts") >= lo) & (F.col("ts") < hi))
+
+    def _tweets(self, raw: Column | None = None) -> DataFrame:
         e = self.t("events").filter(F.col("event_type") == "click")
+        if raw is not None:
+            e = e.where(raw)
         return e.select(
             F.col("event_id").alias("id"),
             F.col("user_id"),

@@ -47,7 +47,7 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A4: JSON-lines trial results; blank lines skipped, malformed lines dropped."""
-    return spark.read.schema(RESULT_SCHEMA).option("mode", "DROPMALFORMED").json(path).where(F.col("task_id").isNotNull())
+    return spark.read.schema(RESULT_SCHEMA).option("mode", "FAILFAST").json(path).where(F.col("task_id").isNotNull())
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:

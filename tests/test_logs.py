@@ -16,19 +16,19 @@ def _verdict(c, s):
 def results(spark):
     u = (10, 5, 100, 1, False)
     rows = [
-        ("q1-a", "bench", ["Q1"], "slayer", "m", 1, _verdict(True, True), "submitted", u, 0.5, 10.0, None),
-        ("q1-a", "bench", ["Q1"], "slayer", "m", 2, _verdict(True, False), "submitted", u, None, 12.0, None),
-        ("c-x", "bench", ["Q2", "Q4"], "slayer", "m", 1, _verdict(False, False), "submitted", u, 1.0, 5.0, None),
-        ("t-y", "bench", ["Q6", "chasm"], "slayer", "m", 1, None, "timeout", (1, 1, 1, 1, True), None, 900.0, None),
+        ("q1-a", "bench", ["Q1"], "semantic", "m", 1, _verdict(True, True), "submitted", u, 0.5, 10.0, None),
+        ("q1-a", "bench", ["Q1"], "semantic", "m", 2, _verdict(True, False), "submitted", u, None, 12.0, None),
+        ("c-x", "bench", ["Q2", "Q4"], "semantic", "m", 1, _verdict(False, False), "submitted", u, 1.0, 5.0, None),
+        ("t-y", "bench", ["Q6", "chasm"], "semantic", "m", 1, None, "timeout", (1, 1, 1, 1, True), None, 900.0, None),
         ("j-z", "jaffle", ["jaffle"], "sql", "m", 1, _verdict(True, True), "submitted", u, 0.25, 3.0, None),
-        ("q9-b", "bench", ["Q9"], "slayer", "m", 1, _verdict(False, False), "submitted", u, 0.1, 1.0, "DEV-1"),
+        ("q9-b", "bench", ["Q9"], "semantic", "m", 1, _verdict(False, False), "submitted", u, 0.1, 1.0, "DEV-1"),
     ]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
 def test_suite_scoreboard(results):
     got = {(r.suite, r.profile): (r.trials, r.correct, r.single_query, r.passed) for r in logs.suite_scoreboard(results).collect()}
-    assert got == {("capability", "slayer"): (2, 2, 1, 1), ("combo", "slayer"): (1, 0, 0, 0), ("trap", "slayer"): (1, 0, 0, 0), ("jaffle", "sql"): (1, 1, 1, 1)}
+    assert got == {("capability", "semantic"): (2, 2, 1, 1), ("combo", "semantic"): (1, 0, 0, 0), ("trap", "semantic"): (1, 0, 0, 0), ("jaffle", "sql"): (1, 1, 1, 1)}
 
 
 def test_row_and_pitfall_scoreboards(spark, results):
@@ -58,7 +58,7 @@ def test_totals_and_xfail(results):
 
 def test_error_and_warning_kinds(spark):
     df = spark.createDataFrame(
-        [("Error executing tool query: slayer.errors.TimeDimensionColumnError: bucketed",), ("ReaggregationError: fans out",), ("fine",)], "t string"
+        [("Error executing tool query: engine.errors.TimeDimensionColumnError: bucketed",), ("ReaggregationError: fans out",), ("fine",)], "t string"
     )
     assert [r.k for r in df.select(logs.error_kind(F.col("t")).alias("k")).collect()] == ["TimeDimensionColumnError", "ReaggregationError", None]
     w = spark.createDataFrame([("showing first 20 rows",), ("total broadcast across status",), ("something",)], "t string")
@@ -85,6 +85,10 @@ def test_dedup_usage_and_pairing(spark):
     res = spark.createDataFrame([(1, "a", "ok")], "trace int, id string, result_text string")
     p = {x.id: x.answered for x in logs.pair_calls(uses, res, "trace", "id", "pos").collect()}
     assert p == {"a": True, "b": False}
+    twice = spark.createDataFrame([(1, "a", 5, "late"), (1, "a", 3, "early")], "trace int, id string, pos int, result_text string")
+    assert [(x.id, x.result_text) for x in logs.pair_calls(uses, twice, "trace", "id", "pos").orderBy("id").collect()] == [("a", "late"), ("b", None)]
+    anon = spark.createDataFrame([(1, None, 1, 10), (1, None, 2, 5), (1, "m", 3, 1), (1, "m", 4, 1)], "trace int, mid string, pos int, tok int")
+    assert tuple(logs.dedup_usage(anon, "trace", "mid", "pos", ["tok"]).first()) == (1, 16, 3)
 
 
 def test_coverage_and_selection(spark):
@@ -94,7 +98,10 @@ def test_coverage_and_selection(spark):
     problems = [r.problem for r in logs.coverage_problems(spark, tasks, 2, 1).collect()]
     assert "row Q2 has no task" in problems and any("trap tasks" in p for p in problems) and any("three or more" in p for p in problems)
     assert [r.task_id for r in logs.select_tasks(tasks, suites=["trap"]).collect()] == ["t1"]
-    assert {r.task_id for r in logs.select_tasks(tasks, ids=["q1"], rows=["chasm"]).collect()} == {"q1", "t1"}
+    assert {r.task_id for r in logs.select_tasks(tasks, ids=["q1", "t1"], rows=["chasm"]).collect()} == {"t1"}
+    assert logs.select_tasks(tasks, ids=["q1"], rows=["chasm"]).collect() == []
+    with pytest.raises(UnknownReferenceError):
+        logs.select_tasks(tasks, rows=["Q2"])
     with pytest.raises(UnknownReferenceError):
         logs.select_tasks(tasks, ids=["nope"])
     with pytest.raises(UnknownReferenceError):
@@ -120,6 +127,8 @@ def test_parse_result_shapes(spark):
         ("records", '[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]'),
         ("wrapped", '{"data": [{"a": 1, "b": "x"}], "warnings": ["showing first 1 rows"]}'),
         ("colrows", '{"columns": ["a", "b"], "rows": [["1", "x"]], "truncated": true}'),
+        ("union", '[{"a": 1}, {"a": 2, "b": 3}]'),
+        ("tail", "| a |\n|---|\n|  |\n| 2 |\n\nnote\n| not a row |"),
         ("junk", "no table here"),
     ]
     df = logs.parse_results(spark.createDataFrame(texts, "kind string, text string"), "text")
@@ -128,4 +137,6 @@ def test_parse_result_shapes(spark):
     assert got["records"].rows == [["1", "x"], ["2", "y"]]
     assert got["wrapped"].warnings == ["showing first 1 rows"]
     assert got["colrows"].columns == ["a", "b"] and got["colrows"].warnings == ["showing first 1 rows"]
+    assert got["union"].columns == ["a", "b"] and got["union"].rows == [["1", None], ["2", "3"]]
+    assert got["tail"].rows == [[None], ["2"]]
     assert got["junk"] is None

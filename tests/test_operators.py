@@ -238,7 +238,7 @@ def test_normalize_values(spark):
 
 
 def test_default_row_cap(spark):
-    res = ranking.bounded(spark.range(25), ranking.QUERY_ROW_CAP)
+    res = ranking.bounded(spark.range(25), 20)
     assert res.df.count() == 20 and res.kinds() == ["truncated"]
 
 
@@ -274,3 +274,22 @@ def test_eager_spec_equals_row_level_spec(spark):
     key = lambda r: (str(r.order_date), str(r.region), r.status)
     assert sorted(map(tuple, eager.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
     assert eager.count() > 0 and key(eager.first())
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_global_positions_of_a_large_frame_with_payload(spark, adaptive):
+    """Dense unique positions and SQL tiles although columns outside the sort order are kept."""
+    n = 1_000_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("v"), "id", F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        tiled = ranking.ntile_global(df, [F.col("v"), F.col("id")], 7, "tile")
+        got = {r.tile: r.n for r in tiled.groupBy("tile").agg(F.count("payload").alias("n")).collect()}
+        assert got == {k + 1: n // 7 + (k < n % 7) for k in range(7)}
+        numbered = ranking.global_row_number(df, [F.col("v"), F.col("id")], "r")
+        r = numbered.agg(F.count_distinct("r").alias("d"), F.max("r").alias("m"), F.max(F.length("payload")).alias("p")).first()
+        assert (r.d, r.m, r.p) == (n, n - 1, 64)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.exchange.reuse")

@@ -32,7 +32,7 @@ def test_scan_prunes_columns(spark):
 def test_results_jsonl_blank_lines_and_append(spark):
     d = _scratch() / "results"
     d.mkdir()
-    line = {"task_id": "q1", "dataset": "bench", "covers": ["Q1"], "profile": "slayer", "model": "m", "trial": 1,
+    line = {"task_id": "q1", "dataset": "bench", "covers": ["Q1"], "profile": "semantic", "model": "m", "trial": 1,
             "verdict": {"correct": True, "single_query": True}, "end_reason": "submitted", "usage": {"input_tokens": 3},
             "cost_usd": None, "duration_s": 2.0, "xfail": None}
     (d / "part-0.json").write_text(json.dumps(line) + "\n\n" + json.dumps({**line, "trial": 2}) + "\n")
@@ -45,11 +45,11 @@ def test_results_jsonl_blank_lines_and_append(spark):
 def test_traces_key_from_file_name(spark):
     d = _scratch() / "traces"
     d.mkdir()
-    trace = {"profile": "slayer", "calls": [{"tool": "query", "args": "{}", "result_text": "| a |\n|---|\n| 1 |", "is_error": False}],
+    trace = {"profile": "semantic", "calls": [{"tool": "query", "args": "{}", "result_text": "| a |\n|---|\n| 1 |", "is_error": False}],
              "usage": {"input_tokens": 1}, "turns": 2, "end_reason": "submitted"}
-    (d / "q4-prior-year__slayer__model-x__3.json").write_text(json.dumps(trace, indent=2))
+    (d / "q4-prior-year__semantic__model-x__3.json").write_text(json.dumps(trace, indent=2))
     r = files.read_traces(spark, str(d)).first()
-    assert (r.task_id, r.trace_profile, r.model, r.trial) == ("q4-prior-year", "slayer", "model-x", 3)
+    assert (r.task_id, r.trace_profile, r.model, r.trial) == ("q4-prior-year", "semantic", "model-x", 3)
     assert r.calls[0].tool == "query"
 
 

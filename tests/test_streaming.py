@@ -30,7 +30,7 @@ def test_quarter_hour_stream_equals_batch(spark):
 def test_live_scoreboard_over_results_log(spark):
     d = Path(tempfile.mkdtemp(prefix="grainline-log-"))
     (d / "log").mkdir()
-    base = {"dataset": "bench", "profile": "slayer", "model": "m", "end_reason": "submitted", "usage": {}, "duration_s": 1.0}
+    base = {"dataset": "bench", "profile": "semantic", "model": "m", "end_reason": "submitted", "usage": {}, "duration_s": 1.0}
     lines = [
         {**base, "task_id": "q1", "covers": ["Q1"], "trial": 1, "verdict": {"correct": True, "single_query": True}},
         {**base, "task_id": "t1", "covers": ["Q6", "chasm"], "trial": 1, "verdict": {"correct": False, "single_query": False}},
