@@ -58,13 +58,19 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' features one after the other, and whose they are."""
+    ids = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+    return ids, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+
+
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Grades 0, 1, 2 of labelled rows (see the module text)."""
     y = np.asarray(toxic, dtype=np.int64).clip(0, 1)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     if not n1:
         return y
-    ids, owner = np.concatenate([*rows, []]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ids, owner = _flat(rows)
     in1 = np.bincount(ids[y[owner] == 1], minlength=1 << BITS)
     in0 = np.bincount(ids[y[owner] == 0], minlength=1 << BITS)
     marker = (in1 >= MIN_ROWS_OF_FEATURE) & (in1 / n1 > MARKER_ODDS * (in0 + 0.5) / max(n0, 1))
@@ -78,15 +84,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     w = np.zeros(1 << BITS)
     if not top or not (y == 0).any():
         return Model(w.astype(np.float32), np.array([]))
-    lens = np.array([len(r) for r in rows])
-    ids = np.concatenate([*rows, []]).astype(np.int64)
-    every = np.repeat(y > 0, lens)
+    ids, owner = _flat(rows)
+    every = y[owner] > 0
     in1, in0 = (np.bincount(ids[every == k], minlength=1 << BITS) for k in (True, False))
     n1, n0 = int((y > 0).sum()), int((y == 0).sum())
     both = (in1 + in0) / (n1 + n0)
     z = np.abs(in1 / n1 - in0 / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
     keep = ((in1 + in0 >= MIN_ROWS_OF_FEATURE) & (z >= MIN_Z))[ids]
-    owner = np.repeat(np.arange(len(rows)), lens)[keep]
+    owner = owner[keep]
     used, ids = np.unique(ids[keep], return_inverse=True)
     v = np.zeros(len(used))
     share = np.array([(y >= k).mean() for k in range(1, top + 1)])
@@ -126,11 +131,11 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
         .mapInArrow(run, "doc_id long, toxic int, x binary")
-        .toPandas()
-        .sort_values(["doc_id", "x"])
+        .toArrow()
+        .sort_by([("doc_id", "ascending"), ("x", "ascending")])
     )
-    xs = [np.frombuffer(x, dtype=np.int32) for x in rows["x"]]
-    return fit(xs, grade(xs, rows["toxic"].to_numpy()))
+    xs = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in rows.column("x")]
+    return fit(xs, grade(xs, rows.column("toxic").to_numpy()))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
