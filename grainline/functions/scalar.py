@@ -39,12 +39,22 @@ def dollars(cents: Column | str) -> Column:
     return _c(cents).cast("double") / 100.0
 
 
+_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_WHEN = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
+
+
+def _instant_text(ts: Column) -> Column:
+    """A wall-clock time as ISO text; midnight is the date alone."""
+    midnight = F.date_format(ts, "HH:mm:ss.SSSSSS") == "00:00:00.000000"
+    return F.when(midnight, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def normalize_value(col: Column | str, kind: str) -> Column:
-    """The canonical comparable form of a value column.
+    """The canonical comparable text of a value column.
 
-    ``kind`` is the column's Spark type name: numbers become DOUBLE with NaN as NULL; text that is a
-    number becomes that number; ``YYYY-MM`` text becomes its first day; midnight timestamps become dates
-    (rendered ISO); zoned timestamps are taken in UTC.
+    ``kind`` is the column's Spark type name: numbers become DOUBLE text with NaN as NULL; text that is a
+    plain decimal number becomes that number; ``YYYY-MM`` text becomes its first day; date-times, also in
+    text, become ISO text in UTC, at midnight the date alone.
     """
     c = _c(col)
     if kind in ("int", "bigint", "smallint", "tinyint", "float", "double") or kind.startswith("decimal"):
@@ -52,13 +62,18 @@ def normalize_value(col: Column | str, kind: str) -> Column:
         return F.when(F.isnan(d), F.lit(None)).otherwise(d).cast("string")
     if kind == "date":
         return F.date_format(c, "yyyy-MM-dd")
-    if kind in ("timestamp", "timestamp_ntz"):
-        ts = c.cast("timestamp_ntz")
-        midnight = F.date_format(ts, "HH:mm:ss.SSSSSS") == "00:00:00.000000"
-        return F.when(midnight, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
+    if kind == "timestamp_ntz":
+        return _instant_text(c)
+    if kind == "timestamp":
+        return _instant_text(F.to_utc_timestamp(c, F.current_timezone()))
     if kind == "boolean":
         return c.cast("string")
     s = F.trim(c)
-    num = s.try_cast("double")
-    month = F.when(s.rlike(r"^\d{4}-\d{2}$"), F.concat(s, F.lit("-01")))
-    return F.coalesce(F.when(num.isNotNull(), num.cast("string")), month, c)
+    zoned = F.to_utc_timestamp(s.try_cast("timestamp"), F.current_timezone())
+    return (
+        F.when(s.rlike(_NUMBER), s.try_cast("double").cast("string"))
+        .when(s.rlike(r"^\d{4}-\d{2}$"), F.concat(s, F.lit("-01")))
+        .when(s.rlike(_WHEN + "$"), F.coalesce(_instant_text(s.try_cast("timestamp_ntz")), c))
+        .when(s.rlike(_WHEN + r"\s?(Z|[+-]\d{2}:?\d{2})$"), F.coalesce(_instant_text(zoned), c))
+        .otherwise(c)
+    )
