@@ -7,34 +7,35 @@ number of distinct symbols over that number plus all counts (method C), and goes
 the symbols of the longer one are excluded; below order 0 the remaining bytes are equally likely. All symbols of a context
 so have probabilities that add up to 1.
 
-Nothing of the model is broadcast but its orders 0 and 1, at most 256 x 256 counts. Documents are dealt into blocks of
-about ``BLOCK_BYTES``; a block names its distinct grams and words once, with their counts in its training documents.
-These rows are summed per gram (map-side combined), the log probability of every distinct gram is worked out among the
-grams that share its last two context bytes, and each block gets back the values of its own grams, as a dictionary whose
-size is bounded by the block's.
+Nothing of the model is broadcast but its orders 0 and 1, at most 256 x 256 counts. Documents are packed where they are
+read into blocks of at most about ``BLOCK_BYTES``, one compressed row each; a block names its distinct grams and words
+once, with their counts in its training documents. These rows are summed per key (map-side combined), the log probability
+of every distinct gram is worked out among the grams that share its last two context bytes, and each block gets back the
+values of its own keys, as a dictionary whose size is bounded by the block's. Words are keyed by 62 bits of a hash.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 ORDER = 5
-BLOCK_BYTES = 24 << 20
-STEP = 4 << 20  # positions handled at once
+BLOCK_BYTES = 32 << 20
+STEP = 1 << 20  # positions handled at once
 START, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 _CLEAN = bytes.maketrans(b"\xfe\xff", b"??")
-DICTIONARY = "block int, gram long, word binary, n long"
-VALUES = "block int, gram long, word binary, value double"
+BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<long>, texts binary"
+DICTIONARY = "block long, key long, n long"
+WORD = 1 << 62  # keys of words have this bit, those of grams are smaller
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,14 +47,58 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _runs(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, owner) of some millions of positions at a time; owner is the index of the text."""
-    pad, buf, owners = bytes([START]) * order, [], []
-    size = 0
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a partition's documents: their texts as words joined by spaces, end to end and compressed."""
+    part, made = TaskContext.get().partitionId(), 0
+    ids, held, texts, size = [], [], [], 0
+
+    def row() -> pa.RecordBatch:
+        nonlocal made
+        made += 1
+        sizes = pa.array([[len(t) for t in texts]], pa.list_(pa.int64()))
+        blob = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+        cols = [pa.array([(part << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), sizes, pa.array([blob], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["block", "ids", "held", "sizes", "texts"])
+
+    for b in batches:
+        for d, h, t in zip(b.column("doc_id"), b.column("held_out"), b.column("text").cast(pa.binary()), strict=True):
+            ids.append(d.as_py())
+            held.append(h.as_py())
+            texts.append(b" ".join(words_of(t.as_py())))
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                yield row()
+                ids, held, texts, size = [], [], [], 0
+    if ids:
+        yield row()
+
+
+def unpack(sizes: list[int], blob: bytes) -> Iterator[bytes]:
+    raw = memoryview(pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True)) if sum(sizes) else memoryview(b"")
+    at = 0
+    for n in sizes:
+        yield bytes(raw[at : at + n])
+        at += n
+
+
+def word_key(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word) >> 2 | WORD
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    """The words of a packed text and its end, which is the empty word."""
+    return [*text.split(b" "), b""] if text else [b""]
+
+
+def _runs(texts: Iterable[tuple[int, bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, owner) of about ``STEP`` positions at a time, of numbered texts."""
+    pad, buf, owners, size = bytes([START]) * order, [], [], 0
 
     def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = np.frombuffer(b"".join(buf), dtype=np.uint8)
-        own = np.repeat(np.array(owners), [len(x) for x in buf])
+        own = np.repeat(np.array(owners, dtype=np.int32), [len(x) for x in buf])
         for at in range(0, len(b) - order, STEP):
             part = b[at : at + STEP + order]
             g = np.zeros(len(part) - order, dtype=np.uint64)
@@ -62,7 +107,7 @@ def _runs(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
             real = part[order:] != START
             yield g[real], own[at + order : at + order + len(g)][real]
 
-    for k, t in enumerate(texts):
+    for k, t in texts:
         buf.append(pad + t.translate(_CLEAN) + bytes([END]))
         owners.append(k)
         size += len(buf[-1])
@@ -80,36 +125,31 @@ def _merge(u: np.ndarray, n: np.ndarray, g: np.ndarray, weight: int) -> tuple[np
     return both, np.bincount(at, weights=np.concatenate([n, m * weight]), minlength=len(both)).astype(np.int64)
 
 
-def block_dictionary(t: pa.Table, order: int = ORDER) -> pa.Table:
-    """The distinct grams and words of a block with their counts in its training rows; the empty word stands for the end."""
-    block = t.column("block")[0].as_py()
-    texts, held = t.column("text").cast(pa.binary()).to_pylist(), t.column("held_out").to_pylist()
-    count: Counter[bytes] = Counter()
-    seen: set[bytes] = {b""}
-    u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    for flag in (False, True):
-        joined = []
-        for text, h in zip(texts, held, strict=True):
-            if h == flag:
-                w = words_of(text)
-                if flag:
-                    seen.update(w)
-                else:
-                    count.update(w)
-                    count[b""] += 1
-                joined.append(b" ".join(w))
-        for g, _ in _runs(joined, order):
-            u, n = _merge(u, n, g, 0 if flag else 1)
-    words = list(seen | count.keys())
-    k = len(u) + len(words)
-    return pa.table(
-        {
-            "block": pa.array(np.full(k, block, dtype=np.int32)),
-            "gram": pa.concat_arrays([pa.array(u.astype(np.int64)), pa.nulls(len(words), pa.int64())]),
-            "word": pa.concat_arrays([pa.nulls(len(u), pa.binary()), pa.array(words, pa.binary())]),
-            "n": pa.array(np.concatenate([n, np.array([count[w] for w in words], dtype=np.int64)])),
-        }
-    )
+def dictionaries(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[pa.RecordBatch]:
+    """The distinct grams and words of each block with their counts in its training rows."""
+    for b in batches:
+        for i in range(b.num_rows):
+            block, held, sizes = (b.column(c)[i].as_py() for c in ("block", "held", "sizes"))
+            blob = b.column("texts")[i].as_py()
+            count: Counter[bytes] = Counter()
+            seen: set[bytes] = {b""}
+            u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            for out in (False, True):
+
+                def mine(out=out):
+                    for k, t in enumerate(unpack(sizes, blob)):
+                        if held[k] == out:
+                            (seen if out else count).update(tokens_of(t))
+                            yield k, t
+
+                for g, _ in _runs(mine(), order):
+                    u, n = _merge(u, n, g, 0 if out else 1)
+            words = list(seen | count.keys())
+            keys = np.concatenate([u.astype(np.int64), np.array([word_key(w) for w in words], dtype=np.int64)])
+            counts = np.concatenate([n, np.array([count[w] for w in words], dtype=np.int64)])
+            for at in range(0, len(keys), 1 << 18):
+                k, c = keys[at : at + (1 << 18)], counts[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(c)], ["block", "key", "n"])
 
 
 def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,24 +239,27 @@ class Lookup:
 
 def score_block(t: pa.Table, values: pa.Table, floor: float, order: int = ORDER) -> pa.Table:
     """Scores of a block's documents from the values of its grams and words; ``floor`` is an unknown word's base value."""
-    ids, texts, held = t.column("doc_id"), t.column("text").cast(pa.binary()).to_pylist(), t.column("held_out")
-    known = values.column("gram").is_valid()
-    grams = values.filter(known)
-    of_gram = Lookup(grams.column("gram").to_numpy().astype(np.uint64), grams.column("value").to_numpy())
-    rest = values.filter(pc.invert(known))
-    of_word = dict(zip(rest.column("word").to_pylist(), rest.column("value").to_pylist(), strict=True))
-    k = len(texts)
-    n_tokens, n_known, base, joined = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.zeros(k), []
-    for i, text in enumerate(texts):
-        w = words_of(text)
-        joined.append(b" ".join(w))
-        w.append(b"")
-        v = np.fromiter(map(of_word.__getitem__, w), dtype=np.float64, count=len(w))
-        n_tokens[i], n_known[i], base[i] = len(w), int((v > floor).sum()), v.sum()
+    ids, held, sizes = (t.column(c)[0].as_py() for c in ("ids", "held", "sizes"))
+    blob = t.column("texts")[0].as_py()
+    value = Lookup(values.column("key").to_numpy().astype(np.uint64), values.column("value").to_numpy())
+    k = len(ids)
+    vocabulary: dict[bytes, int] = {}
+    tokens: list[np.ndarray] = []
+
+    def numbered() -> Iterator[tuple[int, bytes]]:
+        for i, text in enumerate(unpack(sizes, blob)):
+            tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens_of(text)], dtype=np.int32))
+            yield i, text
+
     score = np.zeros(k)
-    for g, own in _runs(joined, order):
-        score += np.bincount(own, weights=of_gram(g), minlength=k)
-    return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
+    for g, own in _runs(numbered(), order):
+        score += np.bincount(own, weights=value(g), minlength=k)
+    of_word = value(np.array([word_key(w) for w in vocabulary], dtype=np.uint64))
+    known = of_word > floor
+    n_tokens = np.array([len(x) for x in tokens], dtype=np.int64)
+    n_known = np.array([known[x].sum() for x in tokens], dtype=np.int64)
+    base = np.array([of_word[x].sum() for x in tokens])
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
 
 def score_documents(spark: SparkSession, documents: DataFrame, held: Column | None = None, order: int = ORDER) -> DataFrame:
@@ -227,26 +270,22 @@ def score_documents(spark: SparkSession, documents: DataFrame, held: Column | No
     bytes are equally likely and the base score is 0. Extra columns are ignored; no documents: no rows.
     """
     scratch = Scratch(spark, "lm")
-    n_bytes = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + n_bytes // BLOCK_BYTES
     rows = documents.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (held_out(F.col("doc_id")) if held is None else held).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    names = scratch.keep(rows.groupBy("block").applyInArrow(lambda t: block_dictionary(t, order), DICTIONARY), "dictionary")
-    words = names.where("word is not null")
-    grams = names.where("gram is not null").select("block", "gram", "n")
-
-    of_word = scratch.keep(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    n_train, n_types = of_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
+    blocks = scratch.keep(rows.mapInArrow(pack, BLOCKS), "blocks")
+    names = scratch.keep(blocks.mapInArrow(lambda it: dictionaries(it, order), DICTIONARY), "dictionary")
+    summed = scratch.keep(names.groupBy("key").agg(F.sum("n").alias("n")), "sums")
+    word = F.col("key") >= WORD
+    n_train, n_types = summed.where(word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     log_all = math.log10(n_train + 1 * (n_types + 1))
-    word_values = words.select("block", "word").join(of_word.select("word", (F.log10(F.col("n") + 1) - F.lit(log_all)).alias("value")), "word")
+    of_word = summed.where(word).select("key", (F.log10(F.col("n") + 1) - F.lit(log_all)).alias("value"))
 
-    of_gram = scratch.keep(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    of_gram = summed.where(~word)
     low = np.zeros((256, 256), dtype=np.int64)
-    pair = F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    pair = F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")
     for r in of_gram.groupBy(pair).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         low[r["pair"] >> 8, r["pair"] & 255] = r["n"]
 
@@ -254,19 +293,17 @@ def score_documents(spark: SparkSession, documents: DataFrame, held: Column | No
         batches = [b for b in batches if b.num_rows]
         if batches:
             t = pa.Table.from_batches(batches)
-            g = t.column("gram").to_numpy()
+            g = t.column("key").to_numpy()
             p = log_probabilities(g, t.column("n").to_numpy(), low, order)
-            for i in range(0, len(g), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 20)]), pa.array(p[i : i + (1 << 20)])], ["gram", "value"])
-
-    by_context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    values = scratch.keep(of_gram.repartition(by_context).mapInArrow(model, "gram long, value double"), "values")
-    gram_values = grams.select("block", "gram").join(values, "gram")
-    back = gram_values.select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").unionAll(
-        word_values.select("block", F.lit(None).cast("long").alias("gram"), "word", "value")
-    )
+            for i in range(0, len(g), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 18)]), pa.array(p[i : i + (1 << 18)])], ["key", "value"])
+
+    by_context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    values = scratch.keep(of_gram.repartition(by_context).mapInArrow(model, "key long, value double").unionAll(of_word), "values")
+    scratch.drop(summed)
+    back = names.select("block", "key").join(values, "key").select("block", "key", "value")
     scored = (
-        rows.groupBy("block")
+        blocks.groupBy("block")
         .cogroup(back.groupBy("block"))
         .applyInArrow(lambda t, v: score_block(t, v, -log_all + 1e-9, order), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     )
