@@ -80,7 +80,7 @@ def row_scoreboard(spark: SparkSession, results: DataFrame) -> DataFrame:
     Rows without trials appear with zeros; uncovered rows are marked. Bench trials only, xfail excluded.
     """
     bench = results.where((F.col("dataset") == "bench") & F.col("xfail").isNull())
-    ex = bench.withColumn("row", F.explode("covers")).where(F.col("row").isin(*ALL_ROWS))
+    ex = bench.withColumn("row", F.explode(F.array_distinct("covers"))).where(F.col("row").isin(*ALL_ROWS))
     agg = ex.groupBy("row").agg(F.count_distinct("task_id").alias("tasks"), *_counts())
     labels = spark.createDataFrame([(r, r in UNCOVERED_ROWS) for r in ALL_ROWS], "row string, uncovered boolean")
     out = labels.join(F.broadcast(agg), "row", "left")  # the label table is fixed (25 rows)
@@ -92,7 +92,7 @@ def row_scoreboard(spark: SparkSession, results: DataFrame) -> DataFrame:
 def pitfall_scoreboard(results: DataFrame) -> DataFrame:
     """L3: per pitfall x profile x model over bench trials: trials and correct answers."""
     bench = results.where((F.col("dataset") == "bench") & F.col("xfail").isNull())
-    ex = bench.withColumn("pitfall", F.explode("covers")).where(F.col("pitfall").isin(*PITFALLS))
+    ex = bench.withColumn("pitfall", F.explode(F.array_distinct("covers"))).where(F.col("pitfall").isin(*PITFALLS))
     v = F.col("verdict")
     return ex.groupBy("pitfall", "profile", "model").agg(F.count(F.lit(1)).alias("trials"), F.count(F.when(v.isNotNull() & v["correct"], 1)).alias("correct"))
 
