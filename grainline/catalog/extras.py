@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from grainline.catalog.bench import Y2025, _bench
 from grainline.catalog.registry import question
 from grainline.functions.aggregates import aggregate, agg_template, count_rows, first_by_time, last_by_time, weighted_avg
-from grainline.functions.calendar import custom_bucket, date_add_unit, date_diff_unit, in_period
+from grainline.functions.calendar import custom_bucket, date_add_unit, date_diff_unit, in_period, last_complete
 from grainline.functions.scalar import ratio
-from grainline.operators import grain, periods, ranking
-from grainline.sources.bindings import Tables
+from grainline.functions.text import missing_markers
+from grainline.operators import grain, periods, ranking, recipes
+from grainline.sources.bindings import Shop, Tables
 
 FISCAL_ORIGIN = "1995-04-01"  # fixed: a fiscal year of 12 months starting in April
 QUARTER_HOUR_ORIGIN = "2000-01-01"
@@ -183,3 +184,111 @@ def f7_orders_and_returns_by_month(spark, sf_dir):
     s = periods.spine(spark, "1997-01-01", "1997-12-01", "month", "month")
     out = grain.multi_fact(s, ["month"], [o, r])
     return out.select("month", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("ordered", "returned")])
+
+
+@question(
+    "d_dispersion_rounded",
+    """select o.status, round(avg(o.amount), 3) as avg_amount, round(stddev_pop(o.amount::double), 3) as stddev_pop,
+  round(stddev_samp(o.amount::double), 3) as stddev_samp, round(var_pop(o.amount::double) / 1e6, 4) as var_pop_m,
+  round(var_samp(o.amount::double) / 1e6, 4) as var_samp_m, round(corr(o.amount::double, c.credit::double), 8) as corr_amount_credit,
+  round(covar_pop(o.amount::double, c.credit::double) / 1e6, 4) as covar_pop_m,
+  round(covar_samp(o.amount::double, c.credit::double) / 1e6, 4) as covar_samp_m,
+  round(quantile_cont(o.amount::double, 0.9), 3) as p90_amount, true as p90_approx_near, true as customers_approx_near
+from b_orders o left join b_customers c on c.id = o.customer_id group by 1""",
+    ("D2", "D6", "D9", "D11", "D12", "D13", "D14"),
+)
+def d_dispersion_rounded(spark, sf_dir):
+    """Dispersion per status from exact sums per (status, customer); approximations as being near the exact value."""
+    b = _bench(spark, sf_dir)
+    a, known = F.col("amount"), F.col("credit").isNotNull()
+    per = b.orders.groupBy("status", "customer_id").agg(count_rows().alias("n"), F.sum(a).alias("s"), F.sum(a * a).alias("q"))
+    j = per.join(b.customers.select(F.col("id").alias("customer_id"), "credit"), "customer_id", "left")
+    c, n, s = F.col("credit").cast("double"), F.col("n"), F.col("s").cast("double")
+    g = j.groupBy("status").agg(
+        F.sum("n").alias("n"),
+        F.sum("s").cast("double").alias("s"),
+        F.sum("q").cast("double").alias("q"),
+        F.sum(F.when(known, n)).alias("k"),
+        F.sum(F.when(known, F.col("s"))).cast("double").alias("ks"),
+        F.sum(F.when(known, F.col("q"))).cast("double").alias("kq"),
+        F.sum(n * c).alias("kc"),
+        F.sum(n * c * c).alias("kcc"),
+        F.sum(s * c).alias("x"),
+    )
+    cents = b.orders.select("status", a.cast("double").alias("a"))
+    p90 = ranking.percentile_by_rank(cents, ["status"], "a", 0.9, "p90")
+    approx = b.orders.groupBy("status").agg(
+        aggregate("avg", "amount").cast("double").alias("avg"),
+        aggregate("percentile_approx", a.cast("double"), 0.9).alias("p90_approx"),
+        aggregate("count_distinct", "customer_id").alias("d"),
+        aggregate("count_distinct_approx", "customer_id").alias("d_approx"),
+    )
+    g = g.join(p90, "status").join(approx, "status")
+    col = F.col
+    var = col("q") / col("n") - F.pow(col("s") / col("n"), 2)
+    samp = var * col("n") / (col("n") - 1)
+    cov = col("x") / col("k") - (col("ks") / col("k")) * (col("kc") / col("k"))
+    var_a = col("kq") / col("k") - F.pow(col("ks") / col("k"), 2)
+    var_c = col("kcc") / col("k") - F.pow(col("kc") / col("k"), 2)
+    near = lambda x, y, tol: F.abs(col(x) - col(y)) <= tol * col(y)
+    return g.select(
+        "status",
+        F.round("avg", 3).alias("avg_amount"),
+        F.round(F.sqrt(var), 3).alias("stddev_pop"),
+        F.round(F.sqrt(samp), 3).alias("stddev_samp"),
+        F.round(var / 1e6, 4).alias("var_pop_m"),
+        F.round(samp / 1e6, 4).alias("var_samp_m"),
+        F.round(cov / F.sqrt(var_a * var_c), 8).alias("corr_amount_credit"),
+        F.round(cov / 1e6, 4).alias("covar_pop_m"),
+        F.round(cov * col("k") / (col("k") - 1) / 1e6, 4).alias("covar_samp_m"),
+        F.round("p90", 3).alias("p90_amount"),
+        near("p90_approx", "p90", 0.01).alias("p90_approx_near"),
+        near("d_approx", "d", 0.15).alias("customers_approx_near"),
+    )
+
+
+@question(
+    "d31b_returning_customers_by_year",
+    """with y as (select distinct customer, year(ordered_at) as y from s_orders),
+f as (select customer, min(y) as first from y group by 1)
+select make_date(y, 1, 1) as year, count(*) filter (where y > first) as returning from y join f using (customer) group by y""",
+    ("D31b",),
+)
+def d31b_returning_customers_by_year(spark, sf_dir):
+    o = Shop(spark, sf_dir).orders.select("customer", F.to_date("ordered_at").alias("day"))
+    return recipes.returning_entities(o, "customer", "day", "year", "year", "returning")
+
+
+@question(
+    "g5_second_page_of_cities",
+    "select city, cast(sum(amount) as double) as revenue from b_orders_flat where city is not null group by city order by sum(amount) desc, city limit 5 offset 5",
+    ("G5", "G4"),
+)
+def g5_second_page_of_cities(spark, sf_dir):
+    b = _bench(spark, sf_dir)
+    g = grain.eager_aggregate(b.orders, "customer_id", b.customer_dims, "id", ["city"], {"__s": F.sum("amount")}, {"revenue": F.sum("__s")})
+    page = ranking.order_limit(g.where(F.col("city").isNotNull()), [F.col("revenue").desc(), F.col("city")], 5, 5)
+    return page.select("city", F.col("revenue").cast("double").alias("revenue"))
+
+
+@question(
+    "b18_documents_without_markers",
+    """with d as (select doc_id, regexp_replace(text, '\\s+', '', 'g') as t, unnest(['en', 'fr', 'de']) as label from documents)
+select doc_id, label from d where (label = 'en' and not contains(t, 'the')) or (label = 'fr' and not contains(t, 'é') and not contains(t, 'eau'))""",
+    ("B18",),
+)
+def b18_documents_without_markers(spark, sf_dir):
+    """Documents whose text lacks every marker of a language; German has none listed and is never reported."""
+    d = Tables(spark, sf_dir)("documents").withColumn("labels", F.array(F.lit("en"), F.lit("fr"), F.lit("de")))
+    return missing_markers(d, "doc_id", "text", "labels", {"en": ("the",), "fr": ("é", "eau"), "de": ()})
+
+
+@question(
+    "b10_last_two_weeks",
+    """select count(*) as events, cast(sum(amount) as double) as total_amount from b_events
+where event_ts >= timestamp '2024-01-08' and event_ts < timestamp '2024-01-22'""",
+    ("B10",),
+)
+def b10_last_two_weeks(spark, sf_dir):
+    e = _bench(spark, sf_dir).events.where(last_complete("event_ts", 2, "week", as_of="2024-01-24", col_type="timestamp_ntz"))
+    return e.agg(count_rows().alias("events"), F.sum("amount").cast("double").alias("total_amount"))

@@ -139,6 +139,9 @@ def in_range(col: Column | str, date_range, col_type: str = "date") -> Column:
 def last_complete(col: Column | str, n: int, unit: str, as_of: str, col_type: str = "date") -> Column:
     """The last ``n`` complete ``unit`` periods before ``as_of`` (an explicit anchor, never "now")."""
     anchor = dt.date.fromisoformat(as_of)
+    if unit in ("day", "week"):
+        cur = anchor - dt.timedelta(days=anchor.weekday() if unit == "week" else 0)
+        return between_half_open(col, cur - n * dt.timedelta(days=7 if unit == "week" else 1), cur, col_type)
     step = _MONTHS[unit]
     cur = dt.date(anchor.year, anchor.month, 1)
     cur = _add_months(cur, -((cur.month - 1) % step))  # start of the anchor's (incomplete) period
