@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 28 << 20
+SCALE = float(1 << 32)  # log probabilities travel as whole multiples of its inverse, which shuffle small
 STEP = 1 << 20  # positions handled at once
 START, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 _CLEAN = bytes.maketrans(b"\xfe\xff", b"??")
@@ -73,8 +74,8 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def unpack(sizes: list[int], blob: bytes) -> Iterator[bytes]:
-    raw = memoryview(pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True)) if sum(sizes) else memoryview(b"")
+def unpack(sizes: list[int], blob: pa.Buffer) -> Iterator[bytes]:
+    raw = memoryview(pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd")) if sum(sizes) else memoryview(b"")
     at = 0
     for n in sizes:
         yield bytes(raw[at : at + n])
@@ -130,7 +131,7 @@ def dictionaries(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Itera
     for b in batches:
         for i in range(b.num_rows):
             block, held, sizes = (b.column(c)[i].as_py() for c in ("block", "held", "sizes"))
-            blob = b.column("texts")[i].as_py()
+            blob = b.column("texts")[i].as_buffer()
             count: Counter[bytes] = Counter()
             seen: set[bytes] = {b""}
             u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -237,11 +238,14 @@ class Lookup:
         return self.values[at]
 
 
-def score_block(t: pa.Table, values: pa.Table, floor: float, order: int = ORDER) -> pa.Table:
-    """Scores of a block's documents from the values of its grams and words; ``floor`` is an unknown word's base value."""
+def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDER) -> pa.Table:
+    """Scores of a block's documents from the values of its grams (scaled log probabilities) and words (counts);
+    ``log_all`` is the logarithm of the base model's denominator."""
     ids, held, sizes = (t.column(c)[0].as_py() for c in ("ids", "held", "sizes"))
-    blob = t.column("texts")[0].as_py()
-    value = Lookup(values.column("key").to_numpy().astype(np.uint64), values.column("value").to_numpy())
+    blob = t.column("texts")[0].as_buffer()
+    keys, value = values.column("key").to_numpy(), values.column("value").to_numpy()
+    value = Lookup(keys.view(np.uint64), np.where(keys >= WORD, np.log10(value + 1.0) - log_all, value / -SCALE))
+    del keys, values
     k = len(ids)
     vocabulary: dict[bytes, int] = {}
     tokens: list[np.ndarray] = []
@@ -255,7 +259,7 @@ def score_block(t: pa.Table, values: pa.Table, floor: float, order: int = ORDER)
     for g, own in _runs(numbered(), order):
         score += np.bincount(own, weights=value(g), minlength=k)
     of_word = value(np.array([word_key(w) for w in vocabulary], dtype=np.uint64))
-    known = of_word > floor
+    known = of_word > 0.15 - log_all  # an unknown word has log10(1), a known one log10(2) at least
     n_tokens = np.array([len(x) for x in tokens], dtype=np.int64)
     n_known = np.array([known[x].sum() for x in tokens], dtype=np.int64)
     base = np.array([of_word[x].sum() for x in tokens])
@@ -281,7 +285,7 @@ def score_documents(spark: SparkSession, documents: DataFrame, held: Column | No
     word = F.col("key") >= WORD
     n_train, n_types = summed.where(word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     log_all = math.log10(n_train + 1 * (n_types + 1))
-    of_word = summed.where(word).select("key", (F.log10(F.col("n") + 1) - F.lit(log_all)).alias("value"))
+    of_word = summed.where(word).select("key", F.col("n").alias("value"))
 
     of_gram = summed.where(~word)
     low = np.zeros((256, 256), dtype=np.int64)
@@ -294,17 +298,17 @@ def score_documents(spark: SparkSession, documents: DataFrame, held: Column | No
         if batches:
             t = pa.Table.from_batches(batches)
             g = t.column("key").to_numpy()
-            p = log_probabilities(g, t.column("n").to_numpy(), low, order)
+            p = np.rint(log_probabilities(g, t.column("n").to_numpy(), low, order) * -SCALE).astype(np.int64)
             for i in range(0, len(g), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 18)]), pa.array(p[i : i + (1 << 18)])], ["key", "value"])
 
     by_context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    values = scratch.keep(of_gram.repartition(by_context).mapInArrow(model, "key long, value double").unionAll(of_word), "values")
+    values = scratch.keep(of_gram.repartition(by_context).mapInArrow(model, "key long, value long").unionAll(of_word), "values")
     scratch.drop(summed)
     back = names.select("block", "key").join(values, "key").select("block", "key", "value")
     scored = (
         blocks.groupBy("block")
         .cogroup(back.groupBy("block"))
-        .applyInArrow(lambda t, v: score_block(t, v, -log_all + 1e-9, order), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        .applyInArrow(lambda t, v: score_block(t, v, log_all, order), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
