@@ -8,7 +8,7 @@ the symbols of the longer one are excluded; below order 0 the remaining bytes ar
 so have probabilities that add up to 1.
 
 Nothing of the model is broadcast but its orders 0 and 1, at most 256 x 256 counts. Documents are packed where they are
-read into blocks of at most about ``BLOCK_BYTES``, one compressed row each; a block names its distinct grams and words
+read into blocks of about ``BLOCK_BYTES`` at most, one compressed row each; a block names its distinct grams and words
 once, with their counts in its training documents. These rows are summed per key (map-side combined), the log probability
 of every distinct gram is worked out among the grams that share its last two context bytes, and each block gets back the
 values of its own keys, as a dictionary whose size is bounded by the block's. Words are keyed by 62 bits of a hash.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ORDER = 5
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 32 << 20
 SCALE = float(1 << 32)  # log probabilities travel as whole multiples of its inverse, which shuffle small
 STEP = 1 << 20  # positions handled at once
 START, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
