@@ -24,7 +24,7 @@ from .common import Scratch
 
 K, K1, B = 10, 1.2, 0.75
 SHARD_DOCS, BLOCK = 4096, 32
-SHARDS_PER_TASK = 8
+SHARDS_PER_TASK = 4
 FIRST_BLOCKS = 8  # scored before anything is pruned
 QUERY_TERMS = 1_500_000  # (query, term) rows in a block of queries
 BY = 100
