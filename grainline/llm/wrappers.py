@@ -8,26 +8,33 @@ stays template text. The result is a regular expression without alternatives (``
 The wrapper then tells where the main text is: the article container (by its tag or role, else by its class or id, else
 the group whose slots hold most text), without the groups that by tag, role, class or id are menus, headers, footers,
 sidebars, notices, adverts, forms, comments and the like, and without the texts of the container that never vary though
-its other slots do. Wrappers are inferred from a bounded sample of ``SAMPLE`` pages per host and applied to every page.
+its other slots do. A host's layouts can have different containers: each page is read by the surest one it has.
+
+A host's wrapper is aligned from all its different pages: every page is folded to a small tree where it is read, and
+trees of the same host are merged by ``FAN`` at a time, in an order given by their hashes, until one is left; so a hot
+host is no task of its own. Groups count their pages, and a text is template only with ``MIN_TEMPLATE_PAGES`` pages.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_below
 
-SAMPLE = 8  # pages per host, of lowest hash
-MAX_SAMPLE_CHARS = 1 << 20  # a longer page is not a sample
+FAN = 64  # trees of a host that are merged at a time
+MAX_SAMPLE_CHARS = 1 << 20  # a longer page is not aligned
+LONG_TEXT = 64  # a longer text is held as its digest
 MAX_DEPTH = 200  # deeper groups are read as part of their ancestor at this depth
 MIN_TEMPLATE_PAGES = 5
 
@@ -65,8 +72,8 @@ class Group:
     children: list[Group] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
-    text: str | None = None  # template text; None once it has varied
-    pages: int = 1
+    text: str | None = None  # template text (``mark``); None once it has varied
+    pages: int = 1  # different pages that have the group
     chars: int = 0
 
     def regex(self) -> str:
@@ -79,11 +86,24 @@ class Group:
             out = f"({out})+"
         return f"({out})?" if self.optional else out
 
+    def pack(self) -> tuple:
+        """The group as nested tuples."""
+        return self.key, [c.pack() for c in self.children], self.optional, self.repeated, self.text, self.pages, self.chars
+
+    @classmethod
+    def unpack(cls, t: tuple) -> Group:
+        return cls(t[0], [cls.unpack(c) for c in t[1]], *t[2:])
+
 
 def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+def mark(text: str) -> str:
+    """A text as wrappers hold it: long ones as their digest."""
+    return text if len(text) <= LONG_TEXT else f"{len(text)}:{blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def read(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """Balanced events of a page: ("open", tag, attributes), ("close", tag, {}), ("text", decoded text, {}), ("break", ..)."""
     stack: list[str] = []
@@ -162,73 +182,90 @@ def skipped(key: str) -> bool:
 
 
 def tree(page: str) -> Group:
-    """A page as nested groups, its texts squeezed; runs of like groups are not folded yet."""
+    """A page as nested groups, its texts squeezed and runs of like groups folded as they close."""
     root = Group("")
     stack = [root]
     for kind, value, attrs in read(page):
         if kind == "open":
-            g = Group(key_of(value, attrs))
-            if len(stack) < MAX_DEPTH:
-                stack[-1].children.append(g)
-            stack.append(g)
+            stack.append(Group(key_of(value, attrs)) if len(stack) < MAX_DEPTH else stack[-1])
         elif kind == "close":
-            stack.pop()
+            g = stack.pop()
+            if g is not stack[-1]:
+                fold(stack[-1].children, g)
         elif kind == "text" and (text := squeeze(value)):
-            stack[-1].children.append(Group("#", text=text, chars=len(text)))
+            fold(stack[-1].children, Group("#", text=mark(text), chars=len(text)))
     return root
 
 
-def fold(groups: list[Group]) -> list[Group]:
-    """Runs of like neighbours, of one group or of two in turn, become one repeated group each."""
-    out: list[Group] = []
-    for g in groups:
-        g.children = fold(g.children)
-        if out and out[-1].key == g.key:
-            out[-1] = merge(out[-1], g)
-            out[-1].repeated = True
-        elif len(out) > 2 and out[-2].key == g.key and out[-3].key == out[-1].key:
-            out[-3], out[-2] = merge(out[-3], out.pop()), merge(out[-2], g)
-            out[-2].repeated = out[-1].repeated = True
-        else:
-            out.append(g)
-    return out
+def fold(out: list[Group], g: Group) -> None:
+    """Append a group to its neighbours: runs of like ones, of one group or of two in turn, become one repeated group each."""
+    if out and out[-1].key == g.key:
+        out[-1] = merge(out[-1], g, True)
+        out[-1].repeated = True
+    elif len(out) > 2 and out[-2].key == g.key and out[-3].key == out[-1].key:
+        again = out.pop()
+        out[-2], out[-1] = merge(out[-2], again, True), merge(out[-1], g, True)
+        out[-2].repeated = out[-1].repeated = True
+    else:
+        out.append(g)
 
 
-def merge(a: Group, b: Group) -> Group:
+def merge(a: Group, b: Group, same_page: bool = False) -> Group:
     """One group that matches all that either does."""
-    return Group(a.key, align(a.children, b.children), a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, max(a.pages, b.pages), a.chars + b.chars)
+    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    return Group(a.key, align(a.children, b.children, same_page), a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, pages, a.chars + b.chars)
 
 
-def align(a: list[Group], b: list[Group]) -> list[Group]:
+def align(a: list[Group], b: list[Group], same_page: bool = False) -> list[Group]:
     """The longest common sequence of keys matches; what one side lacks is optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        else:
-            left = j == m or (i < n and best[i + 1][j] >= best[i][j + 1])
-            g = a[i] if left else b[j]
+    for x, y in [*_common([g.key for g in a], [g.key for g in b]), (len(a), len(b))]:
+        for g in (*a[i:x], *b[j:y]):
             g.optional = True
             out.append(g)
-            i, j = (i + 1, j) if left else (i, j + 1)
+        if x < len(a):
+            out.append(merge(a[x], b[y], same_page))
+        i, j = x + 1, y + 1
     return out
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common sequence, in order. Only keys that both sides have between their like ends are compared."""
+    low, n, m = 0, len(a), len(b)
+    while low < min(n, m) and a[low] == b[low]:
+        low += 1
+    while min(n, m) > low and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    both = {*a[low:n]} & {*b[low:m]}
+    x, y = ([i for i in range(low, end) if keys[i] in both] for keys, end in ((a, n), (b, m)))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        row, below, key = best[i], best[i + 1], a[x[i]]
+        for j in range(len(y) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if key == b[y[j]] else max(below[j], row[j + 1])
+    out, i, j = [(k, k) for k in range(low)], 0, 0
+    while i < len(x) and j < len(y):
+        if a[x[i]] == b[y[j]]:
+            out.append((x[i], y[j]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out + [(n + k, m + k) for k in range(len(a) - n)]
+
+
 def infer(pages: list[str]) -> tuple[Group, int]:
     """The wrapper of some pages of one host, and how many different pages it was aligned with."""
-    pages = list(dict.fromkeys(pages))
-    wrapper = None
-    for p in pages:
-        page = tree(p)
-        page.children = fold(page.children)
-        wrapper = page if wrapper is None else merge(wrapper, page)
-    return wrapper or Group(""), len(pages)
+    wrapper = merged([tree(p) for p in dict.fromkeys(pages)])
+    return wrapper, wrapper.pages if pages else 0
+
+
+def merged(trees: list[Group]) -> Group:
+    """The wrapper of trees of different pages, ``FAN`` at a time."""
+    while len(trees) > 1:
+        trees = [reduce(merge, trees[i : i + FAN]) for i in range(0, len(trees), FAN)]
+    return trees[0] if trees else Group("")
 
 
 def _is_main(key: str) -> int:
@@ -250,7 +287,7 @@ def _slot_chars(g: Group) -> int:
 
 
 def rules(wrapper: Group, n_pages: int) -> dict:
-    """What extraction needs of a wrapper: paths of its article containers, and template texts inside them by path.
+    """What extraction needs of a wrapper: paths of its article containers, surest first, and template texts by path.
 
     With no container by key, it is the innermost group that holds nine tenths of the varying text outside skipped groups.
     """
@@ -268,43 +305,58 @@ def rules(wrapper: Group, n_pages: int) -> dict:
     look(wrapper, "", True)
     if not found[3] and not found[2]:  # a class of what stands around an article says little, its tag does
         look(wrapper, "", False)
-    level = max((k for k, v in found.items() if v), default=0)
-    mains = found.get(level, [])
+    mains = [sorted(set(found[k])) for k in (3, 2, 1) if found[k]]
     if not mains:
         g, path = wrapper, ""
         while inner := [c for c in g.children if c.key != "#" and not skipped(c.key) and 10 * _slot_chars(c) >= 9 * max(1, _slot_chars(g))]:
             g, path = inner[0], f"{path}>{inner[0].key}"
             if g.key.split(" ")[0] not in BLOCK:
                 break
-        mains = [path]
-    template: list[tuple[str, str]] = []
-    varying = [0]
+        mains = [[path]]
+    template: set[tuple[str, str]] = set()
 
-    def constant(g: Group, path: str, inside: bool) -> None:
+    def constant(g: Group, path: str, level: set[str], held: list | None) -> None:
+        """Template texts of the outermost containers: ``held`` has those of the open one, and how many texts vary there."""
         for c in g.children:
             if c.key == "#":
-                if inside and c.text is not None and not c.optional:
-                    template.append((path, c.text))
-                elif inside:
-                    varying[0] += 1
-            elif not skipped(c.key):
+                if held is not None and c.text is not None and not c.optional and c.pages >= MIN_TEMPLATE_PAGES:
+                    held[0].append((path, c.text))
+                elif held is not None and c.text is None:
+                    held[1] += 1
+            elif not skipped(c.key) or f"{path}>{c.key}" in around:
                 p = f"{path}>{c.key}"
-                constant(c, p, inside or p in mains)
-
-    constant(wrapper, "", "" in mains)
-    keep = n_pages < MIN_TEMPLATE_PAGES or not varying[0]
-    return {"main": sorted(set(mains)), "template": [] if keep else sorted(set(template))}
+                if held is None and p in level:
+                    close(c, p, level)
+                else:
+                    constant(c, p, level, held)
+
+    def close(g: Group, path: str, level: set[str]) -> None:
+        held = [[], 0]
+        constant(g, path, level, held)
+        if held[1]:
+            template.update(held[0])
+
+    for paths in mains if n_pages >= MIN_TEMPLATE_PAGES else []:
+        around = {p[:i] for p in paths for i in range(len(p)) if p[i] == ">"}
+        if "" in paths:
+            close(wrapper, "", set())
+        else:
+            constant(wrapper, "", set(paths), None)
+    return {"main": mains, "template": sorted(template)}
 
 
 def extract(page: str, rule: dict | None) -> str:
     """The main text of a page by its host's rules: block texts in order, joined by a line feed.
 
-    A page without any of its host's containers is read whole, without the skipped groups.
+    It is read from the surest containers that the page has. A page without any of its host's containers is read whole,
+    without the skipped groups.
     """
-    if rule and "" not in rule["main"]:
-        texts, seen = _extract(page, set(rule["main"]), {(p, t) for p, t in rule["template"]})
-        if seen:
-            return "\n".join(texts)
+    if rule and [""] not in rule["main"]:
+        drop = {(p, t) for p, t in rule["template"]}
+        for mains in rule["main"]:
+            texts, seen = _extract(page, set(mains), drop)
+            if seen:
+                return "\n".join(texts)
     return "\n".join(_extract(page, {""}, set())[0])
 
 
@@ -347,7 +399,7 @@ def _extract(page: str, mains: set[str], drop: set[tuple[str, str]]) -> tuple[li
                     flush()
                 elif value == "br":
                     held.append(" ")
-            elif not drop or (path[-1], squeeze(value)) not in drop:
+            elif not drop or (path[-1], mark(squeeze(value))) not in drop:
                 held.append(value)
     flush()
     return out, seen
@@ -358,22 +410,39 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rule): the extraction rules of every host, inferred from its ``SAMPLE`` pages of lowest hash."""
+def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
+    """(host, rule): the extraction rules of every host, inferred from all its different pages."""
+
+    def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [pickle.dumps(tree(page.as_py()).pack()) for page in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), b.column("h2"), pa.array(trees, pa.binary())], ["host", "h", "h2", "tree"])
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("o").to_pylist(), t.column("html").to_pylist(), strict=True))
-        rule = rules(*infer([h for _, h in rows]))
-        return pa.table({"host": [key[0].as_py()], "rule": [json.dumps(rule)]})
+    def merge_trees(key: tuple, t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("h").to_pylist(), t.column("h2").to_pylist(), t.column("tree").to_pylist(), strict=True))
+        wrapper = merged([Group.unpack(pickle.loads(x)) for _, _, x in rows])
+        return pa.table({"host": [key[0].as_py()], "b": pa.array([key[1].as_py() // FAN], pa.int64()), "h": pa.array([key[1].as_py()], pa.int64()), "h2": pa.array([0], pa.int64()), "tree": pa.array([pickle.dumps(wrapper.pack())], pa.binary())})
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Group.unpack(pickle.loads(x.as_py())) for x in b.column("tree")]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(rules(w, w.pages)) for w in found], pa.string())], ["host", "rule"])
 
-    order = F.xxhash64("html")
-    sample = (
+    keyed = (
         pages.where(F.length("html") <= MAX_SAMPLE_CHARS)
-        .select(host_of().alias("host"), "html", order.alias("o"))
-        .withColumn("k", F.row_number().over(W.partitionBy("host").orderBy("o")))
-        .where(F.col("k") <= SAMPLE)
+        .select(host_of().alias("host"), "html", F.xxhash64("html").alias("h"), F.xxhash64(F.lit(1), "html").alias("h2"))
+        .mapInArrow(read_pages, "host string, h long, h2 long, tree binary")
     )
-    return sample.groupBy("host").applyInArrow(run, "host string, rule string")
+    trees = scratch.keep(keyed.dropDuplicates(["host", "h", "h2"]), "trees")
+    n = scratch.keep(trees.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    n_hosts, most = n.agg(F.count("*"), F.max("n")).first()
+    groups = F.ceil(F.col("n") / FAN).cast("long")
+    level = trees.join(broadcast_below(n, 300 * n_hosts), "host").select("host", F.pmod("h", groups).alias("b"), "h", "h2", "tree")
+    last, left = level, -(-(most or 0) // FAN)  # buckets of the host with most pages
+    while left > 0:
+        last = scratch.keep(last.groupBy("host", "b").applyInArrow(merge_trees, "host string, b long, h long, h2 long, tree binary"), "merged")
+        left = -(-left // FAN) if left > 1 else 0
+    return last.mapInArrow(tell, "host string, rule string")
 
 
 def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -384,7 +453,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     ignored; no pages: no rows.
     """
     scratch = Scratch(spark, "html")
-    rule = scratch.keep(wrappers(pages), "wrappers")
+    rule = scratch.keep(wrappers(scratch, pages), "wrappers")
     n_bytes = rule.agg(F.coalesce(F.sum(F.octet_length("rule") + F.octet_length("host") + 32), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,34 @@ def test_edge_cases(spark):
     assert {k: v.text for k, v in got.items() if k != 7} == {1: "", 2: "one <b> two", 3: "", 4: "plain text", 5: "<", 6: "deep text", None: "one <b> two", 8: "x Aé y\ncut <b"}
     assert got[7].n_chars == 20_000 * 10 - 1
     assert run(spark, []) == {}
+
+
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(200):  # a rare layout of its own, with a notice that never varies; one heading is the same on most pages
+        p, head = article(r, r.randint(2, 4)), f"T{i}" if i % 9 == 0 else "Report"
+        inner = f"<h1>{head}</h1><span>Read this first</span>" + "".join(f"<p>{x}</p>" for x in p)
+        box = f"<div class=post>{inner}</div>" if i % 20 == 3 else f"<article>{inner}</article>"
+        rows.append((i, f"http://two.example.org/{i}", f"<body><div>Brand {i}</div>{box}<div>Elsewhere {i * i}</div></body>"))
+        want[i] = "\n".join([head, *p])
+    for i in range(200, 240):  # copies are one page
+        p = article(r, 3)
+        page = f"<body><div>Brand</div><article><h2>Always here</h2>{''.join(f'<p>{x}</p>' for x in p)}</article></body>"
+        rows += [(i + 1000 * k, f"http://copies.example.org/{i}", page) for k in range(10)]
+        want |= {i + 1000 * k: "\n".join(p) for k in range(10)}
+    got = run(spark, rows)
+    assert {i: got[i].text for i in want} == want
+
+
+def test_runs_of_two_in_turn():
+    w, _ = wrappers.infer(["<dl><dt>1<dd>a<dt>2<dd>b<dt>3<dd>c</dl><i>q</i><dl><dt>4<dd>d</dl>"])
+    assert w.regex() == "<><dl>(<dt>#</>)+(<dd>#</>)+</><i>q</><dl><dt>4</><dd>d</></></>"
+
+
+def test_order_of_rows_does_not_matter(spark):
+    r = random.Random(9)
+    rows = [(i, "http://x.org", f"<body>{''.join(r.choice(['<p>a', '<i>b</i>', '<ul><li>c</ul>', f'<b>{i}</b>']) for _ in range(9))}</body>") for i in range(200)]
+    first = {i: x.text for i, x in run(spark, rows).items()}
+    r.shuffle(rows)
+    assert {i: x.text for i, x in run(spark, rows).items()} == first
