@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, broadcast_below
 
 FAN = 64  # trees of a host that are merged at a time
-MAX_SAMPLE_CHARS = 1 << 20  # a longer page is not aligned
 LONG_TEXT = 64  # a longer text is held as its digest
 MAX_DEPTH = 200  # deeper groups are read as part of their ancestor at this depth
 MIN_TEMPLATE_PAGES = 5
@@ -238,23 +238,46 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         n, m = n - 1, m - 1
     both = {*a[low:n]} & {*b[low:m]}
     x, y = ([i for i in range(low, end) if keys[i] in both] for keys, end in ((a, n), (b, m)))
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, key = best[i], best[i + 1], a[x[i]]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if key == b[y[j]] else max(below[j], row[j + 1])
-    out, i, j = [(k, k) for k in range(low)], 0, 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    out = [(k, k) for k in range(low)] + [(x[i], y[j]) for i, j in _lcs([a[i] for i in x], [b[j] for j in y])]
     return out + [(n + k, m + k) for k in range(len(a) - n)]
 
 
+def _lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common sequence, bit-parallel: a row of the table is a number with a zero bit where it steps up.
+
+    Every ``step``-th row is held and those between are made again, so that long lists take little memory.
+    """
+    places: dict[str, int] = {}
+    for j, key in enumerate(b):
+        places[key] = places.get(key, 0) | 1 << j
+    full, step = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def rows(row: int, start: int, stop: int) -> list[int]:
+        out = [row]
+        for key in a[start:stop]:
+            u = row & places.get(key, 0)
+            row = (row + u | row - u) & full
+            out.append(row)
+        return out
+
+    held, block, at = [full], [], len(a) + 1
+    for start in range(0, len(a), step):
+        held.append(rows(held[-1], start, start + step)[-1])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if i - 1 < at or not block:
+            at = (i - 1) // step * step
+            block = rows(held[at // step], at, at + step)
+        if block[i - at] >> (j - 1) & 1:
+            j -= 1
+        elif not block[i - 1 - at] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def infer(pages: list[str]) -> tuple[Group, int]:
     """The wrapper of some pages of one host, and how many different pages it was aligned with."""
     wrapper = merged([tree(p) for p in dict.fromkeys(pages)])
@@ -290,6 +313,7 @@ def rules(wrapper: Group, n_pages: int) -> dict:
     """What extraction needs of a wrapper: paths of its article containers, surest first, and template texts by path.
 
     With no container by key, it is the innermost group that holds nine tenths of the varying text outside skipped groups.
+    ``rest`` has the texts that never vary outside of the containers, for pages that have none of these.
     """
     found: dict[int, list[str]] = {1: [], 2: [], 3: []}
 
@@ -325,6 +349,8 @@ def rules(wrapper: Group, n_pages: int) -> dict:
                     held[1] += 1
             elif not skipped(c.key) or f"{path}>{c.key}" in around:
                 p = f"{path}>{c.key}"
+                if p in beside:
+                    continue
                 if held is None and p in level:
                     close(c, p, level)
                 else:
@@ -336,30 +362,45 @@ def rules(wrapper: Group, n_pages: int) -> dict:
         if held[1]:
             template.update(held[0])
 
+    beside: set[str] = set()
     for paths in mains if n_pages >= MIN_TEMPLATE_PAGES else []:
         around = {p[:i] for p in paths for i in range(len(p)) if p[i] == ">"}
         if "" in paths:
             close(wrapper, "", set())
         else:
             constant(wrapper, "", set(paths), None)
-    return {"main": mains, "template": sorted(template)}
+    rest, around, beside = [[], 0], set(), {p for paths in mains for p in paths}
+    if n_pages >= MIN_TEMPLATE_PAGES:
+        constant(wrapper, "", set(), rest)
+    return {"main": mains, "template": sorted(template), "rest": sorted(set(rest[0]))}
 
 
 def extract(page: str, rule: dict | None) -> str:
     """The main text of a page by its host's rules: block texts in order, joined by a line feed.
 
-    It is read from the surest containers that the page has. A page without any of its host's containers is read whole,
-    without the skipped groups.
+    It is read from the surest containers that the page has. For a page without any of its host's containers, or of a
+    host without rules, they are taken from its own tree. A host's page with no container at all is read whole, without the
+    skipped groups.
     """
-    if rule and [""] not in rule["main"]:
-        drop = {(p, t) for p, t in rule["template"]}
-        for mains in rule["main"]:
-            texts, seen = _extract(page, set(mains), drop)
-            if seen:
-                return "\n".join(texts)
+    rule = rule or {"main": [], "template": [], "rest": []}
+    if [""] not in rule["main"]:
+        texts = _read(page, rule["main"], rule["template"])
+        if texts is None:
+            own = rules(tree(page), 1)["main"]
+            texts = _read(page, own, rule["rest"]) or _read(page, own, [])
+        return "\n".join(texts or [])
     return "\n".join(_extract(page, {""}, set())[0])
 
 
+def _read(page: str, levels: list[list[str]], drop: list) -> list[str] | None:
+    """The block texts of the surest containers that a page has, or None."""
+    for mains in levels:
+        texts, seen = _extract(page, set(mains), {(p, t) for p, t in drop})
+        if seen:
+            return texts
+    return None
+
+
 def _extract(page: str, mains: set[str], drop: set[tuple[str, str]]) -> tuple[list[str], bool]:
     """The block texts inside the containers, and whether there was a container."""
     out: list[str] = []
@@ -429,7 +470,7 @@ def wrappers(scratch: Scratch, pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([json.dumps(rules(w, w.pages)) for w in found], pa.string())], ["host", "rule"])
 
     keyed = (
-        pages.where(F.length("html") <= MAX_SAMPLE_CHARS)
+        pages.where(F.col("html").isNotNull())
         .select(host_of().alias("host"), "html", F.xxhash64("html").alias("h"), F.xxhash64(F.lit(1), "html").alias("h2"))
         .mapInArrow(read_pages, "host string, h long, h2 long, tree binary")
     )
@@ -449,7 +490,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """One row per page row: page_id, url, text, n_chars (code points).
 
     A null html is an empty page (empty text); a null url's page belongs to the empty host. A page that lacks its host's
-    container is read whole, without the skipped groups. Repeated rows give the same result each; extra columns are
+    containers is read by those of its own tree, of any length. Repeated rows give the same result each; extra columns are
     ignored; no pages: no rows.
     """
     scratch = Scratch(spark, "html")

@@ -86,3 +86,36 @@ def test_order_of_rows_does_not_matter(spark):
     first = {i: x.text for i, x in run(spark, rows).items()}
     r.shuffle(rows)
     assert {i: x.text for i, x in run(spark, rows).items()} == first
+
+
+def test_long_pages_and_pages_without_the_containers(spark):
+    r = random.Random(10)
+    rows, want = [], {}
+    for i in range(3):  # a host of long pages only
+        p = [" ".join(["long"] * 100) + f" {i} {k}" for k in range(2500)]
+        page = f"<body><div>Brand</div><article>{''.join(f'<p>{x}</p>' for x in p)}</article><div>Elsewhere</div></body>"
+        assert len(page) > 1 << 20
+        rows.append((i, "http://long.example.org", page))
+        want[i] = "\n".join(p)
+    for i in range(3, 43):  # every tenth page has no container that its key tells
+        p = article(r, 5)
+        inner = "<span>Read this first</span>" + "".join(f"<p>{x} {x}</p>" for x in p)
+        box = f"<div class=x>{inner}</div>" if i % 5 == 0 else f"<article>{inner}</article>"
+        rows.append((i, "http://some.example.org", f"<body><div>Brand</div>{box}</body>"))
+        want[i] = "\n".join(f"{x} {x}" for x in p)
+    got = run(spark, rows)
+    assert {i: got[i].text for i in want} == want
+
+
+def test_longest_common_sequence():
+    r = random.Random(11)
+    for _ in range(500):
+        a, b = (r.choices("abcdefgh"[: r.randint(1, 8)], k=r.randint(0, 30)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = wrappers._common(a, b)
+        assert len(got) == best[-1][-1]
+        assert all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
