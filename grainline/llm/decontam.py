@@ -49,6 +49,17 @@ def decontaminate(spark: SparkSession, documents: DataFrame, items: DataFrame, s
     Rows are told apart by id and text, so repeated ids are judged row by row and repeated rows alike; extra columns are
     ignored. With no items nothing is hit; ``items_sha256`` is then the digest of the empty string.
     """
+    return judge(spark, documents, items, size).drop("h")
+
+
+def drop_contaminated(spark: SparkSession, documents: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``documents`` without the rows that hold a window of an item; other texts of the same id, or of no id, stay."""
+    found = judge(spark, documents, items, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return documents.join(found, documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["doc_id"], documents["text"]) == F.col("_h")), "left_anti")
+
+
+def judge(spark: SparkSession, documents: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """What ``decontaminate`` returns, with ``h``, which tells rows of the same id apart."""
     scratch = Scratch(spark, "decontam")
     owns = scratch.keep(item_windows(items, size), "windows")
     wins = owns.select("win", F.split("win", " ").alias("w")).distinct().withColumn("len", F.size("w"))
@@ -132,6 +143,7 @@ def decontaminate(spark: SparkSession, documents: DataFrame, items: DataFrame, s
         .join(found.alias("f"), _same("d", "f"), "left")
         .select(
             "d.doc_id",
+            "d.h",
             "n_words",
             F.coalesce("n_hit", zero).alias("n_hit"),
             F.coalesce("n_items", zero).alias("n_items"),

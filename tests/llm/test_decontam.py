@@ -61,3 +61,22 @@ def test_edge_cases(spark):
 def test_empty_tables(spark):
     assert got(spark, [], [(1, "a b")]) == []
     assert got(spark, [(1, "a b")], []) == brute([(1, "a b")], [])
+
+
+def test_drop_contaminated_judges_row_by_row(spark):
+    item = "a needle of exactly ten words that must be found"
+    rows = [(None, f"here {item} there"), (None, "clean one"), (None, "clean two"), (None, None), (7, item), (7, "clean seven"), (7, "clean seven"), (8, f"{item} {item}"), (9, "needle")]
+    docs = documents(spark, rows)
+    kept = decontam.drop_contaminated(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+
+
+def test_pipeline_stage_keeps_clean_rows_of_a_contaminated_id(spark, monkeypatch):
+    import corpus_pipeline
+
+    item = "a needle of exactly ten words that must be found"
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = [(None, item), (None, "clean"), (7, item), (7, "clean seven")]
+    kept = corpus_pipeline.drop_contaminated(spark, documents(spark, rows), "")
+    assert sorted((r.text for r in kept.collect())) == ["clean", "clean seven"]
