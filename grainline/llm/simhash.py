@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, local_components
+from .common import Scratch, broadcast_below, components, local_components
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 BANDS, BLOCK, PIVOTS = 6, 2048, 16
@@ -48,15 +48,16 @@ def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long."""
+def fingerprints(documents: DataFrame, n: int = SHINGLE, *beside: str) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each whole text as a signed long; ``beside`` names more columns of longs to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), n) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *[b.column(c) for c in beside]], ["doc_id", "fp", *beside])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *beside))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *beside).mapInArrow(run, schema)
 
 
 def band_keys(fp: Column, max_bits: int = MAX_BITS, bands: int = BANDS) -> Column:
@@ -121,9 +122,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = SHINGLE,
     """
     scratch = Scratch(spark, "simhash")
     prints = scratch.keep(fingerprints(documents, n), "prints")
-    lowest = -(1 << 63)
-    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.coalesce("doc_id", F.lit(lowest).cast("long"))), "nodes")
     # Ids can repeat over texts, so a component is found over fingerprints and named by its smallest id afterwards.
+    named = labelled(scratch, prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), max_bits)
+    first = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    of_print = named.join(first, "c").select(F.col("fp").alias("p"), "component_id")
+    joined = prints.join(of_print, prints["fp"] == F.col("p"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def labelled(scratch: Scratch, nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``nodes``, one row per fingerprint ``fp``, with the label ``c`` of its component: a fingerprint of it."""
+    nodes = scratch.keep(nodes, "nodes")
     keys = nodes.select("fp", F.explode(band_keys(F.col("fp"), max_bits)).alias("k")).select("fp", F.xxhash64("k.c", "k.v").alias("key"))
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("cut"))
     hot = scratch.keep(hot, "hot")
@@ -144,17 +153,29 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, n: int = SHINGLE,
         .mapInArrow(lambda it: _link_partition(it, max_bits), "a long, b long")
     )
     linked = components(found, scratch)  # fingerprints as nodes
-    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("c"))
-    named = scratch.keep(named, "named")
-    first = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_print = named.join(first, "c").select(F.col("fp").alias("p"), "component_id")
-    joined = prints.join(of_print, prints["fp"] == F.col("p"))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return scratch.keep(nodes.join(linked, nodes["fp"] == linked["node"], "left").select(*nodes.columns, F.coalesce("component", "fp").alias("c")), "named")
+
 
+def keep_one(spark: SparkSession, documents: DataFrame, n: int = SHINGLE, max_bits: int = MAX_BITS, repeats: bool = True) -> DataFrame:
+    """``documents`` without near duplicates: of each component the row that is smallest by id (null last), then text hash.
 
-def keep_one(spark: SparkSession, documents: DataFrame, n: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``documents`` without near duplicates: of each component the rows with its smallest id stay (where no row has an id, all)."""
-    first = near_duplicates(spark, documents, n, max_bits).groupBy("component_id").agg(F.min("doc_id").alias("keep"))
-    first = first.select(F.col("keep").alias("_keep"))
-    kept = documents.join(first.distinct(), documents["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    Ties go by a hash of all columns. Rows that are equal in every column all stay with ``repeats``; without, one of them.
+    """
+    scratch = Scratch(spark, "keep_one")
+    key = ["_h", "_all"]
+    columns = [documents[c] for c in documents.columns]
+    rows = documents.withColumns({"_h": F.xxhash64("doc_id", "text"), "_all": F.xxhash64(*columns, *[c.isNull() for c in columns])})
+    prints = scratch.keep(fingerprints(rows, n, *key), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *key, "_n")).alias("_first")
+    each = prints.groupBy("fp", "doc_id", *key).agg(F.count("*").alias("_n"))
+    named = labelled(scratch, each.groupBy("fp").agg(first), max_bits)
+    chosen = scratch.keep(named.groupBy("c").agg(F.min("_first").alias("_first")).select(*[f"_first.{c}" for c in (*key, "_n")]), "chosen")
+    if repeats:
+        return rows.join(chosen, key, "left_semi").select(*documents.columns)
+    kept = rows.join(chosen.where("_n = 1"), key, "left_semi").select(*documents.columns)
+    many = chosen.where("_n > 1")
+    n_many = many.count()
+    if n_many:
+        again = rows.join(broadcast_below(many, 32 * n_many), key, "left_semi").dropDuplicates(key)  # combined before the shuffle
+        kept = kept.unionByName(again.select(*documents.columns))
     return kept

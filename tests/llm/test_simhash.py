@@ -94,3 +94,30 @@ def test_edge_cases(spark):
 
 def test_no_documents(spark):
     assert simhash.near_duplicates(spark, documents(spark, [])).collect() == []
+
+
+def test_keep_one_row_of_each_component(spark):
+    r = random.Random(12)
+    rows = [(i if i % 3 else None, t) for i, t in corpus(13, 90)]
+    rows += [(r.choice(rows)[0], t) for _, t in r.choices(rows, k=30)]  # ids repeat over texts
+    rows += r.choices(rows, k=30)  # repeated rows
+    rows += [(None, "nobody has an id"), (None, "nobody has an id"), (7, "same row"), (7, "same row"), (7, "another text of seven"), (1, "another text of seven")]
+
+    def order(row):
+        i, text = row
+        h = 42 if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(text.encode(), h)
+        return i is None, i or 0, h - (h >> 63 << 64)
+
+    comp = groups({k: plain_fingerprint(t) for k, (_, t) in enumerate(rows)})
+    want = [min((rows[k] for k in comp if comp[k] == c), key=order) for c in set(comp.values())]
+    docs = documents(spark, rows)
+    kept = simhash.keep_one(spark, docs, repeats=False)
+    assert kept.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+    assert sorted(set((x.doc_id, x.text) for x in simhash.keep_one(spark, docs).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_that_differ_beside_id_and_text(spark):
+    docs = spark.createDataFrame([(3, "one text here", s) for s in ("a", "b", "a", None)], "doc_id long, text string, source string")
+    assert simhash.keep_one(spark, docs, repeats=False).count() == 1
