@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from grainline.catalog.views import VIEWS, with_views
 from grainline.functions.calendar import in_range
 from grainline.sources.bindings import Bench, Shop, money

@@ -2,7 +2,7 @@
 
 import math
 
-from conftest import SF_MID
+from scales import SF_MID
 from grainline.catalog import all_questions
 from grainline.catalog.views import with_views
 

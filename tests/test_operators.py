@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from grainline.catalog import bench as bench_q
 from grainline.functions.aggregates import weighted_avg
 from grainline.functions.calendar import custom_bucket, in_period, iso_weekday, last_complete, period_bounds

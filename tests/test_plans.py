@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from grainline.catalog import all_questions
 
 QUESTIONS = all_questions()

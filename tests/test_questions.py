@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from grainline.catalog import all_questions
 from oracle import compare, duck
 

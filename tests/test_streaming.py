@@ -5,7 +5,7 @@ import tempfile
 from pathlib import Path
 
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from grainline.catalog import all_questions
 from grainline.operators.logs import suite_scoreboard
 from grainline.sources.bindings import Bench

@@ -6,7 +6,7 @@ planted case has witnesses); one trap is also checked through the Spark reconcil
 
 import pytest
 
-from conftest import SF_MID
+from scales import SF_MID
 from grainline.catalog import all_questions
 from grainline.catalog.views import with_views
 from grainline.operators import recon
