@@ -33,14 +33,17 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one operator run, written to the shared folder, so that a lost executor costs no lineage.
 
-    ``keep`` writes a frame and returns it reread; ``drop`` deletes a table that nothing reads any more.
+    ``keep`` writes a frame and returns it reread; ``drop`` deletes the table of a frame that ``keep`` returned, when
+    nothing reads it any more, and leaves any other frame alone. ``close`` deletes the whole run; as a frame that an
+    operator returns may still read from it, that is for the caller, once the result is written: see ``release``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/grainline/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.kept: dict[int, tuple[DataFrame, str]] = {}  # holds the frames, so that no other frame takes their id
         self.n = 0
+        _open.append(self)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -50,15 +53,36 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.kept[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            if id(df) in self.kept:
+                self._delete(self.kept.pop(id(df))[1])
+
+    def close(self) -> None:
+        self.kept.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+#: Runs whose tables may still be there, oldest first.
+_open: list[Scratch] = []
+
+
+def opened() -> int:
+    """A mark for ``release``: how many runs have been opened so far and not been released."""
+    return len(_open)
+
+
+def release(mark: int = 0) -> None:
+    """Delete the intermediate tables of all runs opened since ``mark``, once what reads them is written."""
+    while len(_open) > mark:
+        _open.pop().close()
 
 
 def lower_ascii(text: Column) -> Column:
