@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from grainline.llm import decontam, mixing, simhash, tokens, toxicity
-from grainline.llm.common import Scratch, table
+from grainline.llm.common import Scratch, opened, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage wrote for itself goes once its rows are written, and its input too."""
     scratch = Scratch(spark, "pipeline")
+    mark = opened()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        release(mark)
+        scratch.drop(before)
     return docs
