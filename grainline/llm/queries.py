@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, decontam, line_dedup, lm, mixing, periodic, secrets, simhash, tokens, toxicity, wrappers
+from . import align, bm25, decontam, line_dedup, lm, mixing, periodic, secrets, simhash, tokens, toxicity, wrappers
 from .common import table
 
 
@@ -61,6 +61,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' ids cover every document, with corpus-wide counts of their linked pairs."""
+    return align.align(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeating words in every document, with planted periods."""
     return periodic.run_report(spark, table(spark, sf_dir, "documents"))
@@ -74,6 +79,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, op12_periodic_runs, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, op11_token_alignment, op12_periodic_runs, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
