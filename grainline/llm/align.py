@@ -23,8 +23,10 @@ and every distinct piece is aligned once per worker while it is remembered. What
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ BROADCAST_BYTES = 64 << 20
 #: Rows of one shard that meet one copy of its part of the index.
 ROWS_A_SALT = 20_000
 #: Pieces a worker remembers; pairs it counts before it writes them; characters it aligns at once.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 PAIRS_HELD = 1 << 20
 CHARACTERS_AT_ONCE = 4 << 20
 
@@ -60,17 +62,45 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+def _ranks(path: str, bytes_of: list[bytes]) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if the file is a plain byte-level BPE whose merges come in the order of their ids.
+
+    Then the merge of the lowest rank is the merge of the lowest id, and the tiktoken library finds the same ids faster.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    ids = [model["vocab"][m] for m in merged]
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    if not plain or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges") or ids != sorted(set(ids)) or len(ids) + 256 != len(model["vocab"].keys() - {t["content"] for t in spec["added_tokens"]}):
+        return None
+    return {bytes_of[i]: i for t, i in model["vocab"].items() if t not in {x["content"] for x in spec["added_tokens"]}}
+
+
+#: How byte-level BPE cuts a text before merging (a fixed value of its vocabularies).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, how often each occurs)."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]]))
+    return x[first], np.diff(first, append=len(x))
+
+
 class Pieces:
     """Alignments of text pieces, remembered: counts of tokens, groups and links, the linked pairs, the groups as text.
 
-    A piece is a space and ``key``; pieces are numbered as they come. ``links`` of all pieces lie end to end, as
-    ``a * n_b + b``.
+    A piece is a space and ``key``; pieces are numbered as they come. What belongs to pieces lies end to end: their linked
+    pairs as ``a * n_b + b``, and the strings that make up the text of their groups as numbers of ``self.strings``.
     """
 
     def __init__(self, path_a: str, path_b: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -82,11 +112,17 @@ class Pieces:
         self.bytes_a = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes([byte[c] for c in token]) if all(c in byte for c in token) else b""
+        ranks = _ranks(path_a, self.bytes_a)
+        self.fast_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         self.n_a, self.n_b = len(self.bytes_a), len(self.bytes_b)
-        self.unsafe = re.compile(r"(?:^|\s) ")
+        ids = list(map(str, range(max(self.n_a, self.n_b))))
+        self.strings = [mark + i for mark in ("", ";", ",", "|") for i in ids]
+        self.tight = [c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+        self.unsafe = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S)(?= )")
+        self.beyond_latin = re.compile("[^\x00-\u024f]")
         self.forget()
 
     def _bytes_b(self, i: int) -> bytes:
@@ -97,15 +133,17 @@ class Pieces:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups_text: list[str] = []
         self.counts = np.zeros((0, 4), dtype=np.int64)  # tokens of A, of B, groups, links
         self.wrong = np.zeros(0, dtype=bool)  # bytes differ from the text
-        self.links = np.zeros(0, dtype=np.int64)
-        self.first = np.zeros(1, dtype=np.int64)
+        self.links, self.first_link = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.parts, self.first_part = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.texts: list[str] = []  # the groups of the pieces, as far as they were asked for
+        self.sums = np.zeros((0, 3), dtype=np.int64)  # what the second pass looked up for them
+        self.sums_of: object = None
 
     def keys(self, text: str) -> list[str]:
         """The pieces of a space and the text, each without its first space."""
-        if self.unsafe.search(text):
+        if text.startswith(" ") or (any(t in text for t in self.tight) if text.isascii() else self.unsafe.search(text)):
             return [p[1:] for p in self.cut.split(" " + text)]
         return text.split(" ")
 
@@ -114,48 +152,50 @@ class Pieces:
         if len(self.number) > REMEMBERED:
             self.forget()
         keys = [self.keys(t) if t else [] for t in texts]
-        self._learn(sorted({k for some in keys for k in some}.difference(self.number)))
+        self._learn(sorted(set().union(*keys).difference(self.number)))
         starts = np.cumsum([0, *map(len, keys)])
-        out = np.fromiter((n for some in keys for n in map(self.number.__getitem__, some)), np.int64, starts[-1])
-        return out, starts
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, starts[-1]), starts
 
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
-        counts, wrong, links = [self.counts], [self.wrong], [self.links]
-        together: list[str] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def add(keys: list[str]) -> None:
-            found = self._align(keys)
-            if found is None and len(keys) > 1:
+        def add(keys: list[str], fast: bool) -> None:
+            aligned = self._align(keys, fast)
+            if aligned is None and len(keys) > 1:
                 for k in keys:
-                    add([k])
+                    add([k], fast)
                 return
-            self.number.update(zip(keys, range(len(self.groups_text), len(self.groups_text) + len(keys)), strict=True))
-            c, pairs, text = found or (np.zeros((1, 4), dtype=np.int64), np.zeros(0, dtype=np.int64), [""])
-            counts.append(c)
-            wrong.append(np.full(len(keys), found is None))
-            links.append(pairs)
-            self.groups_text += text
-
-        for k in new:  # pieces are encoded as one text where nothing but the cut between them can matter
-            if not k or k[-1].isspace() or len(k) > 1000:
-                add([k])
+            self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys)), strict=True))
+            counts, links, parts = aligned or (np.zeros((1, 4), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+            found.append((counts, np.full(len(keys), aligned is None), links, parts))
+
+        # pieces are encoded as one text where nothing but the cut between them can matter
+        alone = [k for k in new if not k or k[-1].isspace() or len(k) > 1000]
+        for k in alone:
+            add([k], False)
+        rest = sorted(set(new).difference(alone)) if alone else new
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
+            if not self.fast_a:
+                add(some, False)
+            elif not self.beyond_latin.search("".join(some)):
+                add(some, True)
             else:
-                together.append(k)
-                if len(together) == 1000:
-                    add(together)
-                    together = []
-        if together:
-            add(together)
-        self.counts, self.wrong, self.links = map(np.concatenate, (counts, wrong, links))
-        self.first = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
-
-    def _align(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
-        """Counts, links and groups of the pieces, encoded as one text; None if its tokens' bytes are not the text's."""
-        spaced = "".join([" " + k for k in keys])
-        (e,) = self.a.encode_batch_fast([spaced], add_special_tokens=False)
-        a = e.ids
+                for fast in (True, False):
+                    kind = [k for k in some if (not self.beyond_latin.search(k)) == fast]
+                    if kind:
+                        add(kind, fast)
+        counts, wrong, links, parts = zip((self.counts, self.wrong, self.links, self.parts), *found, strict=True)
+        self.counts, self.wrong, self.links, self.parts = map(np.concatenate, (counts, wrong, links, parts))
+        self.first_link = np.concatenate([[0], np.cumsum(self.counts[:, 3])])
+        self.first_part = np.concatenate([[0], np.cumsum(self.counts[:, 0] + self.counts[:, 1])])
+
+    def _align(self, keys: list[str], fast: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Counts, links and parts of the pieces, encoded as one text; None if its tokens' bytes are not the text's."""
+        spaced = " " + " ".join(keys)
+        a = self.fast_a.encode_ordinary(spaced) if fast else self.a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
         # an empty text has no tokens in B, not even the space; a lone space is what it is after a piece
         b = self.b.encode(spaced[1:]) if len(spaced) > 1 else self.b.encode("x ")[len(self.b.encode("x")) :]
         raw = spaced.encode("utf-8", "surrogatepass")
@@ -164,24 +204,51 @@ class Pieces:
         ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
         end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         start_a, start_b = end_a - self.size_a[ids_a], end_b - self.size_b[ids_b]
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        ends_here = np.zeros((2, len(raw) + 1), dtype=bool)
+        ends_here[0, end_a] = ends_here[1, end_b] = True
+        groups_to = np.cumsum(ends_here.all(axis=0))  # groups that have ended at a byte offset
+        group_a, group_b = groups_to[start_a], groups_to[start_b]
         first, last = np.searchsorted(end_b, start_a, "right"), np.searchsorted(start_b, end_a, "left")
         n = last - first
         link_a = np.repeat(np.arange(len(a)), n)
-        link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        links = ids_a[link_a] * self.n_b + ids_b[link_b]
-        bounds = np.cumsum([1 + len(k.encode("utf-8", "surrogatepass")) for k in keys])
-        at_a, at_b, at_group = (np.searchsorted(x, bounds, "right") for x in (end_a, end_b, ends))
-        at_link = np.concatenate([[0], np.cumsum(n)])[at_a]
-        counts = np.diff(np.stack([at_a, at_b, at_group, at_link], axis=1), axis=0, prepend=0)
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        to_a, to_b = np.searchsorted(end_a, ends, "right").tolist(), np.searchsorted(end_b, ends, "right").tolist()
-        groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-        cuts = at_group.tolist()
-        return counts, links, [";".join(groups[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
+        links = ids_a[link_a] * self.n_b + ids_b[_expand(first, n)]
+        if len(keys) == 1:
+            bounds = np.array([len(raw)])
+        else:
+            bounds = np.cumsum([1 + len(k) for k in keys] if len(raw) == len(spaced) else [1 + len(k.encode("utf-8", "surrogatepass")) for k in keys])
+        at_a, at_b = np.searchsorted(end_a, bounds, "right"), np.searchsorted(end_b, bounds, "right")
+        counts = np.diff(np.stack([at_a, at_b, groups_to[bounds], np.concatenate([[0], np.cumsum(n)])[at_a]], axis=1), axis=0, prepend=0)
+        # the text of the groups: A's ids of a group, then B's; before each a mark that the ids before it decide
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        ids, group, of_b = np.concatenate([ids_a, ids_b])[order], np.concatenate([group_a, group_b])[order], order >= len(a)
+        same_group, same_side = np.diff(group, prepend=-1) == 0, np.diff(of_b, prepend=True) == 0
+        mark = np.where(same_group, np.where(same_side, 2, 3), 1)
+        begins = np.concatenate([[0], (at_a + at_b)[:-1]])
+        mark[begins] = 0
+        return counts, links, (mark * (len(self.strings) // 4) + ids).astype(np.int32)
+
+    def group_texts(self) -> list[str]:
+        """The groups of every piece."""
+        known = len(self.texts)
+        if known < len(self.number):
+            strings = list(map(self.strings.__getitem__, self.parts[self.first_part[known] :].tolist()))
+            cuts = (self.first_part[known:] - self.first_part[known]).tolist()
+            self.texts += ["".join(strings[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return self.texts
+
+    def look_up(self, index: Index) -> np.ndarray:
+        """Best links, sum of counts and pairs that were not counted, of every piece; each is looked up once."""
+        if self.sums_of is not index:
+            self.sums_of, self.sums = index, self.sums[:0]
+        known = len(self.sums)
+        if known < len(self.number):
+            n, best, counted = index.look_up(self.links[self.first_link[known] :])
+            self.sums = np.concatenate([self.sums, _sums(np.stack([best.astype(np.int64), n, ~counted], axis=1), self.first_link[known:] - self.first_link[known])])
+        return self.sums
 
 
 _PIECES: dict[tuple, Pieces] = {}
+_INDEX: dict[str, Index] = {}
 
 
 def _pieces(*key: str) -> Pieces:
@@ -225,12 +292,12 @@ def _document_pairs(p: Pieces, numbers: np.ndarray, starts: np.ndarray, distinct
     right = _sums(p.wrong[numbers].astype(np.int64), starts) == 0
     doc, numbers = doc[right[doc]], numbers[right[doc]]
     if distinct:
-        code = np.unique(doc * len(p.groups_text) + numbers)
-        doc, numbers = code // len(p.groups_text), code % len(p.groups_text)
+        code, _ = _distinct(doc * len(p.number) + numbers)
+        doc, numbers = code // max(len(p.number), 1), code % max(len(p.number), 1)
     n = p.counts[numbers, 3]
-    pair = p.links[_expand(p.first[numbers], n)]
+    pair = p.links[_expand(p.first_link[numbers], n)]
     span = p.n_a * p.n_b
-    code, links = np.unique(np.repeat(doc, n) * span + pair, return_counts=True)
+    code, links = _distinct(np.repeat(doc, n) * span + pair)
     return code // span, code % span, links
 
 
@@ -244,11 +311,12 @@ def _count_partition(batches: Iterator[pa.RecordBatch], paths: tuple[str, str])
 
     for _, texts in _texts(batches):
         _, found, _ = _document_pairs(p, *p.numbers(texts), distinct=True)
-        found, more = np.unique(found, return_counts=True)
-        both, at = np.unique(np.concatenate([pairs, found]), return_inverse=True)
-        total = np.zeros(len(both), dtype=np.int64)
-        np.add.at(total, at, np.concatenate([n, more]))
-        pairs, n = both, total
+        found, more = _distinct(found)
+        pairs, n = np.concatenate([pairs, found]), np.concatenate([n, more])
+        order = np.argsort(pairs, kind="stable")
+        pairs, n = pairs[order], n[order]
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        pairs, n = pairs[first], np.add.reduceat(n, first) if len(first) else n
         if len(pairs) > PAIRS_HELD:
             yield rows()
             pairs, n = pairs[:0], n[:0]
@@ -387,7 +455,7 @@ def _digest_batch(p: Pieces, doc_ids: pa.Array, numbers: np.ndarray, starts: np.
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of some texts."""
     right = _sums(p.wrong[numbers].astype(np.int64), starts) == 0
     counts = _sums(p.counts[numbers], starts) * right[:, None]
-    some, cuts = list(map(p.groups_text.__getitem__, numbers.tolist())), starts.tolist()
+    some, cuts = list(map(p.group_texts().__getitem__, numbers.tolist())), starts.tolist()
     digests = [hashlib.sha256(";".join(some[i:j]).encode()).hexdigest() if ok and j > i else "" for i, j, ok in zip(cuts, cuts[1:], right.tolist(), strict=False)]
     return [doc_ids, *[pa.array(counts[:, i]) for i in range(4)], pa.array(digests, pa.string())]
 
@@ -395,19 +463,11 @@ def _digest_batch(p: Pieces, doc_ids: pa.Array, numbers: np.ndarray, starts: np.
 def _align_whole(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], index: Callable[[], Index]) -> Iterator[pa.RecordBatch]:
     """Second pass, the index at hand: a link's count is looked up once for each piece that is learnt."""
     p, found = _pieces(*paths), index()
-    p.forget()
-    known, of_piece = 0, np.zeros((0, 3), dtype=np.int64)  # best links, sum of counts, pairs that were not counted
     for doc_ids, texts in _texts(batches):
         numbers, starts = p.numbers(texts)
-        if len(p.groups_text) < known:
-            known, of_piece = 0, of_piece[:0]
-        if len(p.groups_text) > known:
-            n, best, counted = found.look_up(p.links[p.first[known] :])
-            of_piece = np.concatenate([of_piece, _sums(np.stack([best.astype(np.int64), n, ~counted], axis=1), p.first[known:] - p.first[known])])
-            known = len(p.groups_text)
         columns = _digest_batch(p, doc_ids, numbers, starts)
         right = _sums(p.wrong[numbers].astype(np.int64), starts) == 0
-        sums = _sums(of_piece[numbers], starts) * right[:, None]
+        sums = _sums(p.look_up(found)[numbers], starts) * right[:, None]
         _check_known(not sums[:, 2].any())
         yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(sums[:, 0]), pa.array(sums[:, 1]), columns[5]], [c.split()[0] for c in ALIGNED.split(", ")])
 
@@ -468,11 +528,16 @@ def align(spark: SparkSession, documents: DataFrame, path_a: str | None = None,
         best[r.a] = r.n  # one row per id of A at most
     n_shards, n_bytes = index.agg(F.count("*"), F.coalesce(F.sum(F.length("keys") + F.length("counts") + F.length("bits")), F.lit(0))).first()
     if n_bytes <= broadcast_bytes:
+        token = scratch.root
         held = spark.sparkContext.broadcast(([tuple(r) for r in index.select(*[c.split()[0] for c in INDEX.split(", ")]).collect()], best))
 
         def whole() -> Index:
-            rows, top = held.value
-            return Index(rows, max(1, n_shards), top, n_b)
+            """One per worker process and run."""
+            if token not in _INDEX:
+                _INDEX.clear()
+                rows, top = held.value
+                _INDEX[token] = Index(rows, max(1, n_shards), top, n_b)
+            return _INDEX[token]
 
         return documents.mapInArrow(lambda it: _align_whole(it, paths, whole), ALIGNED)
     aligned = documents.mapInArrow(
