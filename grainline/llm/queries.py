@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bm25, decontam, line_dedup, lm, mixing, periodic, secrets, simhash, tokens, toxicity, wrappers
+from . import align, bm25, decontam, langid, line_dedup, lm, mixing, periodic, secrets, simhash, tokens, toxicity, wrappers
 from .common import table
 
 
@@ -71,6 +71,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(spark, documents, langid.train(spark, documents))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline."""
     import corpus_pipeline
@@ -79,6 +85,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, op11_token_alignment, op12_periodic_runs, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_topk_search, op3_source_mix, op4_simhash, op5_html_text, op6_secret_scan, op7_lm_score, op8_token_ids, op9_decontamination, op10_toxicity, op11_token_alignment, op12_periodic_runs, op13_language_id, pipeline)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
