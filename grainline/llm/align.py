@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .perfect_hash import PerfectHash, build, shard_of
+from .tokens import byte_of_character
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
@@ -55,13 +56,6 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 INDEX = "shard int, sizes array<int>, bits binary, keys binary, counts binary"
 
 
-def byte_of_character() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
-
-
 def _ranks(path: str, bytes_of: list[bytes]) -> dict[bytes, int] | None:
     """The vocabulary as ranks, if the file is a plain byte-level BPE whose merges come in the order of their ids.
 

@@ -28,69 +28,92 @@ END_ID = 0
 ROW_STRIDE = 5_000
 STRIPE_BYTES = 16 << 20
 CACHE_ENTRIES = 400_000  # words in each of two generations
+CHARACTERS_AT_ONCE = 2 << 20
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Encodes whole texts with a vocabulary of the tokenizers library, each distinct word once.
+class Encoder(dict):
+    """Encodes whole texts with a vocabulary of the tokenizers library, each distinct word once while it is remembered.
 
     The library's byte-level pattern never joins characters over a space that a non-space follows, so a text may be cut
-    there and the parts encoded alone. Texts that hold a special token's string are encoded whole.
+    there and the words encoded alone. Texts that hold a special token's string are encoded whole. Of a word made of Latin
+    letters and ASCII marks after them, maybe over one line end, the pattern keeps each run of letters and of marks whole,
+    so the runs go to the vocabulary's merges at once; other words go through the whole encoder.
+
+    As a dict it holds the ids of the words met lately, and finds those of others on demand. They are kept in two
+    generations: a full one becomes the old one, and words met again come back from there. A key is the word without the
+    space before it; the first word of a text, which has none, has a space before its key.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.merge = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocabulary = self.tok.get_vocab(with_added_tokens=False)
-        self.n_bytes = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)  # byte-level: a character stands for a byte
-        # Words are kept in two generations: when the young one is full it becomes the old one, and words met again come
-        # back from there. A key is the word without the space before it; the first word of a text, which has none, has
-        # a space before its key.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.space = re.compile(r" (?:\s|$)")
         self.cut = re.compile(r" (?=\S)")
+        letters, marks = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-/:-@\[-`{-~]*"
+        self.runs = re.compile(rf"({letters})({marks})(?:\n({letters})({marks}))?").fullmatch
+        self.stand_in = str.maketrans({chr(b): c for c, b in byte_of_character().items()})
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_end = self._run("\n")
+        self.old: dict[str, bytes] = {}
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it: all are encoded as one text and told apart by their bytes."""
-        (e,) = self.tok.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)
-        ids = np.array(e.ids, dtype="<u4")
-        ends = np.cumsum(self.n_bytes[ids])
-        cuts = np.searchsorted(ends, np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in words])) + 1
-        raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+    def _whole(self, text: str) -> bytes:
+        (e,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", e.ids).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """The ids of a run that the pattern keeps whole."""
+        return array("I", [t.id for t in self.merge(run.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+
+    def _marks(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) > CACHE_ENTRIES:
+                self.marks = {"": b""}
+            self.marks[run] = self._run(run)
+        return self.marks[run]
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            m = self.runs(key)
+            if key[:1] == " ":
+                ids = self._whole(key[1:])
+            elif m is None:
+                ids = self._whole(" " + key)
+            else:
+                head, mark, tail, last = m.groups()
+                # printable ASCII stands for itself, U+0120 for the space
+                ids = array("I", [t.id for t in self.merge("\u0120" + head)]).tobytes() if head.isascii() else self._run(" " + head)
+                if mark:
+                    ids += self._marks(mark)
+                if tail is not None:
+                    ids += self.line_end + self._run(tail) + self._marks(last)
+        self[key] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, without an end id."""
         if any(s in text for s in self.special):
-            return self._bytes([text])[0]
+            return self._whole(text)
         keys = self.cut.split(text) if self.space.search(text) else text.split(" ")
         keys[0] = " " + keys[0]
-        out = list(map(self.young.get, keys))
-        if None in out:
-            self._learn({k for k, v in zip(keys, out, strict=True) if v is None})
-            out = list(map(self.young.__getitem__, keys))
-            if len(self.young) > CACHE_ENTRIES:
-                self.young, self.old = {}, self.young
-        return b"".join(out)
-
-    def _learn(self, keys: set[str]) -> None:
-        self.young.update((k, self.old[k]) for k in keys if k in self.old)
-        new = sorted(k for k in keys if k not in self.old)
-        heads, words = [k for k in new if k[0] == " "], [k for k in new if k[0] != " "]
-        self.young.update(zip(heads, self._bytes([k[1:] for k in heads]), strict=True))
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            self.young.update(zip(some, self._spaced(some), strict=True))
+        out = b"".join(map(self.__getitem__, keys))
+        if len(self) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        return out
+
+
+def byte_of_character() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
 def encoder(path: str) -> Encoder:
@@ -107,39 +130,40 @@ def _encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[
     enc, shard, at = encoder(path), TaskContext.get().partitionId(), 0
     end = np.array([END_ID], dtype="<u4").tobytes()
 
-    def flush(ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
+    def flush(doc_ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
         nonlocal at
         n = np.array([len(t) // 4 for t in texts], dtype=np.int64)
         offsets = np.concatenate([[0], np.cumsum(n)])
         values = np.frombuffer(b"".join(texts), dtype="<i4")
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-        out = [pa.array(ids, pa.int64()), pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(n), lists]
+        out = [doc_ids, pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(n), lists]
         at += int(offsets[-1])
         return pa.RecordBatch.from_arrays(out, ["doc_id", "shard", "at", "n_tokens", "ids"])
 
     for b in batches:
-        ids, texts, held = [], [], 0
-        for d, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-            ids.append(d.as_py())
-            texts.append(enc.encode(t.as_py() or "") + end)
-            held += len(texts[-1])
-            if held > 8 << 20:
-                yield flush(ids, texts)
-                ids, texts, held = [], [], 0
-        if ids:
-            yield flush(ids, texts)
+        first = 0
+        while first < b.num_rows:  # pieces of a bounded number of characters; a longer text goes alone
+            texts, held = [], 0
+            while first + len(texts) < b.num_rows and held < CHARACTERS_AT_ONCE:
+                texts.append(b.column("text")[first + len(texts)].as_py() or "")
+                held += len(texts[-1])
+            yield flush(b.column("doc_id").slice(first, len(texts)), [enc.encode(t) + end for t in texts])
+            first += len(texts)
 
 
 def write_tokens(documents: DataFrame, path: str, vocabulary: str) -> None:
     """Write the token ids of every document, an end id after each, as ORC files in ascending order of doc_id.
 
-    A null id comes first; rows of the same id are ordered by text; a null text is an empty one (the end id alone). Extra
-    columns are ignored; no documents make a folder without rows.
+    A null id comes first; of rows of the same id those without a text come first, then they are ordered by a digest of the
+    text; a null text is an empty one (the end id alone). A range of files may cut the rows of one id, and equal rows too, so
+    an id that holds many rows makes no large file. Extra columns are ignored; no documents make a folder without rows.
     """
+    order = ["doc_id", F.col("text").isNotNull(), F.xxhash64("text"), "place"]
     (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(lambda it: _encode_partition(it, vocabulary), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")

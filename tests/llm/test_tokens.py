@@ -46,3 +46,62 @@ def test_edge_cases(spark):
     got = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokens.token_output(spark, documents(spark, rows)).collect()))
     assert got == [(0, None, 2), (2, 2, 1), (3, 2, 1), (4, 5, 1), (5, 5, 2)]
     assert tokens.token_output(spark, documents(spark, [])).collect() == []
+
+
+def _rows_out_of_scans(df) -> int:
+    """Rows that the file scans of a frame's plan returned in its last run."""
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            return walk(node.plan())
+        n = node.metrics().get("numOutputRows").get().value() if node.nodeName().startswith("Scan orc") and "text" not in node.nodeName() else 0
+        children = node.children()
+        return n + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_row_groups_are_skipped(spark):
+    """Statistics and Bloom filters leave out row groups: of 20,000 even ids in one file, an odd one reads no row."""
+    path = Scratch(spark, "test").path()
+    rows = spark.range(20_000).selectExpr("id * 2 as doc_id", "concat('text ', id) as text", "'x' as place").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        tokens.write_tokens(rows, path, public_tokenizers.path(tokens.VOCABULARY))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    files = spark.read.schema(tokens.SCHEMA).orc(path)
+    for ids, most in (([8], tokens.ROW_STRIDE), ([9], 0), ([8, 39_998], 2 * tokens.ROW_STRIDE), ([1, 3, 20_001], 0)):
+        some = files.where(files.doc_id.isin(ids))
+        assert some.count() == sum(i % 2 == 0 for i in ids)
+        found = some.select("doc_id", "n_tokens")
+        found.collect()
+        assert _rows_out_of_scans(found) <= most
+
+
+def test_a_hot_id_is_cut(spark):
+    """An id that holds most rows, equal ones among them, does not make one large file."""
+    rows = [(None if i % 10 else i, f"text {i % 7} {'x ' * (i % 3)}" if i % 2 else "the same") for i in range(4000)]
+    docs = documents(spark, rows).repartition(6)
+    path = Scratch(spark, "test").path()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    try:
+        tokens.write_tokens(docs, path, public_tokenizers.path(tokens.VOCABULARY))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in spark.read.schema(tokens.SCHEMA).orc(path).groupBy("shard").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+    got = [tuple(r) for r in tokens.digest(tokens.read_tokens(spark, path)).orderBy("start").collect()]
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+
+
+def test_words_of_runs(spark):
+    """Words that go to the merges run by run have the ids of the whole encoder."""
+    enc = tokens.encoder(public_tokenizers.path(tokens.VOCABULARY))
+    words = ["don't", "we'll.", "élève,", "Ñandú!!!", "end.\nStart", "end\nStart,", "a\nb\nc", "x.\n", "\nx", "a1b", "_x_", "it's''", "ﬁx", "übeŕ", "×3", "ÿÿ***", "a\r\nb", "'s", "s's", "A" * 400 + "?!", "tab\tx", "ab,cd"]
+    for w in words:
+        for text in (w, f"a {w}", f"a {w} {w}.", f"{w}\n{w}"):
+            assert enc.encode(text) == enc._whole(text), text
