@@ -53,6 +53,7 @@ class Encoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.space = re.compile(r" (?:\s|$)")
         self.cut = re.compile(r" (?=\S)")
         letters, marks = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-/:-@\[-`{-~]*"
@@ -68,7 +69,7 @@ class Encoder(dict):
 
     def _run(self, run: str) -> bytes:
         """The ids of a run that the pattern keeps whole."""
-        return array("I", [t.id for t in self.merge(run.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+        return b"".join([self.bytes_of[t.id] for t in self.merge(run.encode().decode("latin-1").translate(self.stand_in))])
 
     def _marks(self, run: str) -> bytes:
         if run not in self.marks:
@@ -87,8 +88,9 @@ class Encoder(dict):
                 ids = self._whole(" " + key)
             else:
                 head, mark, tail, last = m.groups()
-                # printable ASCII stands for itself, U+0120 for the space
-                ids = array("I", [t.id for t in self.merge("\u0120" + head)]).tobytes() if head.isascii() else self._run(" " + head)
+                ids = self.get(head) if mark or tail else None  # the word without its marks may be known
+                if ids is None:  # printable ASCII stands for itself, U+0120 for the space
+                    ids = b"".join([self.bytes_of[t.id] for t in self.merge("\u0120" + head)]) if head.isascii() else self._run(" " + head)
                 if mark:
                     ids += self._marks(mark)
                 if tail is not None:
