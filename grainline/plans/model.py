@@ -127,10 +127,10 @@ class Model:
 
 
 class Catalog:
-    """Models by name and the join graph between them."""
+    """Models by name and the join graph between them. A model may be given as what builds it; that runs on first use."""
 
-    def __init__(self, *models: Model):
-        self.models: dict[str, Model] = {}
+    def __init__(self, *models: Model, lazy: Mapping[str, Callable[[Catalog], Model]] | None = None):
+        self.models: dict[str, Model | Callable[[Catalog], Model]] = dict(lazy or {})
         for m in models:
             self.add(m)
 
@@ -140,7 +140,10 @@ class Catalog:
     def __getitem__(self, name: str) -> Model:
         if name not in self.models:
             raise UnknownReferenceError(f"unknown model {name!r}")
-        return self.models[name]
+        model = self.models[name]
+        if not isinstance(model, Model):
+            model = self.models[name] = model(self)
+        return model
 
     def edge(self, source: str, target: str) -> Join:
         """The join from ``source`` to ``target``: declared, or the reverse of a declared one (one-to-many)."""

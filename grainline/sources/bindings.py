@@ -137,12 +137,9 @@ class Bench:
     def returns(self) -> DataFrame:
         """Returned lines per order; those of some customers carry no customer, who so never returned anything."""
         li = self.t("lineitem").filter(F.col("l_returnflag") == "R")
+        per_order = li.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).cast(MONEY).alias("amount"), F.to_date(F.max("l_shipdate")).alias("return_date"))
         o = self.orders.select("id", F.when(F.col("customer_id") % 5 != 2, F.col("customer_id")).alias("customer_id"))
-        return (
-            li.join(o, F.col("l_orderkey") == F.col("id"))
-            .groupBy("id", "customer_id")
-            .agg(F.sum(money("l_extendedprice")).cast(MONEY).alias("amount"), F.to_date(F.max("l_shipdate")).alias("return_date"))
-        )
+        return per_order.join(o, F.col("l_orderkey") == F.col("id")).select("id", "customer_id", "amount", "return_date")
 
     @cached_property
     def products(self) -> DataFrame:
@@ -161,13 +158,18 @@ class Bench:
 
     @cached_property
     def members(self) -> DataFrame:
-        li = self.t("lineitem").select("l_orderkey", "l_suppkey")
-        o = self.t("orders").select("o_orderkey", "o_custkey")
-        return (
-            li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.col("l_suppkey").alias("campaign_id"), F.col("o_custkey").alias("customer_id"))
-            .distinct()
-        )
+        return self.members_of()
+
+    def members_of(self, campaigns: DataFrame | None = None) -> DataFrame:
+        """Distinct (campaign, customer), of all campaigns or those of a frame (id) only.
+
+        An order's lines are reduced to its distinct campaigns before they meet the order.
+        """
+        li = self.t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("campaign_id"))
+        if campaigns is not None:
+            li = li.join(campaigns.select(F.col("id").alias("campaign_id")), "campaign_id", "left_semi")
+        o = self.t("orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"))
+        return li.distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("campaign_id", "customer_id").distinct()
 
     @cached_property
     def cities(self) -> DataFrame:
