@@ -7,6 +7,6 @@ from grainline.catalog.registry import QUESTIONS, Question
 
 def all_questions() -> dict[str, Question]:
     # importing the modules registers their questions
-    from grainline.catalog import bench, checks, corpus, extras, shop, trial_log  # noqa: F401
+    from grainline.catalog import answers, bench, checks, corpus, extras, shop, trial_log  # noqa: F401
 
     return QUESTIONS

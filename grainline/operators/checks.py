@@ -84,45 +84,66 @@ def orphans(child: DataFrame, fk: Sequence[str], parent: DataFrame, pk: Sequence
 def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Per column: rows, non-NULL values, min, max (as text), distinct values and a unique flag.
 
-    Counts, minima and maxima come from one plain aggregate (no distinct: no row expansion). Exact
-    distinct counts are one map-side-deduplicated aggregate per column - Parquet reads only that column,
-    and a multi-column ``count(distinct)`` would instead copy every row once per column before the
-    shuffle. ``exact=False`` uses HyperLogLog (``approx_count_distinct``) inside the single pass.
+    Exact: one scan. Every row goes to one grouping set per column and is counted per value before the shuffle; what is left
+    of a column are its distinct values with their counts, which a second aggregate sums up. ``exact=False`` uses HyperLogLog
+    (``approx_count_distinct``) inside one plain aggregate, without a row for each value.
     """
     cols = list(columns or df.columns)
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"__n{i}"), F.min(c).cast("string").alias(f"__min{i}"), F.max(c).cast("string").alias(f"__max{i}")]
-        if not exact:
-            aggs.append(F.approx_count_distinct(c).alias(f"__d{i}"))
-    one = df.agg(*aggs)
-    stacked = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col(f"__n{i}").alias("non_null"),
-                    F.col(f"__min{i}").alias("min_value"),
-                    F.col(f"__max{i}").alias("max_value"),
-                    *([] if exact else [F.col(f"__d{i}").alias("distinct_values")]),
-                )
-                for i, c in enumerate(cols)
-            ]
-        )
-    )
-    out = one.select(F.col("__rows").alias("rows"), stacked.alias("s")).select("rows", "s.*")
+    n = len(cols)
     if exact:
-        parts = [
-            df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct().agg(F.count(F.lit(1)).alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values")
-            for c in cols
-        ]
-        distinct = parts[0]
-        for p in parts[1:]:
-            distinct = distinct.unionByName(p)
-        out = out.join(F.broadcast(distinct), "column")  # one row per column
+        sets = df.select(*cols).groupingSets([[F.col(c)] for c in cols], *cols).agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__c"))
+        of = {c: (1 << n) - 1 - (1 << (n - 1 - i)) for i, c in enumerate(cols)}  # a set's id has a 0 for its own column
+        here = {c: F.col("__set") == of[c] for c in cols}
+        aggs = [F.sum(F.when(here[cols[0]], F.col("__c"))).alias("__rows")]
+        for i, c in enumerate(cols):
+            known = here[c] & F.col(c).isNotNull()
+            aggs += [F.coalesce(F.sum(F.when(known, F.col("__c"))), F.lit(0)).alias(f"__n{i}"), F.count(F.when(known, 1)).alias(f"__d{i}")]
+            aggs += [F.min(c).cast("string").alias(f"__min{i}"), F.max(c).cast("string").alias(f"__max{i}")]
+        one = sets.agg(*aggs).withColumn("__rows", F.coalesce("__rows", F.lit(0)))
+    else:
+        aggs = [F.count(F.lit(1)).alias("__rows")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(c).alias(f"__n{i}"), F.min(c).cast("string").alias(f"__min{i}"), F.max(c).cast("string").alias(f"__max{i}"), F.approx_count_distinct(c).alias(f"__d{i}")]
+        one = df.agg(*aggs)
+    per_column = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col(f"__n{i}").alias("non_null"),
+            F.col(f"__min{i}").alias("min_value"),
+            F.col(f"__max{i}").alias("max_value"),
+            F.col(f"__d{i}").alias("distinct_values"),
+        )
+        for i, c in enumerate(cols)
+    ]
+    out = one.select(F.col("__rows").alias("rows"), F.explode(F.array(*per_column)).alias("s")).select("rows", "s.*")
     return out.withColumn("is_unique", (F.col("distinct_values") == F.col("non_null")) & (F.col("non_null") == F.col("rows")))
 
 
+def low_cardinality(df: DataFrame, candidates: Sequence[str], most: int = 50) -> str | None:
+    """The candidate with the fewest values, of those with two to ``most``, from one pass of sketches; None if none has."""
+    if not candidates:
+        return None
+    found = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(candidates)]).first()  # one row
+    few = [(found[i], i) for i in range(len(candidates)) if 2 <= found[i] <= most]
+    return candidates[min(few)[1]] if few else None
+
+
+def averages_by_low_cardinality(df: DataFrame, values: Sequence[str], candidates: Sequence[str] | None = None, most: int = 50) -> DataFrame:
+    """Rows and averages of ``values`` per value of the column with the fewest (by default of the text columns), and over all.
+
+    Two scans: sketches choose the column, then one aggregate over the grouping sets (column) and (). ``column`` names it;
+    ``is_total`` marks the row over all.
+    """
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"] if candidates is None else list(candidates)
+    chosen = low_cardinality(df, texts, most)
+    means = [F.avg(v).cast("double").alias(f"avg_{v}") for v in values]
+    count = F.count(F.lit(1)).alias("rows")
+    if chosen is None:
+        return df.agg(count, *means).select(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_total"), "rows", *[f"avg_{v}" for v in values])
+    sets = df.groupingSets([[F.col(chosen)], []], chosen).agg(F.grouping_id().alias("__set"), count, *means)
+    return sets.select(F.lit(chosen).alias("column"), F.col(chosen).cast("string").alias("value"), (F.col("__set") == 1).alias("is_total"), "rows", *[f"avg_{v}" for v in values])
+
+
 def allocate(df: DataFrame, key: str, cents: Column, parts: Column, name: str = "part_cents") -> DataFrame:
     """Split an amount in cents into ``parts`` positive parts that add up exactly.
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from grainline.functions.calendar import bucket, check_rebucket, in_range
 from grainline.operators.periods import cumsum
-from grainline.plans.model import Catalog, Model, ReaggregationError
+from grainline.operators.relations import where_exists
+from grainline.plans.model import Catalog, MetricResult, Model, ReaggregationError, ResultWarning, UnknownReferenceError
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,32 @@ class QuerySpec:
     # output name -> ("sum", column) or ("count", "*"): decomposable measures, which let ``build``
     # aggregate the source per join key before looking up dimensions (eager aggregation)
     additive: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+    # ('model.column', predicate on that column) on a joined model; across a to-many join it is existential
+    where: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+
+    def result(self, catalog: Catalog) -> MetricResult:
+        """M2: the query with its joined predicates applied, and a warning for each that became a semi-join.
+
+        A predicate on a model that the source has one row of filters the attached column. On one that the source has many
+        rows of, a join would repeat the source's rows: the source is cut by a semi-join instead.
+        """
+        model, warnings = catalog[self.source], []
+        df = model.scan(self.date_range, self.time[0]) if self.time is not None else model.df
+        for ref, predicate in self.where:
+            hop, _, column = ref.partition(".")
+            edge = catalog.edge(self.source, hop)
+            if edge.cardinality in ("many_to_one", "one_to_one"):
+                df = catalog.attach(self.source, {"__where": ref}, df).where(predicate(F.col("__where"))).drop("__where")
+                continue
+            target = catalog[hop]
+            if column not in target.df.columns:
+                raise UnknownReferenceError(f"unknown column {column!r} in model {hop!r}")
+            child = target.df.where(predicate(F.col(column)))
+            df = where_exists(df, [a for a, _ in edge.pairs], child, [b for _, b in edge.pairs])
+            warnings.append(ResultWarning("semi_join_pushed", f"the filter on {ref!r} keeps rows of {self.source!r} with a match, by semi-join"))
+        cut = Catalog(lazy=catalog.models)
+        cut.add(replace(model, df=df, within=None))
+        return MetricResult(replace(self, where=()).build(cut), warnings)
 
     def refine(
         self,
@@ -54,6 +81,8 @@ class QuerySpec:
         return {n: (F.count(F.lit(1)) if f == "count" else F.sum(c)) for n, (f, c) in self.additive.items()}
 
     def build(self, catalog: Catalog) -> DataFrame:
+        if self.where:
+            return self.result(catalog).df
         model = catalog[self.source]
         refs = {a: r for a, r in self.dims.items() if "." in r}
         hops = {r.split(".")[0] for r in refs.values()}
@@ -132,7 +161,7 @@ class QuerySpec:
         return Model(name=name, df=self.build(catalog), key=tuple([*([self.time[0]] if self.time else []), *self.dims]), buckets=buckets)
 
 
-def sql_model(spark, name: str, text: str, key: tuple[str, ...] = (), args: dict | None = None, time_col: str | None = None) -> Model:
-    """H4/H5: a model backed by SQL text over registered views; ``args`` binds named parameters
-    (``:name`` markers) without string formatting."""
-    return Model(name=name, df=spark.sql(text, args=args or {}), key=key, time_col=time_col)
+def sql_model(spark, name: str, text: str, key: tuple[str, ...] = (), args: dict | None = None, time_col: str | None = None, tables: Mapping[str, DataFrame] | None = None) -> Model:
+    """H4/H5: a model backed by SQL text over registered views and the frames ``tables`` (as ``{name}`` in the text); ``args``
+    binds named parameters (``:name`` markers) without string formatting."""
+    return Model(name=name, df=spark.sql(text, args=args or {}, **(tables or {})), key=key, time_col=time_col)
