@@ -45,6 +45,8 @@ VIEWS: dict[str, str] = {
     "b_orders_flat": """select o.id, o.customer_id, o.amount, o.status, o.order_date, r.name as region, c.city, c.tier,
   c.credit, c.discount
   from b_orders o left join b_customers c on c.id = o.customer_id left join b_regions r on r.id = c.region_id""",
+    "b_months": """select cast(date_trunc('month', order_date) as date) as month, sum(amount) as revenue, count(*) as orders
+  from b_orders group by all""",
     # shop database
     "s_stores": """select n_nationkey as id, n_name as name,
   cast(date '1995-01-01' + to_months(n_nationkey * 4) as timestamp) as opened_at,

@@ -124,6 +124,12 @@ class Bench:
         raw = (F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < F.lit(end.isoformat()).cast("timestamp_ntz"))
         return self._orders(raw).where(in_range("order_date", date_range))
 
+    @cached_property
+    def months(self) -> DataFrame:
+        """Revenue and orders of every month that has orders."""
+        month = F.trunc("order_date", "month").alias("month")
+        return self.orders.groupBy(month).agg(F.sum("amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+
     @cached_property
     def order_items(self) -> DataFrame:
         return self.t("lineitem").select(
