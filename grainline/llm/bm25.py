@@ -1,11 +1,13 @@
 """Exact top-k search (operator 2): BM25 over sharded inverted indexes with block-max WAND pruning.
 
-Each shard of documents gets an inverted index (postings by term, in order of document) and, per term and block of
-``BLOCK`` documents, the largest term frequency weight. Document frequencies and the mean length are summed over all
-shards, so a score does not depend on the shard. Queries come in blocks of bounded size; a block is sent to all shards.
-In a shard a query's upper bound per document block is the sum of its terms' block maxima; blocks are scored from the
-highest bound down, each with all its postings, until the k-th best score so far is above every bound that is left. Each
-shard returns its best k per query, and the global best k of those are exact.
+Each shard of documents - as many as a task reads one after the other until they hold ``SHARD_BYTES`` of text, so texts are
+not shuffled and a shard's size does not depend on how many documents it is - gets an inverted index (postings by term, in
+order of document) and, per term and block of ``BLOCK`` documents, the largest weight. Document frequencies and the mean
+length are summed over all shards, so a score does not depend on the shard. Queries come in blocks of bounded size; a block
+is sent to all shards. In a shard the pivot test is made for blocks of documents: a query's bound there is the sum of its
+terms' block maxima, and a block is passed over if that does not reach the k-th best score so far. Blocks are taken in order
+of their bounds, in steps that double, and the threshold rises after every step and goes on to the task's next shard. Each
+task returns its best k per query, and the global best k of those are exact.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK = 4096, 32
-SHARDS_PER_TASK = 4
-FIRST_BLOCKS = 8  # scored before anything is pruned
+SHARD_BYTES, BLOCK = 12 << 20, 32
+FIRST_BLOCKS = 8  # scored before anything is pruned; then twice as many in each step
 QUERY_TERMS = 1_500_000  # (query, term) rows in a block of queries
 BY = 100
 #: Words are runs of letters, digits and non-ASCII characters; A-Z count as lower case.
@@ -137,6 +138,7 @@ class Shard:
             left = left[bound[left] >= theta]
             if not len(left):
                 break
+            step *= 2
             chosen = np.zeros(self.n_blocks, dtype=bool)
             chosen[left] = True
             pick = chosen[cell_block]
@@ -147,7 +149,6 @@ class Shard:
             top_doc, top = best_of(np.concatenate([top_doc, self.ids[docs]]), np.concatenate([top, score[docs]]), k)
             if len(top) == k:
                 theta = max(theta, top[-1])
-            step = len(order)
         return top_doc, top
 
 
@@ -160,29 +161,36 @@ def best_of(doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return doc[at], score[at]
 
 
-def build_index(scratch: Scratch, documents: DataFrame, shards: int) -> DataFrame:
-    """(shard, n_docs, n_words, keys, dfs, blob): one index per shard of the documents that have an id."""
+def _index_of(ids: list[int], texts: list[bytes | None]) -> pa.RecordBatch:
+    order = alike(texts)
+    keys, start, doc, tf, length = postings([texts[i] for i in order])
+    small = np.uint16 if len(ids) < 1 << 16 else np.int32
+    blob = pack(ids=np.array(ids, dtype=np.int64)[order], keys=keys, start=start, doc=doc.astype(small), tf=tf, length=length)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([len(ids)], pa.int64()), pa.array([int(length.sum())], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([np.diff(start)], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
+        ["n_docs", "n_words", "keys", "dfs", "blob"],
+    )
 
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
-        texts = t.column("text").cast(pa.binary()).to_pylist()
-        order = alike(texts)
-        keys, start, doc, tf, length = postings([texts[i] for i in order])
-        blob = pack(ids=ids[order], keys=keys, start=start, doc=doc, tf=tf, length=length)
-        return pa.table(
-            {
-                "shard": t.column("shard").slice(0, 1),
-                "n_docs": [len(ids)],
-                "n_words": [int(length.sum())],
-                "keys": pa.array([keys], pa.list_(pa.int64())),
-                "dfs": pa.array([np.diff(start)], pa.list_(pa.int64())),
-                "blob": pa.array([blob], pa.binary()),
-            }
-        )
 
-    rows = documents.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = rows.groupBy("shard").applyInArrow(run, "shard int, n_docs long, n_words long, keys array<long>, dfs array<long>, blob binary")
-    return scratch.keep(index, "index")
+def build_index(scratch: Scratch, documents: DataFrame) -> DataFrame:
+    """(n_docs, n_words, keys, dfs, blob): one index per shard of the documents that have an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
+        for b in batches:
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                buffer = t.as_buffer()
+                ids.append(d)
+                texts.append(buffer.to_pybytes() if buffer is not None else None)
+                held += len(texts[-1] or b"")
+                if held >= SHARD_BYTES or len(ids) >= 1 << 20:
+                    yield _index_of(ids, texts)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield _index_of(ids, texts)
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scratch.keep(rows.mapInArrow(run, "n_docs long, n_words long, keys array<long>, dfs array<long>, blob binary"), "index")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -206,8 +214,7 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, k: int
     ignored.
     """
     scratch = Scratch(spark, "bm25")
-    n = documents.count()
-    index = build_index(scratch, documents, 1 + n // SHARD_DOCS)
+    index = build_index(scratch, documents)
     n_docs, n_words = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     terms = scratch.keep(query_terms(queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text")), "terms")
     df = index.select(F.explode(F.arrays_zip("keys", "dfs")).alias("z")).select("z.keys", "z.dfs").groupBy("keys").agg(F.sum("dfs").alias("df"))
@@ -244,8 +251,8 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, k: int
                 n = [len(d) for d, _ in best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for d, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "doc_id", "score"])
 
-        # a task carries its thresholds from shard to shard
-        hits = index.select("blob").repartition(1 + index.count() // SHARDS_PER_TASK).mapInArrow(run, "query_id long, doc_id long, score double")
+        # a task reads the shards that one task of the build wrote, and carries its thresholds from one to the next
+        hits = index.select("blob").mapInArrow(run, "query_id long, doc_id long, score double")
         top = scratch.keep(hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= k), "top")
         sent.unpersist()
         best = top if best is None else best.unionAll(top)

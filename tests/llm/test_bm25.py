@@ -28,7 +28,7 @@ def brute(rows, queries, k):
 
 
 def test_equals_brute_force_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_DOCS", 16)
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 3000)
     monkeypatch.setattr(bm25, "BLOCK", 4)
     monkeypatch.setattr(bm25, "FIRST_BLOCKS", 1)
     monkeypatch.setattr(bm25, "QUERY_TERMS", 40)
@@ -52,3 +52,30 @@ def test_edge_cases(spark):
 
 def test_no_documents(spark):
     assert bm25.search_by_documents(spark, documents(spark, [])).collect() == []
+
+
+def test_thresholds_prune_and_lose_nothing(monkeypatch):
+    """Whatever the blocks, the steps and the threshold, the best k are those of scoring everything."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(r.zipf(1.6, r.integers(1, 60)), 200)).encode() for _ in range(600)]
+    order = bm25.alike(texts)
+    keys, start, doc, tf, length = bm25.postings([texts[i] for i in order])
+    blob = bm25.pack(ids=order, keys=keys, start=start, doc=doc.astype(np.uint16), tf=tf, length=length)
+    for block in (1, 4, 32, 1000):
+        monkeypatch.setattr(bm25, "BLOCK", block)
+        shard = bm25.Shard(blob, float(length.mean()))
+        for q in range(0, 600, 37):
+            k_keys, _, _, qtf, _ = bm25.postings([texts[q]])
+            gain = qtf * r.uniform(0.1, 3, len(k_keys))
+            full = np.zeros(600)
+            for key, g in zip(k_keys, gain, strict=True):
+                at = np.searchsorted(shard.keys, key)
+                span = slice(shard.start[at], shard.start[at + 1])
+                full[shard.doc[span]] += g * shard.weight[span]
+            want, score = bm25.best_of(shard.ids[np.flatnonzero(full > 0)], full[full > 0], 5)
+            for theta in (0.0, score[-1] * 0.9, score[-1]):
+                got, found = shard.search(k_keys, gain, 5, theta)
+                assert np.allclose(found, score) and (np.isclose(score[:-1], score[1:]).any() or got.tolist() == want.tolist())
+                assert len(got) == 5
