@@ -4,8 +4,10 @@ Each shard of documents - as many as a task reads one after the other until they
 not shuffled and a shard's size does not depend on how many documents it is - gets an inverted index (postings by term, in
 order of document) and, per term and block of ``BLOCK`` documents, the largest weight. Document frequencies and the mean
 length are summed over all shards, so a score does not depend on the shard. Queries come in blocks of bounded size; a block
-is sent to all shards. In a shard the pivot test is made for blocks of documents: a query's bound there is the sum of its
-terms' block maxima, and a block is passed over if that does not reach the k-th best score so far. Blocks are taken in order
+is sent to all shards. Posting lists that hold at least every ``DENSE``-th document of a shard are laid out densely, and a
+matrix product gives what they contribute to all documents for many queries at once. For the other lists the pivot test is
+made for blocks of documents: a query's bound there is the best dense part of the block and the sum of its other terms'
+block maxima, and a block is passed over if that does not reach the k-th best score so far. Blocks are taken in order
 of their bounds, in steps that double, and the threshold rises after every step and goes on to the task's next shard. Each
 task returns its best k per query, and the global best k of those are exact.
 """
@@ -26,6 +28,8 @@ from .common import Scratch
 
 K, K1, B = 10, 1.2, 0.75
 SHARD_BYTES, BLOCK = 12 << 20, 32
+DENSE = 32
+QUERIES_AT_ONCE = 64
 FIRST_BLOCKS = 8  # scored before anything is pruned; then twice as many in each step
 QUERY_TERMS = 1_500_000  # (query, term) rows in a block of queries
 BY = 100
@@ -94,8 +98,18 @@ class Shard:
         self.ids, self.keys, self.start, self.doc, length = a["ids"], a["keys"], a["start"], a["doc"], a["length"]
         tf = a["tf"].astype(np.float64)
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1e-9)))
+        self.n_docs = len(length)
         self.n_blocks = 1 + (max(len(length), 1) - 1) // BLOCK
-        term = np.repeat(np.arange(len(self.keys)), np.diff(self.start))
+        n = np.diff(self.start)
+        self.dense = np.flatnonzero(n * DENSE >= max(self.n_docs, 1))  # at most DENSE times as many numbers as postings
+        self.column = np.full(len(self.keys), -1, dtype=np.int64)
+        self.column[self.dense] = np.arange(len(self.dense))
+        term = np.repeat(np.arange(len(self.keys)), n)
+        held = self.column[term] >= 0
+        self.matrix = np.zeros((self.n_docs, len(self.dense)))
+        self.matrix[self.doc[held], self.column[term[held]]] = self.weight[held]
+        # the other lists, by term and block
+        self.doc, self.weight, term = self.doc[~held].astype(np.int64), self.weight[~held], term[~held]
         cell, first = np.unique(term * self.n_blocks + self.doc // BLOCK, return_index=True)
         self.cell_block = (cell % self.n_blocks).astype(np.int32)
         self.cell_first = np.append(first, len(self.doc))
@@ -114,21 +128,33 @@ class Shard:
             out = np.cumsum(out)
         return out
 
-    def search(self, keys: np.ndarray, gain: np.ndarray, k: int, theta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of at most the best k by score, then by id, for a query's sorted term keys and their gains;
-        documents that score less than ``theta`` need not be found."""
-        at = np.searchsorted(self.keys, keys)
-        here = at < len(self.keys)
-        here[here] = self.keys[at[here]] == keys[here]
-        at, gain = at[here], gain[here]
-        if not len(at):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, thetas: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (sorted term keys, their gains): (documents, scores) of at most the best k by score, then by id.
+        Documents that score less than the query's theta need not be found."""
+        out = []
+        for i in range(0, len(queries), QUERIES_AT_ONCE):
+            some = queries[i : i + QUERIES_AT_ONCE]
+            gains, rest = np.zeros((len(self.dense), len(some))), []
+            for j, (keys, gain) in enumerate(some):
+                at = np.searchsorted(self.keys, keys)
+                here = at < len(self.keys)
+                here[here] = self.keys[at[here]] == keys[here]
+                at, gain = at[here], gain[here]
+                column = self.column[at]
+                gains[column[column >= 0], j] = gain[column >= 0]
+                rest.append((at[column < 0], gain[column < 0]))
+            parts = np.zeros((len(some), self.n_blocks * BLOCK))
+            parts[:, : self.n_docs] = (self.matrix @ gains).T
+            out += [self._search(parts[j], *rest[j], k, theta) for j, theta in enumerate(thetas[i : i + QUERIES_AT_ONCE])]
+        return out
+
+    def _search(self, part: np.ndarray, at: np.ndarray, gain: np.ndarray, k: int, theta: float) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = self.cell_start[at], self.cell_start[at + 1]
         cells = self._ranges(lo, hi)
         cell_gain = np.repeat(gain, hi - lo)
         cell_block = self.cell_block[cells]
         bound = np.bincount(cell_block, weights=self.cell_max[cells] * cell_gain, minlength=self.n_blocks)
-        bound *= 1 + 1e-9  # a bound is summed in another order than a score
+        bound = (bound + part.reshape(self.n_blocks, BLOCK).max(axis=1)) * (1 + 1e-9)  # a bound is summed in another order than a score
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         top_doc, top = np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -141,10 +167,11 @@ class Shard:
             step *= 2
             chosen = np.zeros(self.n_blocks, dtype=bool)
             chosen[left] = True
-            pick = chosen[cell_block]
+            pick = np.flatnonzero(chosen[cell_block])
             first, last = self.cell_first[cells[pick]], self.cell_first[cells[pick] + 1]
             post = self._ranges(first, last)
             score = np.bincount(self.doc[post], weights=self.weight[post] * np.repeat(cell_gain[pick], last - first), minlength=self.n_blocks * BLOCK)
+            score = ((score + part).reshape(self.n_blocks, BLOCK) * chosen[:, None]).reshape(-1)
             docs = np.flatnonzero((score > 0) & (score >= theta))
             top_doc, top = best_of(np.concatenate([top_doc, self.ids[docs]]), np.concatenate([top, score[docs]]), k)
             if len(top) == k:
@@ -237,16 +264,14 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, k: int
             q, key, gain = sent.value
             ids, first = np.unique(q, return_index=True)
             first = np.append(first, len(q))
+            each = [(key[i:j], gain[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
             best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in ids]
             for b in batches:
                 for blob in b.column("blob"):
                     shard = Shard(blob.as_py(), mean)
-                    for x, (i, j) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                        doc, score = best[x]
-                        theta = score[-1] if len(score) == k else 0.0  # a k-th best score bounds the final one from below
-                        d, s = shard.search(key[i:j], gain[i:j], k, theta)
-                        if len(d):
-                            best[x] = best_of(np.concatenate([doc, d]), np.concatenate([score, s]), k)
+                    # a k-th best score bounds the final one from below
+                    found = shard.search(each, k, [score[-1] * (1 - 1e-12) if len(score) == k else 0.0 for _, score in best])
+                    best = [best_of(np.concatenate([d, x]), np.concatenate([s, y]), k) if len(x) else (d, s) for (d, s), (x, y) in zip(best, found, strict=True)]
             if len(ids):
                 n = [len(d) for d, _ in best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for d, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "doc_id", "score"])

@@ -55,7 +55,7 @@ def test_no_documents(spark):
 
 
 def test_thresholds_prune_and_lose_nothing(monkeypatch):
-    """Whatever the blocks, the steps and the threshold, the best k are those of scoring everything."""
+    """Whatever the blocks, the dense lists and the thresholds, the best k are those of scoring everything."""
     import numpy as np
 
     r = np.random.default_rng(4)
@@ -63,19 +63,22 @@ def test_thresholds_prune_and_lose_nothing(monkeypatch):
     order = bm25.alike(texts)
     keys, start, doc, tf, length = bm25.postings([texts[i] for i in order])
     blob = bm25.pack(ids=order, keys=keys, start=start, doc=doc.astype(np.uint16), tf=tf, length=length)
-    for block in (1, 4, 32, 1000):
+    norm = tf + bm25.K1 * (1 - bm25.B + bm25.B * length[doc] / length.mean())
+    weight = tf * (bm25.K1 + 1) / norm
+    queries, want = [], []
+    for q in range(0, 600, 7):
+        k_keys, _, _, qtf, _ = bm25.postings([texts[q]])
+        gain = qtf * r.uniform(0.1, 3, len(k_keys))
+        full = np.zeros(600)
+        for key, g in zip(k_keys, gain, strict=True):
+            at = np.searchsorted(keys, key)
+            full[doc[start[at] : start[at + 1]]] += g * weight[start[at] : start[at + 1]]
+        queries.append((k_keys, gain))
+        want.append(bm25.best_of(order[np.flatnonzero(full > 0)], full[full > 0], 5))
+    for block, dense in ((1, 16), (4, 1), (32, 10**6), (1000, 16)):
         monkeypatch.setattr(bm25, "BLOCK", block)
+        monkeypatch.setattr(bm25, "DENSE", dense)
         shard = bm25.Shard(blob, float(length.mean()))
-        for q in range(0, 600, 37):
-            k_keys, _, _, qtf, _ = bm25.postings([texts[q]])
-            gain = qtf * r.uniform(0.1, 3, len(k_keys))
-            full = np.zeros(600)
-            for key, g in zip(k_keys, gain, strict=True):
-                at = np.searchsorted(shard.keys, key)
-                span = slice(shard.start[at], shard.start[at + 1])
-                full[shard.doc[span]] += g * shard.weight[span]
-            want, score = bm25.best_of(shard.ids[np.flatnonzero(full > 0)], full[full > 0], 5)
-            for theta in (0.0, score[-1] * 0.9, score[-1]):
-                got, found = shard.search(k_keys, gain, 5, theta)
-                assert np.allclose(found, score) and (np.isclose(score[:-1], score[1:]).any() or got.tolist() == want.tolist())
-                assert len(got) == 5
+        for share in (0.0, 0.9, 1 - 1e-12):
+            for (got, found), (ids, score) in zip(shard.search(queries, 5, [s[-1] * share for _, s in want]), want, strict=True):
+                assert np.allclose(found, score) and (np.isclose(score[:-1], score[1:]).any() or got.tolist() == ids.tolist())
