@@ -85,6 +85,18 @@ def release(mark: int = 0) -> None:
         _open.pop().close()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes for no column of ``df`` to have it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is. ``lower`` serves where all characters are ASCII."""
     ascii_only = F.octet_length(text) == F.char_length(text)

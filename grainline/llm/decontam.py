@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_below, lower_ascii, pieces
+from .common import Scratch, broadcast_below, lower_ascii, pieces, unused
 
 #: What separates words: every ASCII character but digits and lower-case letters.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -54,8 +54,9 @@ def decontaminate(spark: SparkSession, documents: DataFrame, items: DataFrame, s
 
 def drop_contaminated(spark: SparkSession, documents: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """``documents`` without the rows that hold a window of an item; other texts of the same id, or of no id, stay."""
-    found = judge(spark, documents, items, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["doc_id"], documents["text"]) == F.col("_h")), "left_anti")
+    doc_id, h = unused(documents, "_id", "_h")
+    found = judge(spark, documents, items, size).where("contaminated").select(F.col("doc_id").alias(doc_id), F.col("h").alias(h)).distinct()
+    return documents.join(found, documents["doc_id"].eqNullSafe(F.col(doc_id)) & (F.xxhash64(documents["doc_id"], documents["text"]) == F.col(h)), "left_anti")
 
 
 def judge(spark: SparkSession, documents: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, broadcast_below, pieces
+from .common import SPACE, Scratch, broadcast_below, pieces, unused
 
 WEIGHTS, SHARE, MAX_COPIES, SEED = (3, 1, 2), 1.5, 2, "mix"
 CELL_BITS, LEVELS = 12, 3
@@ -162,11 +162,11 @@ def mix(spark: SparkSession, documents: DataFrame, **kw) -> DataFrame:
 
 def apply_mix(spark: SparkSession, documents: DataFrame, **kw) -> DataFrame:
     """The mixed corpus: every row of ``documents`` as many times as the mix takes it, with the same columns."""
-    a = allocate(spark, documents, **kw).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_h"), "copies")
-    d = documents.withColumn("_key", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = d.join(a.withColumnRenamed("copies", "_copies"), on)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[documents[c] for c in documents.columns])
+    doc_id, source, h, key, copies, n = unused(documents, "_id", "_source", "_h", "_key", "_copies", "_n")
+    a = allocate(spark, documents, **kw).where("copies > 0").select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.col("h").alias(h), F.col("copies").alias(copies))
+    d = documents.withColumn(key, F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(key) == F.col(h)) & F.col("source").eqNullSafe(F.col(source))
+    return d.join(a, on).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[documents[c] for c in documents.columns])
 
 
 ORACLE = f"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_below, components, local_components
+from .common import Scratch, broadcast_below, components, local_components, unused
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 BANDS, BLOCK, PIVOTS = 6, 2048, 16
@@ -162,9 +162,9 @@ def keep_one(spark: SparkSession, documents: DataFrame, n: int = SHINGLE, max_bi
     Ties go by a hash of all columns. Rows that are equal in every column all stay with ``repeats``; without, one of them.
     """
     scratch = Scratch(spark, "keep_one")
-    key = ["_h", "_all"]
+    key = unused(documents, "_h", "_all")
     columns = [documents[c] for c in documents.columns]
-    rows = documents.withColumns({"_h": F.xxhash64("doc_id", "text"), "_all": F.xxhash64(*columns, *[c.isNull() for c in columns])})
+    rows = documents.withColumns({key[0]: F.xxhash64("doc_id", "text"), key[1]: F.xxhash64(*columns, *[c.isNull() for c in columns])})
     prints = scratch.keep(fingerprints(rows, n, *key), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", *key, "_n")).alias("_first")
     each = prints.groupBy("fp", "doc_id", *key).agg(F.count("*").alias("_n"))
