@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from grainline.catalog.bench import BAD, models
 from grainline.catalog.registry import question
 from grainline.functions import sql as sql_functions
+from grainline.functions.scalar import band, ratio
 from grainline.operators import calls, checks, group_match, periods, recon, result_text, sketches
 from grainline.plans.spec import QuerySpec, sql_model
+from grainline.sources import files
 from grainline.sources.bindings import MONEY, Bench, Tables
 
+SIZE_EDGES, SIZE_LABELS = (50_000, 150_000, 300_000), ("small", "medium", "large", "huge")
 CELLS = ["month", "revenue", "quantity"]
 
 # ------------------------------------------------------------------ verdicts
@@ -349,3 +352,74 @@ from b_orders""",
 def k8_orders_md5(spark, sf_dir):
     """The fingerprint of the orders by a digest that DuckDB has too."""
     return recon.content_md5(Bench(spark, sf_dir).orders.select("id", "customer_id", "amount", "status", "order_date"))
+
+
+# ------------------------------------------------------------------ models: default time, proven cardinalities
+
+
+@question(
+    "f6_returns_by_default_time",
+    """with sp as (select cast(unnest(generate_series(date '1997-01-01', date '1998-12-01', interval 1 month)) as date) as month),
+r as (select date_trunc('month', return_date)::date as month, count(*) as returns, count(customer_id) as known_customers, sum(amount) as amount,
+  arg_min(id, struct_pack(d := return_date, i := id)) as first_return, arg_max(id, struct_pack(d := return_date, i := id)) as last_return
+  from b_returns group by 1)
+select sp.month, coalesce(returns, 0) as returns, coalesce(known_customers, 0) as known_customers, cast(coalesce(amount, 0) as double) as amount,
+  first_return, last_return, cast(amount as double) / known_customers as amount_per_known from sp left join r using (month)""",
+    ("F6", "D10", "F3", "D4", "B14"),
+)
+def f6_returns_by_default_time(spark, sf_dir):
+    """Returns by month of their model's own time column, with the first and last of each; every month of two years appears."""
+    returns = models(spark, sf_dir)["returns"]
+    m = {
+        "returns": F.count(F.lit(1)),
+        "known_customers": F.count("customer_id"),
+        "amount": F.sum("amount"),
+        "first_return": returns.first("id"),
+        "last_return": returns.last("id"),
+        "amount_per_known": ratio(F.sum("amount"), F.count("customer_id")),
+    }
+    s = returns.series("month", m, ["1997", "1998"], name="month", filled=["returns", "known_customers", "amount"])
+    return s.withColumn("amount", F.col("amount").cast("double"))
+
+
+_EDGES = (("orders", "customers"), ("customers", "orders"), ("customers", "regions"), ("customers", "cities"), ("order_items", "orders"), ("orders", "order_items"), ("campaigns", "campaign_members"))
+_EDGE_KEYS = {
+    ("orders", "customers"): ("many_to_one", "b_customers", "id"),
+    ("customers", "orders"): ("one_to_many", "b_orders", "customer_id"),
+    ("customers", "regions"): ("many_to_one", "b_regions", "id"),
+    ("customers", "cities"): ("many_to_one", "b_cities", "city, region_id"),
+    ("order_items", "orders"): ("many_to_one", "b_orders", "id"),
+    ("orders", "order_items"): ("one_to_many", "b_order_items", "order_id"),
+    ("campaigns", "campaign_members"): ("one_to_many", "b_members", "campaign_id"),
+}
+
+
+def _edge_sql(edge) -> str:
+    declared, table, keys = _EDGE_KEYS[edge]
+    known = " and ".join(f"{k.strip()} is not null" for k in keys.split(","))
+    return f"""select '{edge[0]}' as source, '{edge[1]}' as target, '{declared}' as declared, count(*) as repeated_keys,
+  if(count(*) = 0, 'many_to_one', 'fanning') as proven from (select {keys} from {table} where {known} group by {keys} having count(*) > 1)"""
+
+
+@question("m1_proven_cardinalities", "\nunion all\n".join(_edge_sql(e) for e in _EDGES), ("M1", "N5"))
+def m1_proven_cardinalities(spark, sf_dir):
+    """The joins of the order database, forward and reverse: as declared, and as the keys of their targets prove them."""
+    return models(spark, sf_dir).cardinalities(_EDGES)
+
+
+@question(
+    "n8_size_bands_by_priority",
+    """with o as (select o_orderpriority as priority, cast(o_totalprice as decimal(18,2)) as amount, o_custkey from orders)
+select priority, case when amount < 50000 then 'small' when amount < 150000 then 'medium' when amount < 300000 then 'large' else 'huge' end as size_band,
+  count(*) as orders, count(distinct o_custkey) as customers, cast(sum(amount) as double) / count(distinct o_custkey) as amount_per_customer from o group by all""",
+    ("N8", "A2", "B14", "D5"),
+)
+def n8_size_bands_by_priority(spark, sf_dir):
+    """Orders by size band and priority from a scan of the four columns that it needs."""
+    o = files.scan(spark, f"{sf_dir}/orders.parquet", ["o_orderkey", "o_orderpriority", "o_totalprice", "o_custkey"])
+    amount = F.col("o_totalprice").cast(MONEY)
+    banded = o.select(F.col("o_orderpriority").alias("priority"), band(amount, SIZE_EDGES, SIZE_LABELS).alias("size_band"), amount.alias("amount"), "o_custkey")
+    # customers once per band: the distinct count needs no second copy of the orders
+    per = banded.groupBy("priority", "size_band", "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"))
+    g = per.groupBy("priority", "size_band").agg(F.sum("n").alias("orders"), F.count("o_custkey").alias("customers"), F.sum("s").alias("s"))
+    return g.select("priority", "size_band", "orders", "customers", ratio(F.col("s"), F.col("customers")).alias("amount_per_customer"))

@@ -131,6 +131,14 @@ def date_range_bounds(date_range: str | tuple[str, str] | list[str]) -> tuple[dt
     return period_bounds(first)[0], period_bounds(last)[1]
 
 
+def bucket_start(day: dt.date, unit: str) -> dt.date:
+    """The first day of the ``unit`` bucket that holds ``day``."""
+    if unit in ("day", "week"):
+        return day - dt.timedelta(days=day.weekday() if unit == "week" else 0)
+    first = dt.date(day.year, day.month, 1)
+    return _add_months(first, -((first.month - 1) % _MONTHS[unit]))
+
+
 def in_range(col: Column | str, date_range, col_type: str = "date") -> Column:
     start, end = date_range_bounds(date_range)
     return between_half_open(col, start, end, col_type)

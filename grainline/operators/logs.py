@@ -24,6 +24,11 @@ PITFALLS = (
     "rows_window_gap", "timestamp_bounds", "avg_of_avgs", "bucket_reaggregation",
 )
 SUITES = ("capability", "combo", "trap", "jaffle")
+# Rows that need a task with another expectation than a matching answer, and the least numbers of tasks (fixed values).
+REFUSAL_ROWS = ("Q9", "Q18")
+MIN_TRAPS, MIN_WIDE = 12, 2
+# Flags of a verdict, in the order of the scoreboard (fixed values).
+FLAGS = ("used_python", "raw_sql", "edited_models", "query_errors", "several_queries")
 DIGEST_CHARS = 240
 # Warning text -> kind, tried in order (fixed values).
 WARNING_PATTERNS = (
@@ -89,6 +94,28 @@ def row_scoreboard(spark: SparkSession, results: DataFrame) -> DataFrame:
     return out
 
 
+def run_scoreboard(results: DataFrame) -> DataFrame:
+    """L2: the row scoreboard of every run (profile x model): tasks, trials, counts and the five flags of every capability row.
+
+    A row that a run has no trial of shows 0 tasks and trials and no counts; an uncovered row shows none at all. One scan:
+    trials are counted per (row, run, task), summed per (row, run), and each run's rows, 25 at most, are laid out from a map.
+    """
+    verdict = F.col("verdict")
+    flags = [F.count_if(verdict.isNotNull() & verdict["flags"][f]).alias(f) for f in FLAGS]
+    bench = results.where((F.col("dataset") == "bench") & F.col("xfail").isNull())
+    known = F.filter(F.array_distinct("covers"), lambda c: F.array_contains(_arr(ALL_ROWS), c))
+    per_task = bench.withColumn("row", F.explode_outer(known)).groupBy("profile", "model", "row", "task_id").agg(*_counts(), *flags)
+    names = ["trials", "correct", "single_query", "passed", *FLAGS]
+    per_row = per_task.groupBy("profile", "model", "row").agg(F.count_distinct("task_id").alias("tasks"), *[F.sum(c).alias(c) for c in names])
+    cells = F.struct("row", F.struct("tasks", *names).alias("counts"))
+    runs = per_row.groupBy("profile", "model").agg(F.map_from_entries(F.collect_list(F.when(F.col("row").isNotNull(), cells))).alias("__rows"))
+    out = runs.select("profile", "model", "__rows", F.explode(_arr(ALL_ROWS)).alias("row"))
+    out = out.withColumn("uncovered", F.col("row").isin(*UNCOVERED_ROWS)).withColumn("__c", F.try_element_at("__rows", F.col("row")))
+    shown = ~F.col("uncovered")
+    zero = [F.when(shown, F.coalesce(F.col(f"__c.{c}"), F.lit(0))).alias(c) for c in ("tasks", "trials")]
+    return out.select("profile", "model", "row", "uncovered", *zero, *[F.when(shown, F.col(f"__c.{c}")).alias(c) for c in names[1:]])
+
+
 def pitfall_scoreboard(results: DataFrame) -> DataFrame:
     """L3: per pitfall x profile x model over bench trials: trials and correct answers."""
     bench = results.where((F.col("dataset") == "bench") & F.col("xfail").isNull())
@@ -206,25 +233,30 @@ def pair_calls(uses: DataFrame, results: DataFrame, trace_key: str, call_id: str
     return j.withColumn("answered", F.col("result_text").isNotNull()) if "result_text" in results.columns else j
 
 
-def coverage_problems(spark: SparkSession, tasks: DataFrame, min_traps: int, min_wide: int) -> DataFrame:
-    """Problems of a task set: rows without a task, too few traps, too few tasks covering 3+ rows."""
+def coverage_problems(tasks: DataFrame, min_traps: int = MIN_TRAPS, min_wide: int = MIN_WIDE, expect: str | None = None) -> DataFrame:
+    """Problems of a task set, one row each: covered rows without a task, uncovered rows with one, rows that need a
+    refusal or warning task and have none (where ``expect`` names the column that says what a task expects), too few
+    traps, too few tasks with three or more covered rows.
+
+    One scan with one aggregate row; the labels are fixed. An array or expectation that is null holds nothing.
+    """
     bench = tasks.where(F.col("dataset") == "bench")
-    covered = bench.select(F.explode("covers").alias("row")).distinct()
-    labels = spark.createDataFrame([(r,) for r in COVERED_ROWS], "row string")
-    missing = labels.join(covered, "row", "left_anti").select(F.concat(F.lit("row "), F.col("row"), F.lit(" has no task")).alias("problem"))
-    stats = bench.agg(
-        F.count(F.when(F.arrays_overlap("covers", _arr(PITFALLS)), 1)).alias("traps"),
-        F.count(F.when(F.size(F.filter("covers", lambda c: F.array_contains(_arr(COVERED_ROWS), c))) >= 3, 1)).alias("wide"),
-    )
-    few = stats.select(
-        F.explode(
-            F.array(
-                F.when(F.col("traps") < min_traps, F.format_string(f"%d trap tasks, need at least {min_traps}", F.col("traps"))),
-                F.when(F.col("wide") < min_wide, F.format_string(f"%d tasks cover three or more rows, need at least {min_wide}", F.col("wide"))),
-            )
-        ).alias("problem")
-    ).where(F.col("problem").isNotNull())
-    return missing.unionByName(few)
+    has = lambda r: F.coalesce(F.array_contains("covers", r), F.lit(False))
+    n_rows = F.size(F.filter("covers", lambda c: F.array_contains(_arr(COVERED_ROWS), c)))
+    any_of = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    stats = [any_of(has(r)).alias(r) for r in ALL_ROWS]
+    if expect is not None:
+        stats += [any_of(has(r) & F.coalesce(F.col(expect) != "match", F.lit(False))).alias(f"{r}_refused") for r in REFUSAL_ROWS]
+    stats += [F.count_if(F.arrays_overlap("covers", _arr(PITFALLS))).alias("traps"), F.count_if(n_rows >= 3).alias("wide")]
+    problems = [F.when(~F.col(r), f"row {r} has no task") for r in COVERED_ROWS]
+    problems += [F.when(F.col(r), f"row {r} is not covered but has tasks") for r in UNCOVERED_ROWS]
+    if expect is not None:
+        problems += [F.when(~F.col(f"{r}_refused"), f"row {r} needs a refusal or warning task") for r in REFUSAL_ROWS]
+    problems += [
+        F.when(F.col("traps") < min_traps, F.format_string(f"%d trap tasks, need at least {min_traps}", F.col("traps"))),
+        F.when(F.col("wide") < min_wide, F.format_string(f"%d tasks cover three or more rows, need at least {min_wide}", F.col("wide"))),
+    ]
+    return bench.agg(*stats).select(F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
 def oversized_groups(df: DataFrame, key: Sequence[str], limit: int, name: str = "rows") -> DataFrame:

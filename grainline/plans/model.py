@@ -8,6 +8,7 @@ are implied and are never attached: a measure from the many side is aggregated a
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -119,6 +120,44 @@ class Model:
             raise UnknownReferenceError(f"unknown column {name!r} in model {self.name!r}")
         return F.col(name)
 
+    def _by_time(self) -> Column:
+        """Where a row stands in time, the key deciding between equal times; null without a time."""
+        if self.time_col is None:
+            raise UnknownReferenceError(f"model {self.name!r} has no time column")
+        return F.when(F.col(self.time_col).isNotNull(), F.struct(self.time_col, *self.key))
+
+    def first(self, column: str) -> Column:
+        """The column's value at the model's earliest time."""
+        from grainline.functions.aggregates import first_by_time
+
+        return first_by_time(column, self._by_time())
+
+    def last(self, column: str) -> Column:
+        """The column's value at the model's latest time."""
+        from grainline.functions.aggregates import last_by_time
+
+        return last_by_time(column, self._by_time())
+
+    def series(self, unit: str, measures: Mapping[str, Column], date_range=None, dims: Sequence[str] = (), name: str = "period", filled: Sequence[str] | None = None) -> DataFrame:
+        """Measures by calendar bucket of the default time column (F6), of a date range where one is given.
+
+        With ``filled`` every bucket of the range appears (F3), the measures named in it as 0 where there are no rows.
+        """
+        from grainline.functions.calendar import bucket_start, date_range_bounds
+        from grainline.operators import periods
+
+        if self.time_col is None:
+            raise UnknownReferenceError(f"model {self.name!r} has no time column")
+        rows = self.scan(date_range)
+        out = periods.series(rows, self.time_col, unit, list(dims), measures, name=name)
+        if filled is None:
+            return out
+        if date_range is None:
+            raise ValueError("a filled series needs a date range")
+        start, end = date_range_bounds(date_range)
+        last = end - dt.timedelta(days=1)
+        return periods.fill_periods(out, rows.sparkSession, name, bucket_start(start, unit), last, unit, list(filled), rows.select(*dims) if dims else None)
+
     def check_agg(self, column: str, agg: str) -> None:
         """Refuse an aggregation the column does not allow."""
         allowed = self.allowed_aggs.get(column)
@@ -173,6 +212,25 @@ class Catalog:
         dup = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
         return dup.limit(1).count() == 0
 
+    def cardinalities(self, edges: Sequence[tuple[str, str]]) -> DataFrame:
+        """M1: per edge what is declared, how many key values of its target occur twice or more, and what that proves:
+        'many_to_one' without any, else 'fanning'. One row an edge, each target counted per key before the shuffle."""
+        out = None
+        for source, target in edges:
+            j = self.edge(source, target)
+            keys = [F.col(b) for _, b in j.pairs]
+            known = self[target].df.na.drop(subset=[b for _, b in j.pairs])  # a key with a null joins nothing
+            twice = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.count_if(F.col("__n") > 1).alias("repeated_keys"))
+            row = twice.select(
+                F.lit(source).alias("source"),
+                F.lit(target).alias("target"),
+                F.lit(j.cardinality).alias("declared"),
+                "repeated_keys",
+                F.when(F.col("repeated_keys") == 0, "many_to_one").otherwise("fanning").alias("proven"),
+            )
+            out = row if out is None else out.unionByName(row)
+        return out
+
     def proven_cardinality(self, source: str, target: str) -> str:
         """M1: the declared cardinality of an edge, or 'many_to_one' when the target side of an
         undeclared join is proven unique by the data, else 'fanning or unproven'."""

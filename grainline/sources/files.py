@@ -46,8 +46,8 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A4: JSON-lines trial results; blank lines skipped, malformed lines dropped."""
-    return spark.read.schema(RESULT_SCHEMA).option("mode", "FAILFAST").json(path).where(F.col("task_id").isNotNull())
+    """A4: JSON-lines trial results, also those without a task id; blank lines are skipped, a malformed line raises."""
+    return spark.read.schema(RESULT_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:

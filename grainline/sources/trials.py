@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.operators.logs import ALL_ROWS, PITFALLS
+from grainline.operators.logs import ALL_ROWS, FLAGS, PITFALLS
 from grainline.sources.bindings import Tables
 
 
+#: A trial has a flag when its document's length is divisible by this.
+FLAG_STEPS = {"used_python": 7, "raw_sql": 9, "edited_models": 8, "query_errors": 6, "several_queries": 10}
+
+
 def _array(values) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -31,7 +35,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         lambda c: c.isNotNull(),
     )
-    verdict = F.when(n % 11 != 0, F.struct((F.col("quality") == 1).alias("correct"), (F.col("toxic") == 0).alias("single_query")))
+    flags = F.struct(*[(n % FLAG_STEPS[f] == 0).alias(f) for f in FLAGS]).alias("flags")
+    verdict = F.when(n % 11 != 0, F.struct((F.col("quality") == 1).alias("correct"), (F.col("toxic") == 0).alias("single_query"), flags))
     usage = F.struct(
         n.alias("input_tokens"), (n % 97).alias("output_tokens"), (n * 2).alias("cache_read_tokens"), (n % 5).alias("cache_write_tokens"), (n % 13 == 0).alias("partial")
     )
@@ -39,6 +44,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), (F.col("doc_id") % 1000).cast("string")).alias("task_id"),
         F.when(n % 4 == 0, "jaffle").otherwise("bench").alias("dataset"),
         covers.alias("covers"),
+        F.when(n % 12 == 0, "refusal").when(n % 18 == 0, "warning").otherwise("match").alias("expect"),
         F.col("source").alias("profile"),
         F.col("lang").alias("model"),
         F.col("doc_id").alias("trial"),

@@ -91,11 +91,39 @@ def test_dedup_usage_and_pairing(spark):
     assert tuple(logs.dedup_usage(anon, "trace", "mid", "pos", ["tok"]).first()) == (1, 16, 3)
 
 
+def test_coverage_of_refusals_and_uncovered_rows(spark):
+    shape = "task_id string, dataset string, covers array<string>, expect string"
+    rows = [("a", "bench", ["Q9", "Q19"], "match"), ("b", "bench", ["Q18"], "refusal"), ("c", "jaffle", ["Q9", "Q22"], "refusal"), ("d", "bench", None, None)]
+    got = {r.problem for r in logs.coverage_problems(spark.createDataFrame(rows, shape), 0, 0, "expect").collect()}
+    rest = {f"row {r} has no task" for r in logs.COVERED_ROWS if r not in ("Q9", "Q18")}
+    assert got - rest == {"row Q19 is not covered but has tasks", "row Q9 needs a refusal or warning task"} and rest <= got
+    none = {r.problem for r in logs.coverage_problems(spark.createDataFrame([], shape), expect="expect").collect()}
+    assert "0 trap tasks, need at least 12" in none and "0 tasks cover three or more rows, need at least 2" in none and len(none) == 27
+
+
+def test_run_scoreboard(spark, results):
+    flagged = (True, True, [], [], {}, {}, (True, False, True, False, False))
+    u = (1, 1, 1, 1, False)
+    more = [
+        ("q1-a", "bench", ["Q1", "Q1", "Q22"], "sql", "m", 1, flagged, "submitted", u, 0.5, 1.0, None),
+        ("q1-b", "bench", ["Q1"], "sql", "m", 1, None, "timeout", u, 0.5, 1.0, None),
+        (None, "bench", None, None, "m", 1, None, "timeout", u, 0.5, 1.0, None),
+    ]
+    out = logs.run_scoreboard(results.unionByName(spark.createDataFrame(more, RESULT_SCHEMA)))
+    got = {(r.profile, r.row): r for r in out.collect()}
+    assert len(got) == 75 and not any(c.startswith("__") for c in out.columns)
+    q1 = got[("sql", "Q1")]
+    assert (q1.tasks, q1.trials, q1.correct, q1.passed, q1.used_python, q1.raw_sql, q1.edited_models) == (2, 2, 1, 1, 1, 0, 1)
+    assert got[("semantic", "Q1")].trials == 2 and got[("semantic", "Q9")].trials == 0 and got[("semantic", "Q9")].correct is None
+    assert got[("sql", "Q22")].uncovered and got[("sql", "Q22")].trials is None
+    assert got[(None, "Q1")].tasks == 0
+
+
 def test_coverage_and_selection(spark):
     tasks = spark.createDataFrame(
         [("q1", "bench", ["Q1"]), ("t1", "bench", ["Q6", "chasm"]), ("j1", "jaffle", ["jaffle"])], "task_id string, dataset string, covers array<string>"
     )
-    problems = [r.problem for r in logs.coverage_problems(spark, tasks, 2, 1).collect()]
+    problems = [r.problem for r in logs.coverage_problems(tasks, 2, 1).collect()]
     assert "row Q2 has no task" in problems and any("trap tasks" in p for p in problems) and any("three or more" in p for p in problems)
     assert [r.task_id for r in logs.select_tasks(tasks, suites=["trap"]).collect()] == ["t1"]
     assert {r.task_id for r in logs.select_tasks(tasks, ids=["q1", "t1"], rows=["chasm"]).collect()} == {"t1"}

@@ -4,6 +4,8 @@ import json
 import tempfile
 from pathlib import Path
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scales import SF_SMALL
@@ -40,6 +42,11 @@ def test_results_jsonl_blank_lines_and_append(spark):
     assert df.count() == 2 and df.first().verdict.correct
     files.append_results(df.limit(1), str(d))
     assert files.read_results(spark, str(d)).count() == 3
+    (d / "part-1.json").write_text(json.dumps({**line, "task_id": None, "trial": 9}) + "\n")
+    assert [r.trial for r in files.read_results(spark, str(d)).where("task_id is null").collect()] == [9]
+    (d / "part-2.json").write_text("{broken\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_results(spark, str(d)).collect()
 
 
 def test_traces_key_from_file_name(spark):
