@@ -7,12 +7,15 @@ stays template text. The result is a regular expression without alternatives (``
 
 The wrapper then tells where the main text is: the article container (by its tag or role, else by its class or id, else
 the group whose slots hold most text), without the groups that by tag, role, class or id are menus, headers, footers,
-sidebars, notices, adverts, forms, comments and the like, and without the texts of the container that never vary though
-its other slots do. A host's layouts can have different containers: each page is read by the surest one it has.
+sidebars, notices, adverts, forms, comments and the like. A form that holds a named container or most of the text is layout;
+a group that only a weak word marks (``WEAK_WORDS``) stays where it holds most of its container's text and varies from page
+to page. Nothing else of a container that its key names is left out. Where no key names one, the texts that never vary on
+the host's pages are left out too, headings excepted. A host's layouts can have different containers: each page is read by
+the surest one it has.
 
 A host's wrapper is aligned from all its different pages: every page is folded to a small tree where it is read, and
 trees of the same host are merged by ``FAN`` at a time, in an order given by their hashes, until one is left; so a hot
-host is no task of its own. Groups count their pages, and a text is template only with ``MIN_TEMPLATE_PAGES`` pages.
+host is no task of its own. Groups count their pages; a text can be template from two different pages on.
 """
 
 from __future__ import annotations
@@ -35,8 +38,7 @@ from .common import Scratch, broadcast_below
 
 FAN = 64  # trees of a host that are merged at a time
 LONG_TEXT = 64  # a longer text is held as its digest
-MAX_DEPTH = 200  # deeper groups are read as part of their ancestor at this depth
-MIN_TEMPLATE_PAGES = 5
+MAX_DEPTH = 200  # deeper groups are no containers and have no paths of their own; their keys are read like any other's
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -44,7 +46,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 # How HTML's elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -53,7 +55,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
 
 # What marks a group as no part of the article, by tag, role, or word of its class or id.
-SKIP_TAGS = frozenset("head nav header footer aside form button dialog menu script style noscript iframe template object svg math select textarea title".split())
+SKIP_TAGS = frozenset("head nav header footer aside form button dialog menu script style noscript iframe template object svg select textarea title".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -61,6 +63,8 @@ SKIP_WORDS = frozenset(
     "cookies consent gdpr notice notices notification alert warning popup modal overlay newsletter subscribe subscription signup login register paywall "
     "footer foot masthead copyright legal disclaimer pagination pager toolbar skip hidden offscreen".split()
 )
+WEAK_WORDS = frozenset("legal disclaimer copyright notice notices alert warning".split())  # what articles are about, too
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = ("article", "articlebody", "post", "entry", "story", "content", "main", "body", "text")
 
 
@@ -168,19 +172,24 @@ def key_of(name: str, attrs: dict[str, str]) -> str:
     return " ".join(parts)
 
 
-def skipped(key: str) -> bool:
+def skipped(key: str, tags: frozenset[str] = SKIP_TAGS, words: frozenset[str] = SKIP_WORDS) -> bool:
     """Whether a group is by its key no part of an article."""
     name, *marks = key.split(" ")
-    if name in SKIP_TAGS or "!hidden" in marks:
+    if name in tags or "!hidden" in marks:
         return True
     for mark in marks:
         if mark[0] == "@" and mark[1:].lower() in SKIP_ROLES:
             return True
-        if mark[0] in ".#" and name not in ("body", "html", "main") and not SKIP_WORDS.isdisjoint(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", mark[1:]).lower())):
+        if mark[0] in ".#" and name not in ("body", "html", "main") and not words.isdisjoint(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", mark[1:]).lower())):
             return True
     return False
 
 
+def weak(key: str) -> bool:
+    """Whether only a weak word tells that a group is no part of an article."""
+    return skipped(key) and not skipped(key, words=SKIP_WORDS - WEAK_WORDS)
+
+
 def tree(page: str) -> Group:
     """A page as nested groups, its texts squeezed and runs of like groups folded as they close."""
     root = Group("")
@@ -303,36 +312,76 @@ def _is_main(key: str) -> int:
     return int(name in ("div", "section", "td") and not words.isdisjoint(MAIN_WORDS))
 
 
-def _slot_chars(g: Group) -> int:
+def _slot_chars(g: Group, skips=lambda g: skipped(g.key)) -> int:
     if g.key == "#":
         return g.chars
-    return 0 if skipped(g.key) else sum(_slot_chars(c) for c in g.children)
+    return 0 if skips(g) else sum(_slot_chars(c, skips) for c in g.children)
+
+
+def _varies(g: Group) -> bool:
+    return g.text is None if g.key == "#" else any(_varies(c) for c in g.children)
+
+
+def _layout_forms(wrapper: Group) -> set[int]:
+    """Forms (by ``id``) that are the page's layout: they hold a container that a tag or role names, or most of its text."""
+    plain = SKIP_TAGS - {"form"}
+    most = _slot_chars(wrapper, lambda g: skipped(g.key, plain))
+
+    def named(g: Group) -> bool:
+        return any(not skipped(c.key, plain) and (_is_main(c.key) > 1 or named(c)) for c in g.children if c.key != "#")
+
+    out: set[int] = set()
+    todo = [wrapper]
+    while todo:
+        for c in todo.pop().children:
+            if c.key == "#" or skipped(c.key, plain):
+                continue
+            if c.key.split(" ")[0] == "form" and (2 * _slot_chars(c, lambda g: skipped(g.key, plain)) > most or named(c)):
+                out.add(id(c))
+            todo.append(c)
+    return out
 
 
 def rules(wrapper: Group, n_pages: int) -> dict:
     """What extraction needs of a wrapper: paths of its article containers, surest first, and template texts by path.
 
-    With no container by key, it is the innermost group that holds nine tenths of the varying text outside skipped groups.
-    ``rest`` has the texts that never vary outside of the containers, for pages that have none of these.
+    With no container by key (``named`` is false), it is the innermost group that holds nine tenths of the varying text outside
+    skipped groups. ``keep`` has the paths of weakly marked groups that are most of a container. ``rest`` has the texts that
+    never vary outside of the containers, for pages that have none of these.
     """
     found: dict[int, list[str]] = {1: [], 2: [], 3: []}
+    keep: set[str] = set()
+    layout = _layout_forms(wrapper)
+    skips = lambda g: skipped(g.key) and id(g) not in layout
+    firmly = lambda g: skipped(g.key, words=SKIP_WORDS - WEAK_WORDS) and id(g) not in layout
+
+    def most_of(g: Group, path: str, chars: int) -> None:
+        """Groups inside a container that only a weak word marks, and that hold more than half of its text."""
+        for c in g.children:
+            if c.key != "#" and not firmly(c) and 2 * (here := _slot_chars(c, firmly)) > chars:
+                p = f"{path}>{c.key}"
+                if weak(c.key) and (n_pages < 2 or _varies(c)) and here:
+                    keep.add(p)
+                most_of(c, p, chars)
 
     def look(g: Group, path: str, strict: bool) -> None:
         for c in g.children:
-            skip = skipped(c.key if strict else c.key.split(" ")[0])
+            skip = id(c) not in layout and skipped(c.key if strict else c.key.split(" ")[0])
             if c.key != "#" and not skip:
                 p = f"{path}>{c.key}"
-                if (sure := _is_main(c.key)) and not skipped(c.key) and _slot_chars(c):
+                if (sure := _is_main(c.key)) and not skipped(c.key) and (chars := _slot_chars(c, firmly)):
                     found[sure].append(p)
+                    most_of(c, p, chars)
                 look(c, p, strict)
 
     look(wrapper, "", True)
     if not found[3] and not found[2]:  # a class of what stands around an article says little, its tag does
         look(wrapper, "", False)
     mains = [sorted(set(found[k])) for k in (3, 2, 1) if found[k]]
-    if not mains:
+    named = bool(mains)
+    if not named:
         g, path = wrapper, ""
-        while inner := [c for c in g.children if c.key != "#" and not skipped(c.key) and 10 * _slot_chars(c) >= 9 * max(1, _slot_chars(g))]:
+        while inner := [c for c in g.children if c.key != "#" and not skips(c) and 10 * _slot_chars(c, skips) >= 9 * max(1, _slot_chars(g, skips))]:
             g, path = inner[0], f"{path}>{inner[0].key}"
             if g.key.split(" ")[0] not in BLOCK:
                 break
@@ -343,11 +392,11 @@ def rules(wrapper: Group, n_pages: int) -> dict:
         """Template texts of the outermost containers: ``held`` has those of the open one, and how many texts vary there."""
         for c in g.children:
             if c.key == "#":
-                if held is not None and c.text is not None and not c.optional and c.pages >= MIN_TEMPLATE_PAGES:
+                if held is not None and c.text is not None and not c.optional and c.pages > 1 and g.key.split(" ")[0] not in HEADINGS:
                     held[0].append((path, c.text))
                 elif held is not None and c.text is None:
                     held[1] += 1
-            elif not skipped(c.key) or f"{path}>{c.key}" in around:
+            elif not skips(c) or f"{path}>{c.key}" in around:
                 p = f"{path}>{c.key}"
                 if p in beside:
                     continue
@@ -363,16 +412,16 @@ def rules(wrapper: Group, n_pages: int) -> dict:
             template.update(held[0])
 
     beside: set[str] = set()
-    for paths in mains if n_pages >= MIN_TEMPLATE_PAGES else []:
+    for paths in mains if n_pages > 1 and not named else []:
         around = {p[:i] for p in paths for i in range(len(p)) if p[i] == ">"}
         if "" in paths:
             close(wrapper, "", set())
         else:
             constant(wrapper, "", set(paths), None)
     rest, around, beside = [[], 0], set(), {p for paths in mains for p in paths}
-    if n_pages >= MIN_TEMPLATE_PAGES:
+    if n_pages > 1:
         constant(wrapper, "", set(), rest)
-    return {"main": mains, "template": sorted(template), "rest": sorted(set(rest[0]))}
+    return {"main": mains, "named": named, "template": sorted(template), "keep": sorted(keep), "rest": sorted(set(rest[0]))}
 
 
 def extract(page: str, rule: dict | None) -> str:
@@ -382,27 +431,27 @@ def extract(page: str, rule: dict | None) -> str:
     host without rules, they are taken from its own tree. A host's page with no container at all is read whole, without the
     skipped groups.
     """
-    rule = rule or {"main": [], "template": [], "rest": []}
+    rule = rule or {"main": [], "template": [], "keep": [], "rest": []}
     if [""] not in rule["main"]:
-        texts = _read(page, rule["main"], rule["template"])
+        texts = _read(page, rule["main"], rule["template"], rule["keep"])
         if texts is None:
-            own = rules(tree(page), 1)["main"]
-            texts = _read(page, own, rule["rest"]) or _read(page, own, [])
+            own = rules(tree(page), 1)
+            texts = (None if own["named"] else _read(page, own["main"], rule["rest"], own["keep"])) or _read(page, own["main"], [], own["keep"])
         return "\n".join(texts or [])
     return "\n".join(_extract(page, {""}, set())[0])
 
 
-def _read(page: str, levels: list[list[str]], drop: list) -> list[str] | None:
+def _read(page: str, levels: list[list[str]], drop: list, keep: list[str]) -> list[str] | None:
     """The block texts of the surest containers that a page has, or None."""
     for mains in levels:
-        texts, seen = _extract(page, set(mains), {(p, t) for p, t in drop})
+        texts, seen = _extract(page, set(mains), {(p, t) for p, t in drop}, set(keep))
         if seen:
             return texts
     return None
 
 
-def _extract(page: str, mains: set[str], drop: set[tuple[str, str]]) -> tuple[list[str], bool]:
-    """The block texts inside the containers, and whether there was a container."""
+def _extract(page: str, mains: set[str], drop: set[tuple[str, str]], keep: set[str] = frozenset()) -> tuple[list[str], bool]:
+    """The block texts inside the containers, and whether there was a container. Groups of the paths ``keep`` are not skipped."""
     out: list[str] = []
     held: list[str] = []
     path = [""]
@@ -418,8 +467,9 @@ def _extract(page: str, mains: set[str], drop: set[tuple[str, str]]) -> tuple[li
     for kind, value, attrs in read(page):
         if kind == "open":
             key = key_of(value, attrs)
-            path.append(f"{path[-1]}>{key}" if len(path) < MAX_DEPTH else path[-1])
-            main, skip = path[-1] in mains, skipped(key)
+            own = len(path) < MAX_DEPTH
+            path.append(f"{path[-1]}>{key}" if own else path[-1])
+            main, skip = own and path[-1] in mains, skipped(key) and not (own and path[-1] in keep)
             edge = value in BLOCK or main or skip
             state.append((edge, main, off))
             if edge:

@@ -60,17 +60,17 @@ def test_edge_cases(spark):
 def test_all_pages_of_a_host_make_its_wrapper(spark):
     r = random.Random(8)
     rows, want = [], {}
-    for i in range(200):  # a rare layout of its own, with a notice that never varies; one heading is the same on most pages
+    for i in range(200):  # a rare layout of its own; one heading is the same on most pages, one line on all: both are article text
         p, head = article(r, r.randint(2, 4)), f"T{i}" if i % 9 == 0 else "Report"
         inner = f"<h1>{head}</h1><span>Read this first</span>" + "".join(f"<p>{x}</p>" for x in p)
         box = f"<div class=post>{inner}</div>" if i % 20 == 3 else f"<article>{inner}</article>"
         rows.append((i, f"http://two.example.org/{i}", f"<body><div>Brand {i}</div>{box}<div>Elsewhere {i * i}</div></body>"))
-        want[i] = "\n".join([head, *p])
+        want[i] = "\n".join([head, "Read this first", *p])
     for i in range(200, 240):  # copies are one page
         p = article(r, 3)
         page = f"<body><div>Brand</div><article><h2>Always here</h2>{''.join(f'<p>{x}</p>' for x in p)}</article></body>"
         rows += [(i + 1000 * k, f"http://copies.example.org/{i}", page) for k in range(10)]
-        want |= {i + 1000 * k: "\n".join(p) for k in range(10)}
+        want |= {i + 1000 * k: "\n".join(["Always here", *p]) for k in range(10)}
     got = run(spark, rows)
     assert {i: got[i].text for i in want} == want
 
@@ -102,11 +102,49 @@ def test_long_pages_and_pages_without_the_containers(spark):
         inner = "<span>Read this first</span>" + "".join(f"<p>{x} {x}</p>" for x in p)
         box = f"<div class=x>{inner}</div>" if i % 5 == 0 else f"<article>{inner}</article>"
         rows.append((i, "http://some.example.org", f"<body><div>Brand</div>{box}</body>"))
-        want[i] = "\n".join(f"{x} {x}" for x in p)
+        want[i] = "\n".join([*([] if i % 5 == 0 else ["Read this first"]), *[f"{x} {x}" for x in p]])
     got = run(spark, rows)
     assert {i: got[i].text for i in want} == want
 
 
+def _texts(pages):
+    rule = wrappers.rules(*wrappers.infer(pages))
+    return [wrappers.extract(p, rule) for p in pages]
+
+
+def test_the_number_of_pages_does_not_change_a_text():
+    pages = [f"<body><p>Brand</p><article><h2>Summary</h2><p>Text {i}</p></article></body>" for i in range(8)]
+    for n in (1, 2, 4, 6, 8):
+        assert _texts(pages[:n]) == [f"Summary\nText {i}" for i in range(n)]
+
+
+def test_a_form_around_the_article_is_layout():
+    r = random.Random(12)
+    pages, bare = [], []
+    for _ in range(8):
+        p = [" ".join(x) for x in (r.choices("abcdefgh", k=30), r.choices("ijklm", k=30))]
+        inner = "".join(f"<p>{x}</p>" for x in p)
+        mail = "<form><label>Mail</label><input></form>"
+        pages.append((f"<body><form id='aspnetForm'><div class=menu>Home</div><article>{inner}{mail}</article></form></body>", "\n".join(p)))
+        bare.append((f"<body><div>Brand</div><form action=x><div><div>{inner}</div></div></form></body>", "\n".join(p)))
+    for rows in (pages, bare, pages[:1], bare[:1]):
+        assert _texts([x for x, _ in rows]) == [y for _, y in rows]
+
+
+def test_a_weak_word_does_not_hide_most_of_the_article():
+    assert _texts(["<main><section class='legal'><p>Law text</p></section><p>x</p></main>"]) == ["Law text\nx"]
+    notes = [f"<main><p>Long text number {i} {'word ' * 40}</p><div class=notice>Note {i}</div></main>" for i in range(6)]
+    assert [t.count("Note") for t in _texts(notes)] == [0] * 6
+    fixed = [f"<main><div class=legal>{'All rights are reserved. ' * 9}</div><p>Text {i}</p></main>" for i in range(6)]
+    assert _texts(fixed) == [f"Text {i}" for i in range(6)]
+
+
+def test_formulas_and_depth():
+    assert _texts(["<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>"]) == ["Let x=1."]
+    deep = "<article>" + "<div>" * 250 + "<nav>Menu</nav><p>Text</p>" + "</div>" * 250 + "</article>"
+    assert _texts([deep]) == ["Text"]
+
+
 def test_longest_common_sequence():
     r = random.Random(11)
     for _ in range(500):
