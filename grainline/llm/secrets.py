@@ -2,9 +2,11 @@
 
 From a bounded sample of labelled credentials (the values the fixed patterns find, by kind) a prefix tree is built and
 its statistically compatible states are merged (Hoeffding bound on their symbol and ending frequencies), which gives one
-probabilistic automaton per kind; a like automaton is inferred from ordinary tokens with digits (numbers, addresses, short tokens). Every token of at least
-``MIN_CANDIDATE`` characters that has a letter and a digit and that no fixed pattern covers is scored: the log likelihood
-under its best credential automaton against the ordinary one. Above ``MIN_RATIO`` it is reported as kind ``format``.
+probabilistic automaton per kind; a like automaton is inferred from ordinary tokens (words, numbers, addresses). Every token
+over the alphabet of labelled credentials, of their least length or more and covered by no fixed pattern, is scored: the log
+likelihood under its best credential automaton against the ordinary one. Above ``MIN_RATIO`` it is reported as kind ``format``.
+Unlabelled credentials among the ordinary tokens would hide their own kind: those with a letter and a digit that are as likely
+a symbol, under a credential automaton, as its own examples are, are not learnt from. Every one is scored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # The patterns of the three base kinds and their least lengths (of group 2 for assign).
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -28,19 +32,16 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "format")
 
-MIN_CANDIDATE = 16
+MIN_CANDIDATE = min(LEAST.values())
 MIN_RATIO = math.log(1e4)
 MAX_EXAMPLES = 2_000  # per kind
-MAX_LENGTH = 256  # of an example
+MAX_LENGTH = 256  # symbols of an example that are learnt from; the end of a longer one is not counted
+MAX_KNOWN = 200_000  # class strings whose ratio a task remembers
 ALPHA = 0.05
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
-ORDINARY = re.compile(rb"[A-Za-z0-9+/_.=@-]{8,}")
-_MARK = {name: bytes(120 if chr(i) in chars else 32 for i in range(256)) for name, chars in (
-    ("hex", "0123456789abcdef"),
-    ("candidate", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"),
-)}
-_DIGIT = re.compile(rb"[0-9]")
-_LETTER = re.compile(rb"[A-Za-z]")
+TYPICAL = 0.05  # this share of a kind's examples may be less likely than what counts as typical of it
+TOKEN = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)
+_MIXED = re.compile(rb"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+_HEX = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 
 #: Symbol classes of the automata: digits, a-f, other lower case, upper case; any other character is its own class.
 _CLASS = bytes(
@@ -60,18 +61,21 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int, bytes]]:
             out += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(raw) if len(m[2]) >= LEAST["assign"]]
     if b"AKIA" in raw:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(raw) if len(m[0]) >= LEAST["access"]]
-    if b"x" * LEAST["hex"] in raw.translate(_MARK["hex"]):
+    if b"x" * LEAST["hex"] in raw.translate(_HEX):
         out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(raw) if len(m[0]) >= LEAST["hex"]]
     return sorted(out)
 
 
-def _free(m: re.Match, spans: list[tuple[int, int, int, bytes]]) -> bool:
-    return not any(a < m.end() and m.start() < b for a, _, b, _ in spans)
-
-
-def _scored(token: bytes) -> bool:
-    """Whether a token is one that formats are looked for in; the ordinary tokens to learn from are the others."""
-    return bool(CANDIDATE.fullmatch(token) and _DIGIT.search(token) and _LETTER.search(token))
+def candidates(raw: bytes, spans: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Start and end of the tokens that touch none of the sorted spans, in one pass over both."""
+    at, far = 0, 0  # spans before ``at`` start before the token's end; ``far`` is the greatest end of those
+    for m in TOKEN.finditer(raw):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            far = max(far, spans[at][2])
+            at += 1
+        if far <= a:
+            yield a, b
 
 
 class Automaton:
@@ -82,17 +86,19 @@ class Automaton:
         self.count: list[dict[int, int]] = [defaultdict(int)]
         for e in examples:
             s = 0
-            for c in e.translate(_CLASS):
+            for c in e[:MAX_LENGTH].translate(_CLASS):
                 self.count[s][c] += 1
                 if c not in self.next[s]:
                     self.next[s][c] = len(self.next)
                     self.next.append({})
                     self.count.append(defaultdict(int))
                 s = self.next[s][c]
-            self.count[s][END] += 1
+            if len(e) <= MAX_LENGTH:
+                self.count[s][END] += 1
         self.alpha = alpha
         self._merge_states()
         self.total = [sum(c.values()) for c in self.count]
+        self.count = [dict(c) for c in self.count]
 
     def _differ(self, a: int, b: int) -> bool:
         """Whether the Hoeffding bound tells the next-symbol frequencies of two states apart."""
@@ -156,7 +162,19 @@ class Formats:
 
     def __init__(self, credentials: dict[str, list[bytes]], ordinary: list[bytes]):
         self.kinds = {k: Automaton(v) for k, v in sorted(credentials.items()) if v}
-        self.ordinary = Automaton(ordinary)
+        floors = {k: self._floor(a, credentials[k]) for k, a in self.kinds.items()}
+        typical = lambda t: any(self._per_symbol(a, t) >= floors[k] for k, a in self.kinds.items())
+        self.ordinary = Automaton([t for t in ordinary if not (_MIXED.match(t) and typical(t))])
+        self.known: dict[bytes, bool] = {}  # by class string, which decides the ratio
+
+    @staticmethod
+    def _per_symbol(a: Automaton, token: bytes) -> float:
+        return a.log_likelihood(token[:MAX_LENGTH]) / (min(len(token), MAX_LENGTH) + 1)
+
+    @classmethod
+    def _floor(cls, a: Automaton, examples: list[bytes]) -> float:
+        each = sorted(cls._per_symbol(a, e) for e in examples)
+        return each[int(TYPICAL * len(each))]
 
     def ratio(self, token: bytes) -> float:
         """Log of how much likelier the token is as its best credential format than as an ordinary token."""
@@ -165,42 +183,60 @@ class Formats:
         return max(a.log_likelihood(token) for a in self.kinds.values()) - self.ordinary.log_likelihood(token)
 
     def spans(self, raw: bytes, base: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
-        if not self.kinds or b"x" * MIN_CANDIDATE not in raw.translate(_MARK["candidate"]):
+        if not self.kinds:
             return []
-        found = (m for m in CANDIDATE.finditer(raw) if _scored(m[0]))
-        return [(m.start(), 3, m.end(), m[0]) for m in found if _free(m, base) and self.ratio(m[0]) >= MIN_RATIO]
+        out, known, classes = [], self.known, raw.translate(_CLASS)
+        for a, b in candidates(raw, base):
+            shape = classes[a:b]
+            hit = known.get(shape)
+            if hit is None:
+                hit = self.ratio(raw[a:b]) >= MIN_RATIO
+                if len(known) >= MAX_KNOWN:
+                    known.clear()
+                if len(shape) <= MAX_LENGTH:
+                    known[shape] = hit
+            if hit:
+                out.append((a, 3, b, raw[a:b]))
+        return out
 
 
 def examples(documents: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[dict[str, list[bytes]], list[bytes]]:
-    """Distinct credentials by kind and ordinary tokens with a digit: of each the ``max_examples`` of lowest hash, from
-    all documents. Each batch sends no more than that, so the driver gets a bounded list."""
+    """Distinct credentials by kind and ordinary tokens: of each the ``max_examples`` of lowest hash, from all documents in
+    one scan. Each task sends no more than that, so the driver gets a bounded list. Longer examples than ``MAX_LENGTH`` keep
+    one symbol more, which tells that their end is unknown."""
+    cut = MAX_LENGTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[bytes, int]] = defaultdict(dict)
+        highest: dict[str, int] = defaultdict(lambda: 1 << 32)  # no hash above it can be among the lowest
 
         def trim(most: int) -> None:
             for k, v in held.items():
                 if len(v) > most:
                     held[k] = dict(sorted(v.items(), key=lambda x: (x[1], x[0]))[:max_examples])
+                    highest[k] = max(held[k].values())
 
         for b in batches:
             for t in b.column("text").cast(pa.binary()):
                 raw = t.as_py()
-                if raw is None or not _DIGIT.search(raw) and b"AKIA" not in raw and b"=" not in raw and b":" not in raw:
+                if not raw:
                     continue
                 spans = base_spans(raw)
                 for _, k, _, v in spans:
-                    held[KINDS[k]][v[:MAX_LENGTH]] = zlib.crc32(v)
-                if _DIGIT.search(raw):
-                    for m in ORDINARY.finditer(raw):
-                        if _DIGIT.search(m[0]) and not _scored(m[0]) and _free(m, spans):
-                            held["ordinary"][m[0][:MAX_LENGTH]] = zlib.crc32(m[0])
+                    v = v[:cut]
+                    held[KINDS[k]][v] = zlib.crc32(v)
+                ordinary = held["ordinary"]
+                for start, end in candidates(raw, spans):
+                    v = raw[start : min(end, start + cut)]
+                    if v not in ordinary and (h := zlib.crc32(v)) <= highest["ordinary"]:
+                        ordinary[v] = h
                 trim(4 * max_examples)
         trim(max_examples)
         rows = [(k, v, h) for k, x in held.items() for v, h in x.items()]
         yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.binary()), "h": pa.array([r[2] for r in rows], pa.int64())})
 
     found = documents.select("text").mapInArrow(run, "kind string, value binary, h long").distinct()
+    found = Scratch(documents.sparkSession, "secrets").keep(found, "examples")
     out = {}
     for kind in ("assign", "access", "hex", "ordinary"):
         rows = found.where(F.col("kind") == kind).orderBy("h", "value").limit(max_examples)

@@ -53,6 +53,34 @@ def test_learned_formats(spark):
     assert all(got[d].n_format == 0 for d, _ in rows)
 
 
+def test_every_token_of_the_least_length_is_scored(spark):
+    r = random.Random(9)
+    rows = sample(r, 400)
+    rows += [(500 + i, f"token={''.join(r.choices('ABCDEFGH', k=3))}.{''.join(r.choices('0123456789', k=6))}") for i in range(200)]
+    words = ["".join(r.choices("aeioulnrst", k=r.randint(8, 14))) for _ in range(300)]
+    rows += [(800 + i, " ".join(r.sample(words, 20))) for i in range(60)]
+    planted = [(1000 + i, f"see {''.join(r.choices('ABCDEFGH', k=3))}.{''.join(r.choices('0123456789', k=6))} there") for i in range(20)]
+    got = {x.doc_id: x for x in secrets.find_secrets(spark, documents(spark, [*rows, *planted])).collect()}
+    assert sum(got[d].n_format for d, _ in planted) >= 18 and got[1000].spans == "format:4:14"  # ten characters with a dot
+    assert sum(got[800 + i].n_format for i in range(60)) == 0
+
+
+def test_candidates_touch_no_span():
+    r = random.Random(10)
+    for _ in range(300):
+        raw = "".join(r.choices(["abcdefgh1", " ", "token=", "AKIA" + "B" * 14, "f" * 33, "xyz", "12345678"], k=30)).encode()
+        spans = secrets.base_spans(raw)
+        want = [m.span() for m in secrets.TOKEN.finditer(raw) if not any(a < m.end() and m.start() < b for a, _, b, _ in spans)]
+        assert list(secrets.candidates(raw, spans)) == want
+
+
+def test_the_end_of_a_long_example_is_not_counted():
+    long = secrets.Automaton([b"a" * (secrets.MAX_LENGTH + 1)] * 50)
+    assert all(secrets.END not in c for c in long.count)
+    short = secrets.Automaton([b"a" * secrets.MAX_LENGTH] * 50)
+    assert any(secrets.END in c for c in short.count)
+
+
 def test_automaton_merges_states():
     r = random.Random(1)
     a = secrets.Automaton(["".join(r.choices("0123456789abcdef", k=20)).encode() for _ in range(500)])
