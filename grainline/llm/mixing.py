@@ -4,7 +4,8 @@ A source's target is a share of all words. Its ratio to the source's own size sa
 expected: the whole part is allocated for certain, the rest is the document's inclusion probability ``p``. Documents are
 ranked by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and the smallest are taken until the words
 the whole copies leave open are filled: a sample of fixed size in words, exact to half a document. ``u`` comes from a
-digest of the document id, so reruns and retried tasks agree.
+digest of the document's id and text, so reruns and retried tasks agree, and different texts of one id (or of none) are
+drawn apart and lie in different cells.
 
 No source is sorted in one task: the logarithm of the ranking value is cut into 4,096 cells three times over; each time
 only sums per cell are shuffled, the cell where the target is reached is cut again, and only the documents of the last
@@ -95,10 +96,12 @@ def allocate(
     """
     scratch = Scratch(spark, "mix")
     extra = F.lit(1.0) if weight is None else weight.cast("double")
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce("text", F.lit("")))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     units = (
-        documents.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size"), extra.alias("weight"))
+        documents.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size"), extra.alias("weight"), u.alias("u"))
         .groupBy("doc_id", "source", "h", "size")
-        .agg(F.count("*").alias("m"), F.max("weight").alias("weight"))
+        .agg(F.count("*").alias("m"), F.max("weight").alias("weight"), F.max("u").alias("u"))
         .withColumn("words", F.col("m") * F.col("size"))
     )
     units = scratch.keep(units, "units")
@@ -110,13 +113,11 @@ def allocate(
         c = _expected(scratch, units, goal.select("source", "target"), max_copies, n_bytes)
         factor = goal.join(c.select(F.col("source").alias("s"), "c"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("u.doc_id").cast("string"), F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     e = F.least(F.lit(float(max_copies)), F.col("g.c") * F.col("u.weight"))
     ranked = (
         units.alias("u")
         .join(broadcast_below(factor, n_bytes).alias("g"), F.col("u.source").eqNullSafe(F.col("g.source")))
-        .select("u.doc_id", "u.source", "h", "size", "m", "words", "source_size", "target", F.floor(e).cast("long").alias("whole"), (e - F.floor(e)).alias("p"), u.alias("u"))
+        .select("u.doc_id", "u.source", "h", "size", "m", "words", "source_size", "target", F.floor(e).cast("long").alias("whole"), (e - F.floor(e)).alias("p"), F.col("u.u").alias("u"))
         .withColumn("q", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
         .withColumn("cell", F.floor((F.log("q") + 128) * F.lit(float(1 << 28))).cast("long"))
     )
@@ -170,7 +171,7 @@ def apply_mix(spark: SparkSession, documents: DataFrame, **kw) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE)[1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS w FROM s),
 l AS (SELECT *, row_number() OVER o AS k, sum(source_size) OVER () AS total,
@@ -181,7 +182,7 @@ x AS (SELECT *, {SHARE}::DOUBLE * total - 2.0::DOUBLE * below AS open FROM l),
 f AS (SELECT k, open, w_rest FROM x WHERE 2.0::DOUBLE * source_size >= w * open / w_rest ORDER BY k LIMIT 1),
 t AS (SELECT x.source, x.source_size, CASE WHEN x.k < f.k THEN 2.0::DOUBLE * x.source_size ELSE x.w * f.open / f.w_rest END AS target FROM x, f),
 e AS (SELECT d.*, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS c,
-             (CAST('0x' || substr(md5('{SEED}' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+             (CAST('0x' || substr(digest, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, floor(c) AS whole, c - floor(c) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM p),

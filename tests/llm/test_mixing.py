@@ -61,6 +61,18 @@ def test_weights_make_unequal_copies(spark):
         assert abs(sum(x.taken for x in mine) - mine[0].target) <= 14
 
 
+def test_rows_of_one_id_are_drawn_apart(spark):
+    r = random.Random(4)
+    rows = [(None if i % 2 else 7, " ".join(r.choices("abcdefgh", k=20)), "a" if i % 3 else "b") for i in range(900)]
+    got = mixing.mix(spark, documents(spark, rows)).collect()
+    for target in {x.target for x in got}:
+        mine = [x for x in got if x.target == target]
+        assert abs(sum(x.taken for x in mine) - target) <= 20
+        for some in ([x for x in mine if x.doc_id is None], [x for x in mine if x.doc_id == 7]):
+            share = sum(x.copies for x in some) / len(some)  # both ids near the share of all, none as a block
+            assert abs(share - target / mine[0].source_size) < 0.15
+
+
 def test_edge_cases(spark):
     rows = [(1, None, None), (2, "", "a"), (None, "x y", "a"), (3, "x y", "a"), (3, "x y", "a"), (3, "z", "b"), (4, "w " * 5000, "b")]
     got = mixing.mix(spark, documents(spark, rows)).collect()
