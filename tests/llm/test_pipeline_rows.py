@@ -15,6 +15,7 @@ from test_mixing import reshare
 from test_simhash import groups, plain_fingerprint
 
 from grainline.llm import tokens
+from grainline.session import ensure_checkpoint_dir
 
 ITEM = "a needle of exactly ten words that must be found"
 TOXIC = "vile scum filthy trash hateful rot"
@@ -51,6 +52,7 @@ def plain(rows):
 
 
 def test_every_stage_keeps_the_right_rows(spark, tmp_path):
+    ensure_checkpoint_dir(spark)
     rows, labels = fixture()
     sf = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{sf}/documents.parquet")
@@ -59,24 +61,24 @@ def test_every_stage_keeps_the_right_rows(spark, tmp_path):
     stage = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
 
-    docs = stage["toxicity"](spark, docs, sf).localCheckpoint()
+    docs = stage["toxicity"](spark, docs, sf).checkpoint()
     clean = [x for x in rows if TOXIC not in x[1]]
     assert plain(docs) == sorted(clean, key=str)
 
-    docs = stage["simhash"](spark, docs, sf).localCheckpoint()
+    docs = stage["simhash"](spark, docs, sf).checkpoint()
     members, order = one_of_each(clean)
     got = plain(docs)
     assert len(got) == len(members)
     assert sorted((x[:2] for x in got), key=str) == sorted((min(m, key=order)[:2] for m in members), key=str)
     assert set(got) <= set(clean)  # rows that differ in the source only: one of them
 
-    docs = stage["decontamination"](spark, docs, sf).localCheckpoint()
+    docs = stage["decontamination"](spark, docs, sf).checkpoint()
     hit = [x for x in got if brute([x[:2]], [(1, ITEM)])[0][-1]]
     assert len(hit) == 3
     got = sorted((x for x in got if x not in hit), key=str)
     assert plain(docs) == got
 
-    docs = stage["mix"](spark, docs, sf).localCheckpoint()
+    docs = stage["mix"](spark, docs, sf).checkpoint()
     sizes: dict = {}
     for _, t, s in got:
         sizes[s] = sizes.get(s, 0) + len(t.split())
