@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,11 +41,13 @@ class Encoder(dict):
     The library's byte-level pattern never joins characters over a space that a non-space follows, so a text may be cut
     there and the words encoded alone. Texts that hold a special token's string are encoded whole. Of a word made of Latin
     letters and ASCII marks after them, maybe over one line end, the pattern keeps each run of letters and of marks whole,
-    so the runs go to the vocabulary's merges at once; other words go through the whole encoder.
+    so the runs go to the vocabulary's merges at once; other words go through the whole encoder. A single line end between
+    two characters that are no white space is a piece of its own, so a text whose spaces and line ends all stand alone is
+    cut at both, and the words around a line end are not met as one.
 
     As a dict it holds the ids of the words met lately, and finds those of others on demand. They are kept in two
     generations: a full one becomes the old one, and words met again come back from there. A key is the word without the
-    space before it; the first word of a text, which has none, has a space before its key.
+    space before it; the first word of a text, which has none, has a space before its key, one after a line end that line end.
     """
 
     def __init__(self, path: str):
@@ -55,6 +58,7 @@ class Encoder(dict):
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.space = re.compile(r" (?:\s|$)")
+        self.odd = re.compile(r"[ \n](?:\s|$)|\s\n")  # two white spaces of which one is a space or line end, or one at the end
         self.cut = re.compile(r" (?=\S)")
         letters, marks = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-/:-@\[-`{-~]*"
         self.runs = re.compile(rf"({letters})({marks})(?:\n({letters})({marks}))?").fullmatch
@@ -81,20 +85,25 @@ class Encoder(dict):
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
         if ids is None:
-            m = self.runs(key)
-            if key[:1] == " ":
-                ids = self._whole(key[1:])
-            elif m is None:
-                ids = self._whole(" " + key)
+            bare = key[:1] in (" ", "\n")  # no space before the word
+            word = key[1:] if bare else key
+            m = self.runs(word)
+            if m is None:
+                ids = self._whole(word if bare else " " + word)
             else:
                 head, mark, tail, last = m.groups()
-                ids = self.get(head) if mark or tail else None  # the word without its marks may be known
+                if bare:
+                    ids = self._run(head)
+                else:
+                    ids = self.get(head) if mark or tail else None  # the word without its marks may be known
                 if ids is None:  # printable ASCII stands for itself, U+0120 for the space
                     ids = b"".join([self.bytes_of[t.id] for t in self.merge("\u0120" + head)]) if head.isascii() else self._run(" " + head)
                 if mark:
                     ids += self._marks(mark)
                 if tail is not None:
                     ids += self.line_end + self._run(tail) + self._marks(last)
+            if key[:1] == "\n":
+                ids = self.line_end + ids
         self[key] = ids
         return ids
 
@@ -102,13 +111,55 @@ class Encoder(dict):
         """The ids of a text as little-endian unsigned 32-bit integers, without an end id."""
         if any(s in text for s in self.special):
             return self._whole(text)
-        keys = self.cut.split(text) if self.space.search(text) else text.split(" ")
+        if self._plain(text):
+            keys = text.replace("\n", " \n").split(" ")
+        else:
+            keys = self.cut.split(text) if self.space.search(text) else text.split(" ")
         keys[0] = " " + keys[0]
         out = b"".join(map(self.__getitem__, keys))
+        self._age()
+        return out
+
+    def _age(self) -> None:
         if len(self) > CACHE_ENTRIES:
             self.old = dict(self)
             self.clear()
-        return out
+
+    def _plain(self, text: str) -> bool:
+        """Whether all spaces and line ends of a text stand alone between other characters."""
+        flat = text.replace("\n", " ")
+        if flat.isprintable():  # so it has no other white space
+            return "  " not in flat and flat[-1:] != " "
+        return not self.odd.search(text)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, an end id after each, end to end, and their number per text.
+
+        The words after the first of all texts that may be cut are split and numbered as one Arrow array, so each distinct one
+        is looked up once.
+        """
+        first, rests, counts = [], [], []
+        for text in texts:
+            rest = None
+            if not self._plain(text) or any(s in text for s in self.special):
+                first.append(self.encode(text))
+            else:
+                word, _, rest = text.replace("\n", " \n").partition(" ")
+                first.append(self[" " + word])
+            counts.append(rest.count(" ") + 1 if rest else 0)
+            if rest:
+                rests.append(rest)
+        words = pc.split_pattern(pa.array([" ".join(rests)][: len(rests)], pa.large_string()), " ").flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.__getitem__, distinct), *first, END_ID.to_bytes(4, "little")]
+        self._age()
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(ids), dtype="<i4"))
+        n, ends = len(texts), np.cumsum(counts)
+        around = np.stack([np.arange(len(ids) - 1 - n, len(ids) - 1), np.full(n, len(ids) - 1)], axis=1).ravel()
+        order = np.insert(words.indices.to_numpy(), np.stack([ends - counts, ends], axis=1).ravel(), around)
+        total = np.cumsum(sizes[order])[np.cumsum(np.array(counts) + 2) - 1]
+        return lists.take(pa.array(order)).flatten().to_numpy(), np.diff(total, prepend=0)
 
 
 def byte_of_character() -> dict[str, int]:
@@ -130,13 +181,11 @@ def encoder(path: str) -> Encoder:
 
 def _encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc, shard, at = encoder(path), TaskContext.get().partitionId(), 0
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
-    def flush(doc_ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+    def flush(doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         nonlocal at
-        n = np.array([len(t) // 4 for t in texts], dtype=np.int64)
+        values, n = enc.encode_all(texts)
         offsets = np.concatenate([[0], np.cumsum(n)])
-        values = np.frombuffer(b"".join(texts), dtype="<i4")
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
         out = [doc_ids, pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(n), lists]
         at += int(offsets[-1])
@@ -149,7 +198,7 @@ def _encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[
             while first + len(texts) < b.num_rows and held < CHARACTERS_AT_ONCE:
                 texts.append(b.column("text")[first + len(texts)].as_py() or "")
                 held += len(texts[-1])
-            yield flush(b.column("doc_id").slice(first, len(texts)), [enc.encode(t) + end for t in texts])
+            yield flush(b.column("doc_id").slice(first, len(texts)), texts)
             first += len(texts)
 
 

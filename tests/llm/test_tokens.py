@@ -105,3 +105,15 @@ def test_words_of_runs(spark):
     for w in words:
         for text in (w, f"a {w}", f"a {w} {w}.", f"{w}\n{w}"):
             assert enc.encode(text) == enc._whole(text), text
+
+
+def test_encode_all_looks_each_distinct_word_up_once():
+    enc = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
+    special = enc.special[0]
+    texts = ["", " ", "a\nb", "Ab, cd.\nEf cd.\ncd.", "a\n\nb  c", "\nx", "x\n", "a\tb 　c", f"p {special} q", "it's 12 été\x00 \x85", "the " * 50 + "end"]
+    met = []
+    get, enc.__class__ = enc.__class__.__getitem__, type("Counting", (tokens.Encoder,), {"__getitem__": lambda self, k: met.append(k) or get(self, k)})
+    ids, n = enc.encode_all(texts)
+    want = [[*e.ids, tokens.END_ID] for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    assert met.count("the") == 1
