@@ -31,7 +31,8 @@ from .common import Scratch
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 SCALE = float(1 << 32)  # log probabilities travel as whole multiples of its inverse, which shuffle small
-STEP = 1 << 20  # positions handled at once
+STEP = 1 << 20  # positions whose grams are counted at once
+SCORED = 1 << 18  # positions scored at once; sums of whole multiples of 1 / SCALE do not depend on it
 START, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 _CLEAN = bytes.maketrans(b"\xfe\xff", b"??")
 BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<long>, texts binary"
@@ -93,15 +94,15 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.split(b" "), b""] if text else [b""]
 
 
-def _runs(texts: Iterable[tuple[int, bytes]], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, owner) of about ``STEP`` positions at a time, of numbered texts."""
+def _runs(texts: Iterable[tuple[int, bytes]], order: int, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, owner) of about ``step`` positions at a time, of numbered texts."""
     pad, buf, owners, size = bytes([START]) * order, [], [], 0
 
     def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         b = np.frombuffer(b"".join(buf), dtype=np.uint8)
         own = np.repeat(np.array(owners, dtype=np.int32), [len(x) for x in buf])
-        for at in range(0, len(b) - order, STEP):
-            part = b[at : at + STEP + order]
+        for at in range(0, len(b) - order, step):
+            part = b[at : at + step + order]
             g = np.zeros(len(part) - order, dtype=np.uint64)
             for i in range(order + 1):
                 g |= part[order - i : len(part) - i].astype(np.uint64) << np.uint64(8 * i)
@@ -112,7 +113,7 @@ def _runs(texts: Iterable[tuple[int, bytes]], order: int) -> Iterator[tuple[np.n
         buf.append(pad + t.translate(_CLEAN) + bytes([END]))
         owners.append(k)
         size += len(buf[-1])
-        if size >= STEP:
+        if size >= step:
             yield from grams()
             buf, owners, size = [], [], 0
     if buf:
@@ -122,8 +123,13 @@ def _runs(texts: Iterable[tuple[int, bytes]], order: int) -> Iterator[tuple[np.n
 def _merge(u: np.ndarray, n: np.ndarray, g: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
     """Add the grams ``g`` to the sorted distinct ``u`` with counts ``n``."""
     v, m = np.unique(g, return_counts=True)
-    both, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    return both, np.bincount(at, weights=np.concatenate([n, m * weight]), minlength=len(both)).astype(np.int64)
+    at = np.searchsorted(u, v)
+    known = np.zeros(len(v), dtype=bool)
+    inside = at < len(u)
+    known[inside] = u[at[inside]] == v[inside]
+    n = n.copy()
+    n[at[known]] += m[known] * weight
+    return np.insert(u, at[~known], v[~known]), np.insert(n, at[~known], m[~known] * weight)
 
 
 def dictionaries(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[pa.RecordBatch]:
@@ -244,8 +250,10 @@ def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDE
     ids, held, sizes = (t.column(c)[0].as_py() for c in ("ids", "held", "sizes"))
     blob = t.column("texts")[0].as_buffer()
     keys, value = values.column("key").to_numpy(), values.column("value").to_numpy()
-    value = Lookup(keys.view(np.uint64), np.where(keys >= WORD, np.log10(value + 1.0) - log_all, value / -SCALE))
-    del keys, values
+    logs, word = value / -SCALE, keys >= WORD
+    logs[word] = np.log10(value[word] + 1.0) - log_all
+    value = Lookup(keys.view(np.uint64), logs)
+    del keys, values, logs, word
     k = len(ids)
     vocabulary: dict[bytes, int] = {}
     tokens: list[np.ndarray] = []
@@ -256,7 +264,7 @@ def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDE
             yield i, text
 
     score = np.zeros(k)
-    for g, own in _runs(numbered(), order):
+    for g, own in _runs(numbered(), order, SCORED):
         score += np.bincount(own, weights=value(g), minlength=k)
     of_word = value(np.array([word_key(w) for w in vocabulary], dtype=np.uint64))
     known = of_word > 0.15 - log_all  # an unknown word has log10(1), a known one log10(2) at least

@@ -90,3 +90,25 @@ def test_edge_cases(spark):
     assert lm.score_documents(spark, documents(spark, [])).collect() == []
     (r,) = lm.score_documents(spark, documents(spark, [(held[0], "ab")])).collect()
     assert r.base_score == 0 and math.isclose(r.score, 3 * math.log10(1 / 256)) and (r.n_known, r.train_tokens) == (0, 0)
+
+
+def test_merged_grams_and_a_block_take_little_beside_them():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    want: dict[int, int] = {}
+    for weight in (1, 0, 1, 1, 0):
+        g = r.integers(0, 60, 40).astype(np.uint64)
+        u, n = lm._merge(u, n, g, weight)
+        for x in g.tolist():
+            want[x] = want.get(x, 0) + weight
+    assert dict(zip(u.tolist(), n.tolist(), strict=True)) == want and u.tolist() == sorted(want)
+
+    u, n = np.arange(1 << 20, dtype=np.uint64), np.ones(1 << 20, dtype=np.int64)
+    g = np.arange(10, dtype=np.uint64)
+    tracemalloc.start()
+    lm._merge(u, n, g, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * u.nbytes  # the new arrays, a copy of the counts and a mask; a sort of both takes eight times it
