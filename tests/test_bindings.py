@@ -32,3 +32,15 @@ def test_orders_in_equals_the_filter(spark):
         assert b.orders_in(r).exceptAll(b.orders.where(in_range("order_date", r))).isEmpty()
         assert b.orders_in(r).count() == b.orders.where(in_range("order_date", r)).count()
     assert b.orders_in("1997-08").isEmpty() and not b.orders_in("1997-09").isEmpty()
+
+
+def test_components_of_sold_products_come_from_one_sort(spark, tmp_path):
+    from grainline.sources.bindings import Shop
+
+    rows = [(1, 5), (1, 5), (1, None), (1, None), (2, 6), (2, 7), (None, 5), (3, 8)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sold = spark.createDataFrame([(1,), (2,), (2,), (None,)], "sku long")
+    got = Shop(spark, str(tmp_path)).supplies_of(sold)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Window" in plan
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 5, 7), (1, None, None), (2, 6, 9), (2, 7, 3)], key=str)
