@@ -77,17 +77,22 @@ def postings(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
         return np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), none, none, length
     key = np.array([term_key(w) for w in vocab], dtype=np.int64)
     by_key, place = np.unique(key, return_inverse=True)
-    term, doc, tf = place[np.concatenate(terms)], np.concatenate(docs), np.concatenate(tfs)
-    order = np.lexsort((doc, term))
+    term = place.astype(np.int32)[np.concatenate(terms)]
+    del vocab, terms, key, place
     start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(by_key)))])
-    return by_key, start, doc[order], tf[order], length
+    order = np.argsort(term, kind="stable")  # documents are in order already
+    return by_key, start, np.concatenate(docs)[order], np.concatenate(tfs)[order], length
 
 
 def alike(texts: list[bytes | None]) -> np.ndarray:
     """An order of texts in which neighbours share their most frequent word and their length, for tight block maxima."""
-    words = [terms_of(t) for t in texts]
-    most = [max(Counter(w).items(), key=lambda x: (x[1], x[0]))[0] if w else b"" for w in words]
-    return np.array(sorted(range(len(texts)), key=lambda i: (most[i], len(words[i]), i)), dtype=np.int64)
+
+    def kind(text: bytes | None) -> tuple[bytes, int]:
+        words = terms_of(text)
+        return max(Counter(words).items(), key=lambda x: (x[1], x[0]))[0] if words else b"", len(words)
+
+    kinds = [kind(t) for t in texts]  # no text's words are kept
+    return np.array(sorted(range(len(texts)), key=lambda i: (*kinds[i], i)), dtype=np.int64)
 
 
 class Shard:
@@ -96,21 +101,29 @@ class Shard:
     def __init__(self, blob: bytes, mean: float):
         a = unpack(blob)
         self.ids, self.keys, self.start, self.doc, length = a["ids"], a["keys"], a["start"], a["doc"], a["length"]
-        tf = a["tf"].astype(np.float64)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1e-9)))
+        tf = a.pop("tf").astype(np.float64)
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
+        self.weight = tf * (K1 + 1)
+        tf += norm[self.doc]
+        self.weight /= tf
+        del a, tf
         self.n_docs = len(length)
         self.n_blocks = 1 + (max(len(length), 1) - 1) // BLOCK
         n = np.diff(self.start)
         self.dense = np.flatnonzero(n * DENSE >= max(self.n_docs, 1))  # at most DENSE times as many numbers as postings
         self.column = np.full(len(self.keys), -1, dtype=np.int64)
         self.column[self.dense] = np.arange(len(self.dense))
-        term = np.repeat(np.arange(len(self.keys)), n)
-        held = self.column[term] >= 0
         self.matrix = np.zeros((self.n_docs, len(self.dense)))
-        self.matrix[self.doc[held], self.column[term[held]]] = self.weight[held]
-        # the other lists, by term and block
-        self.doc, self.weight, term = self.doc[~held].astype(np.int64), self.weight[~held], term[~held]
-        cell, first = np.unique(term * self.n_blocks + self.doc // BLOCK, return_index=True)
+        for j, (lo, hi) in enumerate(zip(self.start[self.dense], self.start[self.dense + 1], strict=True)):
+            self.matrix[self.doc[lo:hi], j] = self.weight[lo:hi]
+        # the other lists, by term and block; they are in order of term and document already
+        rest = np.repeat(self.column < 0, n)
+        self.doc, self.weight = self.doc[rest], self.weight[rest]
+        cell = np.repeat(np.flatnonzero(self.column < 0), n[self.column < 0])
+        cell *= self.n_blocks
+        cell += self.doc // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        cell = cell[first]
         self.cell_block = (cell % self.n_blocks).astype(np.int32)
         self.cell_first = np.append(first, len(self.doc))
         self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
@@ -191,8 +204,8 @@ def best_of(doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.
 def _index_of(ids: list[int], texts: list[bytes | None]) -> pa.RecordBatch:
     order = alike(texts)
     keys, start, doc, tf, length = postings([texts[i] for i in order])
-    small = np.uint16 if len(ids) < 1 << 16 else np.int32
-    blob = pack(ids=np.array(ids, dtype=np.int64)[order], keys=keys, start=start, doc=doc.astype(small), tf=tf, length=length)
+    small, few = (np.uint16 if x < 1 << 16 else np.int32 for x in (len(ids), tf.max(initial=0)))
+    blob = pack(ids=np.array(ids, dtype=np.int64)[order], keys=keys, start=start, doc=doc.astype(small), tf=tf.astype(few), length=length)
     return pa.RecordBatch.from_arrays(
         [pa.array([len(ids)], pa.int64()), pa.array([int(length.sum())], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([np.diff(start)], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
         ["n_docs", "n_words", "keys", "dfs", "blob"],
@@ -232,6 +245,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "query_id long, key long, qtf long")
 
 
+def search_shards(batches: Iterator[pa.RecordBatch], queries: tuple[np.ndarray, np.ndarray, np.ndarray], mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of a task's shards for every query; ``queries`` are (query, term key, gain), sorted."""
+    q, key, gain = queries
+    ids, first = np.unique(q, return_index=True)
+    first = np.append(first, len(q))
+    each = [(key[i:j], gain[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+    best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in ids]
+    for b in batches:
+        for blob in b.column("blob"):
+            shard = Shard(blob.as_py(), mean)
+            # a k-th best score bounds the final one from below
+            found = shard.search(each, k, [score[-1] * (1 - 1e-12) if len(score) == k else 0.0 for _, score in best])
+            best = [best_of(np.concatenate([d, x]), np.concatenate([s, y]), k) if len(x) else (d, s) for (d, s), (x, y) in zip(best, found, strict=True)]
+            del shard  # before the next one is read
+    if len(ids):
+        n = [len(d) for d, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for d, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "doc_id", "score"])
+
+
 def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, doc_id, score: the ``k`` best documents of every query by BM25 (k1 1.2, b 0.75), ties by doc_id.
 
@@ -259,25 +291,8 @@ def search(spark: SparkSession, documents: DataFrame, queries: DataFrame, k: int
         q, key, gain = (rows.column(c).to_numpy() for c in ("query_id", "key", "gain"))
         order = np.lexsort((key, q))
         sent = spark.sparkContext.broadcast((q[order], key[order], gain[order]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, key, gain = sent.value
-            ids, first = np.unique(q, return_index=True)
-            first = np.append(first, len(q))
-            each = [(key[i:j], gain[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
-            best = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in ids]
-            for b in batches:
-                for blob in b.column("blob"):
-                    shard = Shard(blob.as_py(), mean)
-                    # a k-th best score bounds the final one from below
-                    found = shard.search(each, k, [score[-1] * (1 - 1e-12) if len(score) == k else 0.0 for _, score in best])
-                    best = [best_of(np.concatenate([d, x]), np.concatenate([s, y]), k) if len(x) else (d, s) for (d, s), (x, y) in zip(best, found, strict=True)]
-            if len(ids):
-                n = [len(d) for d, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for d, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "doc_id", "score"])
-
         # a task reads the shards that one task of the build wrote, and carries its thresholds from one to the next
-        hits = index.select("blob").mapInArrow(run, "query_id long, doc_id long, score double")
+        hits = index.select("blob").mapInArrow(lambda it, sent=sent: search_shards(it, sent.value, mean, k), "query_id long, doc_id long, score double")
         top = scratch.keep(hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= k), "top")
         sent.unpersist()
         best = top if best is None else best.unionAll(top)

@@ -82,3 +82,39 @@ def test_thresholds_prune_and_lose_nothing(monkeypatch):
         for share in (0.0, 0.9, 1 - 1e-12):
             for (got, found), (ids, score) in zip(shard.search(queries, 5, [s[-1] * share for _, s in want]), want, strict=True):
                 assert np.allclose(found, score) and (np.isclose(score[:-1], score[1:]).any() or got.tolist() == ids.tolist())
+
+
+def test_order_of_texts_keeps_no_words(monkeypatch):
+    """The words of all texts at once take about ten times their bytes."""
+    import tracemalloc
+
+    texts = [" ".join(f"{i}a{j % 50}" for j in range(2000)).encode() for i in range(100)]
+    tracemalloc.start()
+    order = bm25.alike(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order.tolist()) == list(range(100))
+    assert peak < sum(map(len, texts)) / 2
+
+
+def test_one_shard_at_a_time(spark, monkeypatch):
+    """A task frees a shard before it reads the next one."""
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    alive, kinds = [], []
+    init = bm25.Shard.__init__
+
+    def watched(self, blob, mean):
+        kinds.append(sum(r() is not None for r in alive))
+        init(self, blob, mean)
+        alive.append(weakref.ref(self))
+
+    monkeypatch.setattr(bm25.Shard, "__init__", watched)
+    blobs = [bm25._index_of([i], [b"alpha beta"]).column("blob")[0].as_py() for i in range(3)]
+    keys, _, _, _, _ = bm25.postings([b"alpha"])
+    batch = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["blob"])
+    (found,) = bm25.search_shards(iter([batch]), (np.full(1, 100), keys, np.ones(1)), 2.0, 2)
+    assert kinds == [0, 0, 0] and found.column("doc_id").to_pylist() == [0, 1]
