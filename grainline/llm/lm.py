@@ -11,7 +11,8 @@ Nothing of the model is broadcast but its orders 0 and 1, at most 256 x 256 coun
 read into blocks of about ``BLOCK_BYTES`` at most, one compressed row each; a block names its distinct grams and words
 once, with their counts in its training documents. These rows are summed per key (map-side combined), the log probability
 of every distinct gram is worked out among the grams that share its last two context bytes, and each block gets back the
-values of its own keys, as a dictionary whose size is bounded by the block's. Words are keyed by 62 bits of a hash.
+values of its own keys, as a dictionary whose size is bounded by the block's: a task of that join sends a block one
+compressed row for all keys it has of it, so that no key is sorted by block. Words are keyed by 62 bits of a hash.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from .common import Scratch
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 SCALE = float(1 << 32)  # log probabilities travel as whole multiples of its inverse, which shuffle small
-STEP = 1 << 20  # positions whose grams are counted at once
+STEP = 1 << 19  # positions whose grams are counted at once
+GATHERED = 1 << 19  # values that a task of the join collects before it sends them to their blocks
 SCORED = 1 << 18  # positions scored at once; sums of whole multiples of 1 / SCALE do not depend on it
 START, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 _CLEAN = bytes.maketrans(b"\xfe\xff", b"??")
 BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<long>, texts binary"
 DICTIONARY = "block long, key long, n long"
+VALUES = "block long, n long, keys binary, values binary"
 WORD = 1 << 62  # keys of words have this bit, those of grams are smaller
 
 
@@ -132,31 +135,73 @@ def _merge(u: np.ndarray, n: np.ndarray, g: np.ndarray, weight: int) -> tuple[np
     return np.insert(u, at[~known], v[~known]), np.insert(n, at[~known], m[~known] * weight)
 
 
+def _dictionary(held: list[bool], sizes: list[int], blob: pa.Buffer, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block's distinct grams and words, and their counts in its training rows."""
+    count: Counter[bytes] = Counter({b"": 0})
+    u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for out in (False, True):
+
+        def mine(out=out):
+            for k, t in enumerate(unpack(sizes, blob)):
+                if held[k] == out:
+                    if out:
+                        for w in tokens_of(t):
+                            count.setdefault(w, 0)
+                    else:
+                        count.update(tokens_of(t))
+                    yield k, t
+
+        for g, _ in _runs(mine(), order):
+            u, n = _merge(u, n, g, 0 if out else 1)
+    words = np.fromiter(map(word_key, count), dtype=np.int64, count=len(count))
+    return np.concatenate([u.view(np.int64), words]), np.concatenate([n, np.fromiter(count.values(), dtype=np.int64, count=len(count))])
+
+
 def dictionaries(batches: Iterator[pa.RecordBatch], order: int = ORDER) -> Iterator[pa.RecordBatch]:
     """The distinct grams and words of each block with their counts in its training rows."""
     for b in batches:
         for i in range(b.num_rows):
             block, held, sizes = (b.column(c)[i].as_py() for c in ("block", "held", "sizes"))
-            blob = b.column("texts")[i].as_buffer()
-            count: Counter[bytes] = Counter()
-            seen: set[bytes] = {b""}
-            u, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            for out in (False, True):
-
-                def mine(out=out):
-                    for k, t in enumerate(unpack(sizes, blob)):
-                        if held[k] == out:
-                            (seen if out else count).update(tokens_of(t))
-                            yield k, t
-
-                for g, _ in _runs(mine(), order):
-                    u, n = _merge(u, n, g, 0 if out else 1)
-            words = list(seen | count.keys())
-            keys = np.concatenate([u.astype(np.int64), np.array([word_key(w) for w in words], dtype=np.int64)])
-            counts = np.concatenate([n, np.array([count[w] for w in words], dtype=np.int64)])
+            keys, counts = _dictionary(held, sizes, b.column("texts")[i].as_buffer(), order)
             for at in range(0, len(keys), 1 << 18):
                 k, c = keys[at : at + (1 << 18)], counts[at : at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(c)], ["block", "key", "n"])
+            del keys, counts, k, c
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of about ``GATHERED`` rows (block, key, value) at a time: its keys and values, compressed."""
+    held: list[list[np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        block, key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(block, kind="stable")
+        block, key, value = block[order], key[order], value[order]
+        first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        last = np.append(first[1:], len(block))
+        packed = ([pa.compress(x[i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(first, last, strict=True)] for x in (key, value))
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(last - first), *(pa.array(x, pa.binary()) for x in packed)], ["block", "n", "keys", "values"])
+
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([b.column(c).to_numpy().copy() for c in ("block", "key", "value")])
+            size += b.num_rows
+        if size >= GATHERED:
+            yield rows()
+            size = 0
+    if size:
+        yield rows()
+
+
+def gathered(values: pa.Table, column: str) -> np.ndarray:
+    """One column of the rows that ``gather`` made for a block, end to end."""
+    out, at = np.zeros(sum(values.column("n").to_pylist()), dtype=np.int64), 0
+    for n, x in zip(values.column("n").to_pylist(), values.column(column), strict=True):
+        out[at : at + n] = np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=8 * n, codec="zstd"), dtype=np.int64)
+        at += n
+    return out
 
 
 def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +290,14 @@ class Lookup:
 
 
 def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDER) -> pa.Table:
-    """Scores of a block's documents from the values of its grams (scaled log probabilities) and words (counts);
+    """Scores of a block's documents from the gathered values of its grams (scaled log probabilities) and words (counts);
     ``log_all`` is the logarithm of the base model's denominator."""
     ids, held, sizes = (t.column(c)[0].as_py() for c in ("ids", "held", "sizes"))
     blob = t.column("texts")[0].as_buffer()
-    keys, value = values.column("key").to_numpy(), values.column("value").to_numpy()
-    logs, word = value / -SCALE, keys >= WORD
-    logs[word] = np.log10(value[word] + 1.0) - log_all
+    keys, logs = gathered(values, "keys"), gathered(values, "values").astype(np.float64)
+    word = keys >= WORD
+    logs[word] = np.log10(logs[word] + 1.0) - log_all
+    logs[~word] /= -SCALE
     value = Lookup(keys.view(np.uint64), logs)
     del keys, values, logs, word
     k = len(ids)
@@ -266,7 +312,7 @@ def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDE
     score = np.zeros(k)
     for g, own in _runs(numbered(), order, SCORED):
         score += np.bincount(own, weights=value(g), minlength=k)
-    of_word = value(np.array([word_key(w) for w in vocabulary], dtype=np.uint64))
+    of_word = value(np.fromiter(map(word_key, vocabulary), dtype=np.uint64, count=len(vocabulary)))
     known = of_word > 0.15 - log_all  # an unknown word has log10(1), a known one log10(2) at least
     n_tokens = np.array([len(x) for x in tokens], dtype=np.int64)
     n_known = np.array([known[x].sum() for x in tokens], dtype=np.int64)
@@ -313,7 +359,7 @@ def score_documents(spark: SparkSession, documents: DataFrame, held: Column | No
     by_context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     values = scratch.keep(of_gram.repartition(by_context).mapInArrow(model, "key long, value long").unionAll(of_word), "values")
     scratch.drop(summed)
-    back = names.select("block", "key").join(values, "key").select("block", "key", "value")
+    back = names.select("block", "key").join(values, "key").select("block", "key", "value").mapInArrow(gather, VALUES)
     scored = (
         blocks.groupBy("block")
         .cogroup(back.groupBy("block"))

@@ -112,3 +112,34 @@ def test_merged_grams_and_a_block_take_little_beside_them():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 * u.nbytes  # the new arrays, a copy of the counts and a mask; a sort of both takes eight times it
+
+
+def test_join_sends_a_block_one_row_for_many_keys(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "GATHERED", 700)
+    r = np.random.default_rng(5)
+    rows = pa.table({"block": r.integers(0, 3, 2000) << 40, "key": r.integers(0, 1 << 62, 2000), "value": r.integers(0, 1 << 40, 2000)})
+    got = pa.Table.from_batches(lm.gather(iter(rows.to_batches(max_chunksize=100))))
+    assert got.num_rows == 9  # three times 700 rows of three blocks
+    for k in range(3):
+        mine = got.filter(pa.compute.equal(got["block"], k << 40))
+        want = rows.filter(pa.compute.equal(rows["block"], k << 40))
+        assert sorted(zip(lm.gathered(mine, "keys").tolist(), lm.gathered(mine, "values").tolist(), strict=True)) == sorted(zip(want["key"].to_pylist(), want["value"].to_pylist(), strict=True))
+    assert list(lm.gather(iter(rows.slice(0, 0).to_batches()))) == []
+
+
+def test_counting_a_block_takes_little_beside_its_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    text = b" ".join(f"w{x}".encode() for x in r.integers(0, 3000, 400_000))
+    blob = pa.py_buffer(pa.compress(text, codec="zstd", asbytes=True))
+    tracemalloc.start()
+    keys, counts = lm._dictionary([False], [len(text)], blob, lm.ORDER)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) == len(np.unique(keys)) and counts[keys >= lm.WORD].sum() == 400_001 and counts[keys < lm.WORD].sum() == len(text) + 1
+    assert peak < 100 << 20
