@@ -79,11 +79,13 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unpack(sizes: list[int], blob: pa.Buffer) -> Iterator[bytes]:
-    raw = memoryview(pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd")) if sum(sizes) else memoryview(b"")
-    at = 0
-    for n in sizes:
-        yield bytes(raw[at : at + n])
-        at += n
+    """The texts of a block one by one; they are never there all at once."""
+    with pa.CompressedInputStream(pa.BufferReader(blob), "zstd") as texts:
+        for n in sizes:
+            text = texts.read(n) if n else b""
+            if len(text) != n:
+                raise ValueError(f"a text of a block has {len(text)} of {n} bytes")
+            yield text
 
 
 def word_key(word: bytes) -> int:
@@ -301,22 +303,22 @@ def score_block(t: pa.Table, values: pa.Table, log_all: float, order: int = ORDE
     value = Lookup(keys.view(np.uint64), logs)
     del keys, values, logs, word
     k = len(ids)
-    vocabulary: dict[bytes, int] = {}
-    tokens: list[np.ndarray] = []
+    of_word: dict[bytes, float] = {}
+    n_tokens, n_known, base, score = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k)
 
     def numbered() -> Iterator[tuple[int, bytes]]:
         for i, text in enumerate(unpack(sizes, blob)):
-            tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens_of(text)], dtype=np.int32))
+            tokens = tokens_of(text)
+            new = [w for w in dict.fromkeys(tokens) if w not in of_word]
+            if new:
+                of_word.update(zip(new, value(np.fromiter(map(word_key, new), dtype=np.uint64, count=len(new))).tolist(), strict=True))
+            logs = np.fromiter(map(of_word.__getitem__, tokens), dtype=np.float64, count=len(tokens))
+            n_tokens[i], base[i] = len(logs), logs.sum()
+            n_known[i] = (logs > 0.15 - log_all).sum()  # an unknown word has log10(1), a known one log10(2) at least
             yield i, text
 
-    score = np.zeros(k)
     for g, own in _runs(numbered(), order, SCORED):
         score += np.bincount(own, weights=value(g), minlength=k)
-    of_word = value(np.fromiter(map(word_key, vocabulary), dtype=np.uint64, count=len(vocabulary)))
-    known = of_word > 0.15 - log_all  # an unknown word has log10(1), a known one log10(2) at least
-    n_tokens = np.array([len(x) for x in tokens], dtype=np.int64)
-    n_known = np.array([known[x].sum() for x in tokens], dtype=np.int64)
-    base = np.array([of_word[x].sum() for x in tokens])
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
 

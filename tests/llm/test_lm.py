@@ -143,3 +143,22 @@ def test_counting_a_block_takes_little_beside_its_text():
     tracemalloc.stop()
     assert len(keys) == len(np.unique(keys)) and counts[keys >= lm.WORD].sum() == 400_001 and counts[keys < lm.WORD].sum() == len(text) + 1
     assert peak < 100 << 20
+
+
+def test_texts_of_a_block_are_never_there_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [bytes([97 + i % 26]) * (i % 3) * 300_000 for i in range(60)]
+    blob = pa.py_buffer(pa.compress(b"".join(texts), codec="zstd", asbytes=True))
+    sizes = [len(t) for t in texts]
+    tracemalloc.start()
+    used = pa.total_allocated_bytes()
+    for t, want in zip(lm.unpack(sizes, blob), texts, strict=True):
+        assert t == want
+        assert pa.total_allocated_bytes() - used < 4 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(sizes) / 8
+    assert list(lm.unpack([0, 0], pa.py_buffer(pa.compress(b"", codec="zstd", asbytes=True)))) == [b"", b""]
