@@ -118,3 +118,66 @@ def test_one_shard_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["blob"])
     (found,) = bm25.search_shards(iter([batch]), (np.full(1, 100), keys, np.ones(1)), 2.0, 2)
     assert kinds == [0, 0, 0] and found.column("doc_id").to_pylist() == [0, 1]
+
+
+def test_lead_shards_lose_nothing(spark, monkeypatch):
+    """Whether all, some or no shards are searched first, the best are those of scoring everything."""
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 100)
+    rows = corpus(5, 80, vocabulary=120)
+    queries = rows[::6]
+    want = brute(rows, queries, 4)
+    for lead in (1, 3, 1 << 40):
+        monkeypatch.setattr(bm25, "LEAD", lead)
+        got: dict = {}
+        for r in bm25.search(spark, documents(spark, rows).coalesce(2), spark.createDataFrame(queries, "query_id long, text string"), 4).collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 9), r.doc_id))
+        assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def _searched(n_shards: int, n_docs: int, n_queries: int, k: int, same: str = ""):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    texts = [" ".join([*(f"w{int(x)}" for x in np.minimum(r.zipf(1.4, r.integers(20, 90)), 3000))]).encode() for _ in range(n_shards * n_docs)]
+    if same:
+        texts[1::n_docs] = [same.encode()] * n_shards
+    blobs = [bm25._index_of(list(range(-i - n_docs, -i)), texts[i : i + n_docs]).column("blob")[0].as_py() for i in range(0, n_shards * n_docs, n_docs)]
+    q, key, gain = [], [], []
+    for i in range(n_queries):
+        keys, _, _, tf, _ = bm25.postings([same.encode() if same and i == 0 else texts[i * 7 % len(texts)]])
+        q.append(np.full(len(keys), i))
+        key.append(keys)
+        gain.append(tf * r.uniform(0.1, 3, len(keys)))
+    batch = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["blob"])
+    return lambda: pa.Table.from_batches(bm25.search_shards(iter([batch]), (*(np.concatenate(x) for x in (q, key, gain)),), 55.0, k))
+
+
+def test_queries_are_searched_together():
+    """A shard's work is done for groups of queries, not with dozens of calls for each query."""
+    import cProfile
+    import pstats
+
+    search = _searched(6, 400, 300, 3)
+    profile = cProfile.Profile()
+    profile.runcall(search)
+    assert pstats.Stats(profile).total_calls < 20 * 6 * 300
+
+
+def test_same_texts_score_the_same():
+    """Whatever lists their shards lay out densely: the order of ties is that of the ids."""
+    same = " ".join(f"w{i} x{i % 7}" for i in range(1, 40))
+    found = _searched(8, 60, 20, 8, same)()
+    first = [(d, s) for q, d, s in zip(*(c.to_pylist() for c in found.columns), strict=True) if q == 0]
+    assert len({s for _, s in first}) == 1 and [d for d, _ in first] == sorted(-60 * i + 1 - 60 for i in range(8))
+
+
+def test_words_counted_at_once():
+    texts = [b"", None, b"a", b" a a  b ", bytes(range(256)) * 2, "A a\u0085B.c_d \u00a0x\u2028y".encode(), b"b a b a"]
+    counts = bm25.count(texts)
+    for i, t in enumerate(texts):
+        of = counts.doc == i
+        got = {counts.words[w]: n for w, n in zip(counts.word[of].tolist(), counts.tf[of].tolist(), strict=True)}
+        assert got == Counter(bm25.terms_of(t)) and counts.length[i] == len(bm25.terms_of(t))
+    assert bm25.alike(texts, counts).tolist() == bm25.alike(texts).tolist()
