@@ -36,11 +36,12 @@ SHARD_BYTES, BLOCK = 12 << 20, 32
 DENSE, WIDER = 32, 2  # dense lists; lists of that many times fewer documents are laid out too
 WORTH = 1000  # adding a posting takes as long as so many products of a matrix product
 QUERIES_AT_ONCE, TERMS_AT_ONCE, ADD_AT_ONCE = 256, 1 << 17, 32
-LIKENESS = 128
+LIKENESS, DOCS_AT_ONCE = 128, 512
 FEW = 8  # a block is scored for all queries of a group if one of so many needs it
 FIRST_BLOCKS = 8  # scored first; then twice as many in each step
 LEAD = 16  # one shard of so many is searched first, to have thresholds for the others
 QUERY_TERMS = 1_500_000  # (query, term) rows in a block of queries
+COUNT_BYTES = 1 << 20
 BY = 100
 HITS = "query_id long, doc_id long, score double"
 #: Words are runs of letters, digits and non-ASCII characters; A-Z count as lower case.
@@ -85,38 +86,39 @@ class Counts(NamedTuple):
 
 
 def count(texts: list[bytes | None]) -> Counts:
-    """The words of ``terms_of``, all texts at once."""
-    data = b"".join(t or b"" for t in texts).translate(_WORDS)
+    """The words of ``terms_of``, of ``COUNT_BYTES`` of text at once."""
+    vocab: dict[bytes, int] = {}
     ends = np.cumsum([0, *(len(t or b"") for t in texts)], dtype=np.int64)
-    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
-    del data
-    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    coded = split.values.dictionary_encode()
-    del split
-    _, at, chars = coded.dictionary.buffers()
-    at = np.frombuffer(at, dtype=np.int64)[: len(coded.dictionary) + 1].tolist() if at is not None else [0]
-    chars = chars.to_pybytes() if chars is not None else b""
-    words = [chars[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-    cell = doc * max(len(words), 1) + coded.indices.to_numpy()
-    del doc, coded
-    cell, tf = np.unique(cell, return_counts=True)
-    doc, word = np.divmod(cell, max(len(words), 1))
-    if b"" in words:  # white space at a text's ends
-        some = word != words.index(b"")
-        doc, word, tf = doc[some], word[some], tf[some]
-    length = np.bincount(doc, weights=tf, minlength=len(texts)).astype(np.int64)
-    return Counts(words, doc.astype(np.int32), word.astype(np.int32), tf.astype(np.int32), length)
+    none = np.zeros(0, dtype=np.int32)
+    parts = [(none, none, none)]
+    i = 0
+    while i < len(texts):
+        j = max(int(np.searchsorted(ends, ends[i] + COUNT_BYTES, "right")) - 1, i + 1)
+        data = b"".join(t or b"" for t in texts[i:j]).translate(_WORDS)
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), j - i, [None, pa.py_buffer(ends[i : j + 1] - ends[i]), pa.py_buffer(data)]))
+        coded = split.values.dictionary_encode()
+        _, at, chars = coded.dictionary.buffers()
+        at = np.frombuffer(at, dtype=np.int64)[: len(coded.dictionary) + 1].tolist() if len(coded.dictionary) else [0]
+        chars = chars.to_pybytes() if chars is not None else b""
+        words = [chars[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        cell = np.repeat(np.arange(j - i), np.diff(split.offsets.to_numpy())) * max(len(words), 1)
+        cell += coded.indices.to_numpy()
+        cell, tf = np.unique(cell, return_counts=True)
+        doc, word = np.divmod(cell, max(len(words), 1))
+        if b"" in words:  # white space at a text's ends
+            some = word != words.index(b"")
+            doc, word, tf = doc[some], word[some], tf[some]
+        number = np.array([vocab.setdefault(w, len(vocab)) if w else -1 for w in words], dtype=np.int32)
+        parts.append(((doc + i).astype(np.int32), number[word], tf.astype(np.int32)))
+        i = j
+    doc, word, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Counts(list(vocab), doc, word, tf, np.bincount(doc, weights=tf, minlength=len(texts)).astype(np.int64))
 
 
 def by_term(counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Term keys in order, where each term's postings start, their documents and frequencies."""
-    key = np.array([term_key(w) if w else 0 for w in counts.words], dtype=np.int64)
-    there = np.zeros(len(key), dtype=bool)
-    there[counts.word] = True
-    keys, place = np.unique(key[there], return_inverse=True)
-    term = np.zeros(len(key), dtype=np.int64)
-    term[there] = place
-    term = term[counts.word]
+    keys, place = np.unique(np.array([term_key(w) for w in counts.words], dtype=np.int64), return_inverse=True)
+    term = place[counts.word]
     start = np.append(0, np.cumsum(np.bincount(term, minlength=len(keys))))
     order = np.argsort(term * len(counts.length) + counts.doc, kind="stable")
     return keys, start, counts.doc[order], counts.tf[order]
@@ -347,24 +349,29 @@ class Shard:
     def _scores(self, first: np.ndarray, at: np.ndarray, gain: np.ndarray, query: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The score of each pair (sorted by query): summed in order of key, so that documents that are alike score alike.
         The lists of query i are those from ``first[i]`` to ``first[i + 1]``."""
-        docs = np.zeros(self.n_docs, dtype=bool)
-        docs[doc] = True
-        post = np.flatnonzero(docs[self.doc])
-        of = self.doc[post]
-        order = np.argsort(of.astype(np.uint16) if self.n_docs <= 1 << 16 else of, kind="stable")  # lists are in order of key already
-        post = post[order]
-        term, weight = np.repeat(np.arange(len(self.keys), dtype=np.int32), self.n)[post], self.weight[post]
-        start = np.append(0, np.cumsum(np.bincount(of, minlength=self.n_docs)))
-        gains = np.zeros(len(self.keys))
+        weights = np.zeros(len(self.keys))
         out = np.zeros(len(query))
-        each, begin = np.unique(query, return_index=True)
-        for q, lo, hi in zip(each, begin, np.append(begin[1:], len(query)), strict=True):
-            its = at[first[q] : first[q + 1]]
-            np.add.at(gains, its, gain[first[q] : first[q + 1]])  # a key may be there twice
-            a, b = start[doc[lo:hi]], start[doc[lo:hi] + 1]
-            p = ranges(a, b)
-            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), b - a), weights=gains[term[p]] * weight[p], minlength=hi - lo)
-            gains[its] = 0
+        order = np.argsort(doc, kind="stable")
+        each, begin = np.unique(doc[order], return_index=True)
+        begin = np.append(begin, len(order))
+        for lo in range(0, len(each), DOCS_AT_ONCE):
+            some = each[lo : lo + DOCS_AT_ONCE]
+            place = np.full(self.n_docs, -1, dtype=np.int32)
+            place[some] = np.arange(len(some))
+            post = np.flatnonzero(place[self.doc] >= 0)
+            of = place[self.doc[post]].astype(np.uint16)
+            start = np.append(0, np.cumsum(np.bincount(of, minlength=len(some))))
+            by_doc = np.argsort(of, kind="stable")  # lists are in order of key already
+            term, weight = (np.searchsorted(self.start, post, "right") - 1)[by_doc], self.weight[post[by_doc]]
+            for i in range(len(some)):
+                its = slice(start[i], start[i + 1])
+                weights[term[its]] = weight[its]
+                for x in range(begin[lo + i], begin[lo + i + 1], ADD_AT_ONCE):
+                    pairs = order[x : min(x + ADD_AT_ONCE, begin[lo + i + 1])]
+                    a, b = first[query[pairs]], first[query[pairs] + 1]
+                    rows = ranges(a, b)
+                    out[pairs] = np.bincount(np.repeat(np.arange(len(pairs)), b - a), weights=gain[rows] * weights[at[rows]], minlength=len(pairs))
+                weights[term[its]] = 0
         return out
 
 
